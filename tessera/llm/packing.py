@@ -30,7 +30,7 @@ from .common import gapless_rank, materialise
 
 CAPACITY = 4096
 EOS = 1
-#: Entries kept of the chunk cache of one Python worker.
+#: Entries of one generation of a Python worker's chunk cache; two are kept.
 CACHE_ENTRIES = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,19 +52,23 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
         low = chunk.lower()
         word = low.rstrip(b".,!?*&%#;:")
-        if low != chunk and b"<" not in chunk:
+        if (ids := self.older.get(chunk)) is not None:
+            pass
+        elif low != chunk and b"<" not in chunk:
             ids = self[low]
-        elif word != low and word.isalpha():
+        elif word != low and word.decode("utf-8", "replace").isalpha():
             ids = self[word] + self[low[len(word) :]]
         else:
             found = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
             ids = b"".join(i.to_bytes(4, "little") for i in found)
         if len(chunk) <= 48:
             if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
