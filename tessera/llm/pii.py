@@ -230,3 +230,20 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
         _digest("every").alias("spans"),
         F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_other"),
     )
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with each span replaced by its kind; of overlapping spans the first wins and the rest is covered."""
+    state = "named_struct('at', cast(0 as bigint), 'out', '')"
+    lead = F.aggregate(
+        spans,
+        F.expr(state),
+        lambda s, x: F.struct(
+            F.greatest(s["at"], x["end"].cast("long")).alias("at"),
+            F.when(x["start"] >= s["at"], F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit("<"), x["kind"], F.lit(">")))
+            .otherwise(s["out"])
+            .alias("out"),
+        ),
+        lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"), F.lit(2147483647))),
+    )
+    return lead
