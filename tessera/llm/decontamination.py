@@ -61,7 +61,7 @@ def canonical(text: Column) -> tuple[Column, Column]:
 def windows(rows: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
     """``(key, at, window, surface)``: hashed windows of template words with the words they came from."""
     words, template = canonical(F.col("text"))
-    prepared = rows.select(key, words.alias("words"), template.alias("template")).filter("template[0] <> '' or size(template) > 1")
+    prepared = rows.select(key, words.alias("words"), template.alias("template"))
     spans = prepared.withColumn(
         "spans",
         F.expr(
@@ -70,7 +70,9 @@ def windows(rows: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
             f" 'surface', array_join(slice(words, i + 1, {size}), ' ')))"
         ),
     )
-    out = spans.select(key, F.inline("spans"))
+    # The outer form: for the inner one the optimizer adds a filter on the array's
+    # size, into whose lambda it copies the expressions for words and template.
+    out = spans.select(key, F.inline_outer("spans")).filter("window <> ''")
     literals = F.size(F.filter(F.split("window", " "), lambda w: ~F.contains(w, F.lit(NUMBER)) & ~F.contains(w, F.lit(NAME)) & ~F.contains(w, F.lit(UNIT))))
     short = F.size(F.split("window", " "))
     return out.filter((~F.col("window").rlike("[\x01-\x03]")) | (literals >= F.least(F.lit(MIN_LITERALS), short - 1)))
