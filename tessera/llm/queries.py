@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, pii, quality_rules, sharding, simhash, toxicity
+from . import decontamination, licenses, packing, pii, quality_model, quality_rules, sharding, simhash, toxicity
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.classify(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_rules(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.template_table(spark))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -44,8 +53,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OPERATORS = (
+    op1_pii,
+    op2_quality,
+    op4_line_rules,
+    op5_toxicity,
+    op6_packing,
+    op7_simhash,
+    op8_licenses,
+    op9_sharding,
+    op10_decontamination,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op4_line_rules, op5_toxicity, op6_packing, op7_simhash, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
