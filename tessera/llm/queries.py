@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, packing, pii, quality_model, quality_rules, sharding, simhash, toxicity
+from . import decontamination, licenses, packing, pii, quality_model, quality_rules, sharding, simhash, substrings, toxicity
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_rules(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_pii,
     op2_quality,
+    op3_substrings,
     op4_line_rules,
     op5_toxicity,
     op6_packing,
