@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 
 class Provider(Protocol):
@@ -40,6 +42,13 @@ def complete(df: DataFrame, provider: Provider, column: str = "prompt", out: str
     return df.mapInArrow(run, schema)
 
 
+def _vectorised(execute: Callable[[str], str]):
+    def run(args: pd.Series) -> pd.Series:
+        return args.map(execute, na_action="ignore")
+
+    return pandas_udf(run, "string")
+
+
 @dataclass
 class Tool:
     """A named function of a JSON text, with its domain and parameter schema."""
@@ -61,15 +70,8 @@ class Tools:
 
     def register(self, spark: SparkSession) -> None:
         """Each tool as a vectorised SQL function."""
-        import pandas as pd
-        from pyspark.sql.functions import pandas_udf
-
         for t in self.by_name.values():
-
-            def run(args: pd.Series, execute=t.execute) -> pd.Series:
-                return args.map(execute, na_action="ignore")
-
-            spark.udf.register(t.name, pandas_udf(run, "string"))
+            spark.udf.register(t.name, _vectorised(t.execute))
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, t.name, t.domain, t.description) for i, t in enumerate(self.by_name.values(), 1)]
