@@ -29,7 +29,7 @@ WINDOW = 5
 THRESHOLD = 0.8
 #: Literal words that a window must have.
 MIN_LITERALS = 3
-#: Benchmark windows (about 100 bytes each) that are sent to every executor at most.
+#: Benchmark windows (about 50 bytes each) that are sent to every executor at most.
 BROADCAST_WINDOWS = 200_000
 
 # Units that follow a number.
@@ -44,46 +44,66 @@ UNITS = (
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 
 
+_SLOT = "[\\x01-\\x03]"
+
+
 def canonical(text: Column) -> tuple[Column, Column]:
-    """The words of a text and, place by place, their template words."""
-    # Marks that stand alone are no words in either form.
-    bare = F.btrim(F.regexp_replace(text, rf"(?<![^{WS}])[^\p{{L}}\p{{N}}{WS}]++(?![^{WS}])", " "), F.lit(" \t\n\x0b\f\r"))
-    words = F.split(bare, f"[{WS}]+")
-    template = F.regexp_replace(bare, r"(?<=[^.!?:;\s]\s)\p{Lu}\p{Ll}++", NAME)
-    template = F.regexp_replace(template, r"(?<![\p{L}\p{N}])[+-]?\p{Sc}?[0-9]++(?:[.,:/][0-9]++)*+%?", NUMBER)
-    template = F.regexp_replace(
-        template, rf"(?<=\x01)([{WS}]?)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", "$1" + UNIT
+    """The text without lone marks, and its template; both have the same words by place.
+
+    Patterns begin with the character they replace and look behind afterwards, so
+    most characters cost one class test.
+    """
+    mark = rf"[^\p{{L}}\p{{N}}{WS}]"
+    bare = F.btrim(
+        F.regexp_replace(text, rf"{mark}++(?![^{WS}])(?<=(?:^|[{WS}]){mark}{{1,64}})", " "), F.lit(" \t\n\x0b\f\r")
     )
-    template = F.regexp_replace(F.lower(template), rf"[^\p{{L}}\p{{N}}{WS}\x01-\x03]++", "")
-    return words, F.split(template, f"[{WS}]+")
+    template = F.regexp_replace(bare, r"\p{Lu}(?<=[^.!?:;\s]\s.)\p{Ll}++", NAME)
+    number = r"[0-9](?<![\p{L}\p{N}].)[0-9]*+(?:[.,:/][0-9]++)*+%?"
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
+    template = F.when(
+        F.col("numbered"),
+        F.regexp_replace(
+            F.regexp_replace(template, number, NUMBER), rf"\x01([{WS}]?)(?i:{units})(?![\p{{L}}\p{{N}}])", NUMBER + "$1" + UNIT
+        ),
+    ).otherwise(template)
+    return bare, F.regexp_replace(F.lower(template), rf"[^\p{{L}}\p{{N}}{WS}\x01-\x03]++", "")
 
 
 def windows(rows: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
-    """``(key, at, window, surface)``: hashed windows of template words with the words they came from."""
-    words, template = canonical(F.col("text"))
-    prepared = rows.select(key, words.alias("words"), template.alias("template"))
-    spans = prepared.withColumn(
+    """``(key, at, window, slots)``: hashed windows of template words, with the places and values of their placeholders."""
+    bare, template = canonical(F.col("text"))
+    rows = rows.select(key, "text", F.col("text").rlike("[0-9]").alias("numbered"))
+    rows = rows.select(key, bare.alias("bare"), template.alias("canonical"))
+    rows = rows.select(key, "bare", "canonical", F.col("canonical").rlike(_SLOT).alias("slotted"))
+    # Only texts with placeholders need their own words.
+    rows = rows.select(
+        key,
+        "slotted",
+        F.split("canonical", f"[{WS}]+").alias("template"),
+        F.when(F.col("slotted"), F.split("bare", f"[{WS}]+")).alias("words"),
+    ).withColumn("n", F.size("template"))
+    places = f"sequence(0, n - {size})"
+    window = f"xxhash64({', '.join(f'template[i + {j}]' for j in range(size))})"
+    kind = "array<struct<place:int,value:string>>"
+    slots = (
+        "filter(transform(slice(template, {0} + 1, {1}), (t, j) -> case when t rlike '[\\\\x01-\\\\x03]'"
+        " then named_struct('place', j, 'value', lower(words[{0} + j])) end), x -> x is not null)"
+    )
+    rows = rows.withColumn(
         "spans",
         F.expr(
-            f"transform(sequence(0, greatest(size(template) - {size}, 0)),"
-            f" i -> named_struct('at', i, 'window', array_join(slice(template, i + 1, {size}), ' '),"
-            f" 'surface', array_join(slice(words, i + 1, {size}), ' ')))"
+            f"case when n < {size} then case when template[0] = '' and n = 1 then null else array(named_struct('at', 0, 'window',"
+            f" xxhash64(array_join(template, ' ')), 'slots', case when slotted then {slots.format('0', 'n')} end)) end"
+            f" when slotted then transform({places}, i -> named_struct('at', i, 'window', {window}, 'slots', {slots.format('i', size)}))"
+            f" else transform({places}, i -> named_struct('at', i, 'window', {window}, 'slots', cast(null as {kind}))) end"
         ),
     )
     # The outer form: for the inner one the optimizer adds a filter on the array's
     # size, into whose lambda it copies the expressions for words and template.
-    out = spans.select(key, F.inline_outer("spans")).filter("window <> ''")
-    literals = F.size(F.filter(F.split("window", " "), lambda w: ~F.contains(w, F.lit(NUMBER)) & ~F.contains(w, F.lit(NAME)) & ~F.contains(w, F.lit(UNIT))))
-    short = F.size(F.split("window", " "))
-    return out.filter((~F.col("window").rlike("[\x01-\x03]")) | (literals >= F.least(F.lit(MIN_LITERALS), short - 1)))
-
-
-def _slots(window: str, mine: str, theirs: str) -> Column:
-    """Pairs (item's value, document's value) of a window's placeholders."""
-    return F.expr(
-        f"filter(transform(split({window}, ' '), (w, i) -> case when w rlike '[\\\\x01-\\\\x03]' then"
-        f" named_struct('item', lower(split({mine}, ' ')[i]), 'doc', lower(split({theirs}, ' ')[i])) end), x -> x is not null)"
-    )
+    out = rows.select(key, "n", F.inline_outer("spans")).filter("window is not null")
+    literals = F.least("n", F.lit(size)) - F.size("slots")
+    enough = F.coalesce(literals >= F.least(F.lit(MIN_LITERALS), F.col("n") - 1), F.lit(True))
+    return out.filter(enough).drop("n")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, size: int = WINDOW) -> DataFrame:
@@ -93,7 +113,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         "item_id",
         size,
     )
-    items = materialise(items.withColumnsRenamed({"at": "item_at", "surface": "item_surface"}), "items")
+    items = materialise(items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"}), "items")
     n_items, = items.agg(F.count("*")).first()
     totals = items.groupBy("item_id").agg(F.count("*").alias("windows"))
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text")).filter("doc_id is not null")
@@ -105,7 +125,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         "at",
         "item_at",
         (F.col("at") - F.col("item_at")).alias("shift"),
-        _slots("window", "item_surface", "surface").alias("slots"),
+        F.expr(
+            "transform(item_slots, (x, k) -> named_struct('item', x.value, 'doc', slots[k].value))"
+        ).alias("slots"),
     )
     hits = materialise(hits, "hits")
     # Along one alignment a value of the item stands for one value of the document.
