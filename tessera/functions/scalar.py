@@ -162,3 +162,88 @@ def bullets(points: Column, duties: Column) -> Column:
 
 def data_url(kind: str, data: Column) -> Column:
     return F.concat(F.lit(f"data:{kind};base64,"), F.base64(data))
+
+
+def skills_line(category: Column, skills: Column) -> Column:
+    """Category and list; null for a blank category."""
+    line = F.concat(category, F.lit("："), F.coalesce(F.array_join(skills, "、"), F.lit("")))
+    return F.when(~F.coalesce(category.rlike(r"^\s*$"), F.lit(True)), line)
+
+
+def citation(authors: Column, title: Column, journal: Column, year: Column, pages: Column, doi: Column) -> Column:
+    """A reference line of the parts that are there."""
+
+    def part(before: str, c: Column, after: str = "") -> Column:
+        return F.coalesce(F.concat(F.lit(before), c, F.lit(after)), F.lit(""))
+
+    return F.concat(
+        part("", authors, ". "), part("《", title, "》"), part(". ", journal), part(". ", year), part(": ", pages), part(". DOI: ", doi)
+    )
+
+
+def contact_line(parts: Sequence[Column], separator: str) -> Column:
+    return F.concat_ws(separator, *parts)
+
+
+def drop_first_byte(data: Column) -> Column:
+    return F.when(F.octet_length(data) > 0, F.substring(data, 2, 1 << 30))
+
+
+def audio_url(c: Column) -> Column:
+    return blank_to_null(F.get_json_object(c, "$.output.audio.url"))
+
+
+def history_entry(name: Column, path: Column, summary: Column) -> Column:
+    head = F.concat(F.lit("[用户发送了一个文件，文件名："), name, F.lit("，服务器路径："), path)
+    return F.concat(head, F.lit("，内容摘要：\n"), F.substring(summary, 1, 2000), F.lit("\n]"))
+
+
+def json_text(c: Column, key: str) -> Column:
+    """A string field of a JSON object, escapes resolved."""
+    return F.get_json_object(c, f"$.{key}")
+
+
+def explicit_send(c: Column) -> Column:
+    return F.coalesce(json_text(c, "sent") == "true", F.lit(False))
+
+
+# Status labels in Chinese and English.
+PUBLICATION_STATUS = {
+    "已发表": "Published",
+    "已接收": "Accepted",
+    "同行评审中": "Under peer review",
+    "投稿待审中": "Submitted, pending editorial screening",
+    "手稿准备中": "Manuscript in preparation",
+    "预印本": "Preprint",
+    "会议摘要": "Conference abstract",
+    "会议海报": "Conference poster",
+    "需用户确认": "Needs user confirmation",
+}
+PATENT_STATUS = {
+    "已授权发明专利": "Granted invention patent",
+    "发明专利申请": "Patent application",
+    "实用新型专利": "Utility model",
+    "外观设计专利": "Design patent",
+    "PCT申请": "PCT application",
+    "公开中": "Published application",
+    "审查中": "Under examination",
+    "已驳回": "Rejected",
+    "已放弃": "Abandoned",
+    "需用户确认": "Needs user confirmation",
+}
+
+
+def status_label(c: Column, vocabulary: dict[str, str]) -> Column:
+    """The English label; what the vocabulary does not know needs confirmation."""
+    table = F.create_map(*[F.lit(x) for kv in vocabulary.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, c), F.lit("Needs user confirmation"))
+
+
+def candidate_stage(enrolled: Column, years_since: Column, years_worked: Column) -> Column:
+    """The conditions that can be counted; all else is unknown."""
+    return (
+        F.when(enrolled, "STUDENT")
+        .when(years_since.between(0, 2) & (F.coalesce(years_worked, F.lit(0)) < 3), "RECENT_GRADUATE")
+        .when(years_worked >= 3, "EXPERIENCED")
+        .otherwise("UNKNOWN")
+    )

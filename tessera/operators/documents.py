@@ -126,3 +126,16 @@ def render_markdown(df: DataFrame, title: str, contact: Sequence[str], items: st
     return df.withColumn(
         "markdown", F.concat_ws("\n\n", F.concat(F.lit("# "), F.col(title)), F.nullif(F.concat_ws(" | ", *contact), F.lit("")), F.nullif(body, F.lit("")))
     )
+
+
+def render_html(df: DataFrame, title: str, contact: Sequence[str], items: str) -> DataFrame:
+    """The same content as escaped HTML; what is missing leaves no element."""
+    from ..functions.scalar import contact_line, html_escape
+
+    line = F.nullif(contact_line([F.col(c) for c in contact], " · "), F.lit(""))
+    points = F.transform(F.filter(items, lambda x: ~x.rlike(r"^\s*$")), lambda x: F.concat(F.lit("<li>"), html_escape(x), F.lit("</li>")))
+    body = F.when(F.size(points) > 0, F.concat(F.lit("<ul>"), F.array_join(points, ""), F.lit("</ul>")))
+    return df.withColumn(
+        "html",
+        F.concat_ws("", F.concat(F.lit("<h1>"), html_escape(F.col(title)), F.lit("</h1>")), F.concat(F.lit("<p>"), html_escape(line), F.lit("</p>")), body),
+    )

@@ -67,8 +67,24 @@ def turn_counter(stream: DataFrame, key: str, order: str, every: int = 10) -> Da
     )
 
 
-def bounded_queue(arrivals: DataFrame, key: str, order: str, size: str = "queue_size", limit: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Accepted and dropped rows of a queue whose length at arrival is known: the newest go first."""
-    del key, order
-    full = F.col(size) >= limit
-    return arrivals.filter(~full), arrivals.filter(full)
+def _queue(limit: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held, out = 0, []
+        for seq, arrives in zip(*(rows.sort_values("seq")[c] for c in ("seq", "arrives")), strict=True):
+            if not arrives:
+                held = max(held - 1, 0)
+            else:
+                out.append((key[0], seq, held < limit))
+                held += held < limit
+        return pd.DataFrame(out, columns=["bot_id", "seq", "accepted"]).astype({"bot_id": "int64", "seq": "int64", "accepted": "bool"})
+
+    return run
+
+
+def bounded_queue(events: DataFrame, limit: int = 100) -> DataFrame:
+    """Replay of ``(bot_id, seq, arrives)``: arrivals at a full queue are dropped, other events take one row out.
+
+    Spark's own triggers hold back instead of dropping; this is the discrete
+    simulation of a queue that drops its newest.
+    """
+    return events.groupBy("bot_id").applyInPandas(_queue(limit), "bot_id long, seq long, accepted boolean")
