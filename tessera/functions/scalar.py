@@ -247,3 +247,17 @@ def candidate_stage(enrolled: Column, years_since: Column, years_worked: Column)
         .when(years_worked >= 3, "EXPERIENCED")
         .otherwise("UNKNOWN")
     )
+
+
+def pick_tunnel(urls: Column) -> Column:
+    """The first https address, else the first."""
+    return F.coalesce(F.get(F.filter(urls, lambda u: u.startswith("https")), F.lit(0)), F.get(urls, F.lit(0)))
+
+
+def extension_ok(name: Column, allowed: Sequence[str]) -> Column:
+    """Validation before a conversion: a named file with one of the extensions."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    out = F.lit(False)
+    for e in allowed:
+        out = out | (low.endswith(e) & (F.length(low) > len(e)))
+    return out

@@ -95,6 +95,19 @@ def _(t):
     return D.render_html(df, "s_name", ["c"], "items").select("s_suppkey", "html")
 
 
+@query("tunnel_pick", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://b' WHEN 1 THEN 'http://a' END AS url FROM pages")
+def _(t):
+    m = F.col("page_id") % 3
+    urls = F.when(m == 0, F.array(F.lit("http://a"), F.lit("https://b"))).when(m == 1, F.array(F.lit("http://a"))).otherwise(F.array().cast("array<string>"))
+    return t.pages.select("page_id", S.pick_tunnel(urls).alias("url"))
+
+
+@query("convertible_files", "SELECT doc_id, doc_id % 6 IN (0, 5) AS ok FROM documents")
+def _(t):
+    name = F.expr("case doc_id % 6 when 0 then concat('a', doc_id, '.docx') when 1 then '.doc' when 2 then null when 3 then 'x.pdf' when 4 then 'docx' else 'B.DOC' end")
+    return t.documents.select("doc_id", S.extension_ok(name, (".docx", ".doc")).alias("ok"))
+
+
 @query("ext_bounded_queue")
 def _(t):
     rows = t.events.select(F.col("user_id").alias("bot_id"), F.col("event_id").alias("seq"), (F.col("event_type") != "purchase").alias("arrives"))
