@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -36,20 +40,39 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet into the shared folder; what was written, and its path."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts lineage and survives the loss of executors: later jobs read files, not
     blocks that one executor holds.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, tag)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small_side(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (counted), else as it is, for a shuffled join.
+
+    For rows of a few numbers the default is some 50 MB on an executor.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def gapless_rank(
-    df: DataFrame, key: str, order: Sequence[str], counts: dict[int, int], out: str, rows: int = 4000
+    df: DataFrame, key: str, order: Sequence[str], counts: dict[int, int], out: str, rows: int = 1000
 ) -> DataFrame:
     """Add ``out``: 0, 1, 2 ... within each ``key``, without one task per key.
 
@@ -105,7 +128,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     def smallest(df: DataFrame) -> DataFrame:
         return df.groupBy("u").agg(F.min("v").alias("m"))
 
-    links = materialise(
+    links, path = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .filter("u <> v and u is not null and v is not null")
         .distinct(),
@@ -121,7 +144,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         joined = large.join(low, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        links = materialise(small, "links")
+        before = path
+        links, path = written(small, "links")
+        discard(edges.sparkSession, before)
         now = fingerprint(links)
         if now == seen:
             break
@@ -132,5 +157,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+_HELD: dict[str, object] = {}
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and many small objects leave it in pieces."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """A Python worker's cache across tasks. It holds one thing: asking for another drops the one before."""
+    if key not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

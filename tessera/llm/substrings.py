@@ -40,14 +40,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import give_back, materialise, small_side, text_or_empty
 
 LENGTH = 50
 GRAM = 25
 STEP = 5
 BLOCK = 2 << 20
 #: Positions that are hashed at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 #: Runs that may share a minimizer before their strings travel one by one.
 HOT = 4096
 SHARDS = 4
@@ -150,7 +150,11 @@ def runs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         starts = np.flatnonzero(begins)
         stops = np.append(np.flatnonzero(begins | ~valid), n)
         ends = stops[np.searchsorted(stops, starts, "right")]
-        found.append((starts + at, ends - starts, low[starts], here[starts]))
+        # Minima are small numbers: mixed once more, they spread evenly over buckets.
+        mixed = low[starts] * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        found.append((starts + at, ends - starts, mixed, here[starts]))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int32)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -270,6 +274,7 @@ def texts(joined: DataFrame, buckets: int) -> DataFrame:
                             _zip(_gather(block.data, starts[piece], counts[piece] + LENGTH - 1)),
                         )
                     )
+                give_back()
                 if rows:
                     kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
                     yield pa.RecordBatch.from_arrays(
@@ -387,7 +392,7 @@ def smallest_documents(strings: list[bytes], docs: np.ndarray, n_shards: int = S
     return out
 
 
-def _portions(chosen: np.ndarray, keys: np.ndarray, sizes: np.ndarray, most: int = 4 << 20) -> Iterator[np.ndarray]:
+def _portions(chosen: np.ndarray, keys: np.ndarray, sizes: np.ndarray, most: int = 1 << 18) -> Iterator[np.ndarray]:
     """Strings, sorted by minimizer, in portions of about ``most`` bytes that part between minimizers."""
     if not len(chosen):
         return
@@ -402,56 +407,67 @@ def covered(sent: DataFrame, n_shards: int = SHARDS) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         columns = {c: [_unzip(x.as_py(), k) for x in group.column(c)] for c, k in (("starts", "<i8"), ("counts", "<u4"), ("keys", "<u4"), ("docs", "<i8"))}
-        raw = [_unpack(x.as_py()) for x in group.column("text")]
+        whole = b"".join(_unpack(x.as_py()) for x in group.column("text"))
         per_row = [len(x) for x in columns["counts"]]
         starts = np.concatenate([np.cumsum(x) for x in columns["starts"]])
         counts = np.concatenate(columns["counts"]).astype(np.int64)
         keys = np.concatenate(columns["keys"])
         docs = np.concatenate(columns["docs"])
-        whole = b"".join(raw)
-        sizes = counts + LENGTH - 1
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(counts + LENGTH - 1)
         seen: dict[bytes, int] = {}
         number = np.fromiter(
-            (seen.setdefault(whole[a:b], len(seen)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)),
+            (
+                seen.setdefault(whole[a:b], len(seen))
+                for a, b in zip((ends - counts - LENGTH + 1).tolist(), ends.tolist(), strict=True)
+            ),
             np.int64,
             len(ends),
         )
         strings = list(seen)
+        del seen, whole, ends
         lowest = np.full(len(strings), _LAST)
         np.minimum.at(lowest, number, docs)
         # Only strings that share their minimizer with others have places to compare.
         key_of = np.empty(len(strings), np.uint32)
         key_of[number] = keys
         _, inverse, n = np.unique(key_of, return_inverse=True, return_counts=True)
-        together = n[inverse] > 1
-        string_sizes = np.array([len(s) - LENGTH + 1 for s in strings], np.int64)
-        string_ends = np.cumsum(string_sizes)
-        low = np.repeat(lowest, string_sizes)
-        chosen = np.flatnonzero(together)
+        chosen = np.flatnonzero(n[inverse] > 1)
         chosen = chosen[np.argsort(key_of[chosen], kind="stable")]
-        for part in _portions(chosen, key_of, string_sizes + LENGTH):
+        sizes = np.array([len(s) - LENGTH + 1 for s in strings], np.int64)
+        first = np.cumsum(sizes) - sizes
+        low = np.repeat(lowest, sizes)
+        for part in _portions(chosen, key_of, sizes + LENGTH):
             found = smallest_documents([strings[i] for i in part], lowest[part], n_shards)
-            full = string_sizes[part] + LENGTH
-            taken = _gather(found, np.cumsum(full) - full, string_sizes[part])
-            low[_gather(np.arange(len(low)), string_ends[part] - string_sizes[part], string_sizes[part])] = taken
-        hit = _gather(low, (string_ends - string_sizes)[number], counts) < np.repeat(docs, counts)
-        place = _gather(np.arange(int(starts.max(initial=0)) + int(counts.max(initial=0)) + 1), starts, counts)
-        run_of = np.repeat(np.arange(len(counts)), counts)
-        row_of = np.repeat(np.arange(len(per_row)), per_row)
-        begins = hit.copy()
-        begins[1:] &= ~hit[:-1] | (run_of[1:] != run_of[:-1])
-        closes = hit.copy()
-        closes[:-1] &= ~hit[1:] | (run_of[1:] != run_of[:-1])
-        a, b = place[begins], place[closes] + LENGTH
-        row = row_of[run_of[begins]]
-        cuts = np.searchsorted(row, np.arange(len(per_row) + 1))
-        out_blocks, out = [], []
-        for i, block in enumerate(group.column("block").to_pylist()):
-            if cuts[i + 1] > cuts[i]:
-                out_blocks.append(block)
-                out.append(_zip(np.stack((a[cuts[i] : cuts[i + 1]], b[cuts[i] : cuts[i + 1]]), 1).astype(np.int64)))
-        return pa.table({"block": pa.array(out_blocks, pa.int64()), "ranges": pa.array(out, pa.binary())})
+            full = sizes[part] + LENGTH
+            low[_gather(np.arange(len(low)), first[part], sizes[part])] = _gather(found, np.cumsum(full) - full, sizes[part])
+        del strings
+        rows = np.repeat(np.arange(len(per_row)), per_row)
+        parts: dict[int, list[np.ndarray]] = {}
+        # A portion of the runs at a time: their strings are many times as many.
+        for at in range(0, len(counts), 1 << 13):
+            c, s = counts[at : at + (1 << 13)], starts[at : at + (1 << 13)]
+            hit = _gather(low, first[number[at : at + (1 << 13)]], c) < np.repeat(docs[at : at + (1 << 13)], c)
+            run_of = np.repeat(np.arange(len(c)), c)
+            place = np.arange(len(hit)) + np.repeat(s - (np.cumsum(c) - c), c)
+            new = run_of[1:] != run_of[:-1]
+            begins, closes = hit.copy(), hit.copy()
+            begins[1:] &= ~hit[:-1] | new
+            closes[:-1] &= ~hit[1:] | new
+            pairs = np.stack((place[begins], place[closes] + LENGTH), 1)
+            row = rows[at + run_of[begins]]
+            cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else []
+            for i, p in zip(row[cuts], np.split(pairs, cuts[1:]) if len(row) else [], strict=True):
+                parts.setdefault(int(i), []).append(p)
+        block = group.column("block").to_pylist()
+        out = pa.table(
+            {
+                "block": pa.array([block[i] for i in parts], pa.int64()),
+                "ranges": pa.array([_zip(np.concatenate(p)) for p in parts.values()], pa.binary()),
+            }
+        )
+        del low, number, docs, counts, starts, parts
+        give_back()
+        return out
 
     return sent.groupBy("bucket").applyInArrow(run, "block long, ranges binary")
 
@@ -490,11 +506,25 @@ def cut(joined: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, block: int = BLOCK, hot: int = HOT, n_shards: int = SHARDS) -> DataFrame:
     """One row per document: its bytes, those removed, the removed spans and a digest of the rest."""
-    table = materialise(blocks(docs, block), "blocks")
+    own = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text"))
+    own = own.withColumn("digest", F.md5(F.col("text").cast("binary")))
+    # Of equal texts only those with the smallest id take part; the others are repeats as a whole.
+    place = F.coalesce("doc_id", F.lit(_LAST))
+    sizes = materialise(own.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    first = sizes.filter(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = materialise(sizes.join(first, "digest").filter(place > F.col("first")).drop("first", "n"), "copies")
+    gone = small_side(copies.select(place.alias("_id"), F.col("digest").alias("_digest")).distinct(), 1_000_000)
+    left = own.join(gone, (place == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_anti")
+    table = materialise(blocks(left, block), "blocks")
     total = table.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     buckets = max(4, math.ceil(total / (8 << 20)))
     sent = codes(table, buckets)
     told = answers(sent, hot).groupBy("block").agg(F.collect_list(F.struct("bucket", "verdicts")).alias("found"))
     repeated = texts(table.join(told, "block"), 2 * buckets)
     ranges = covered(repeated, n_shards).groupBy("block").agg(F.collect_list("ranges").alias("ranges"))
-    return cut(table.join(materialise(ranges, "ranges"), "block", "left"))
+    out = cut(table.join(materialise(ranges, "ranges"), "block", "left"))
+    none = F.lit(0).cast("long")
+    removed = copies.select(
+        "doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), (none + 1).alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256")
+    )
+    return out.unionByName(removed)
