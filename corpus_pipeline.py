@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, packing, pii, simhash, toxicity
-from tessera.llm.common import materialise, shared_dir, table
+from tessera.llm.common import materialise, shared_dir, small_side, table
 from tessera.llm.queries import word_tokenizer
 
 ORACLE_SQL = None
@@ -38,8 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each component of linked fingerprints the document with the smallest id stays."""
     found = materialise(simhash.near_duplicates(docs).select("doc_id", "component_id"), "components")
     key = F.col("doc_id").cast("long")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(f"{_OWN}id"))
-    kept = docs.join(gone, key == F.col(f"{_OWN}id"), "left_anti")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(f"{_OWN}id")).distinct()
+    kept = docs.join(small_side(gone), key == F.col(f"{_OWN}id"), "left_anti")
     again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     again = again.select(F.col("doc_id").alias(f"{_OWN}id"))
     if again.isEmpty():
@@ -52,27 +52,31 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold a benchmark item, re-parameterised or not, go."""
     hits = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
     gone = materialise(hits.select(F.col("doc_id").alias(f"{_OWN}id")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col(f"{_OWN}id"), "left_anti")
+    return docs.join(small_side(gone), F.col("doc_id").cast("long") == F.col(f"{_OWN}id"), "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes ``<kind>``; ``n_chars`` follows where the text changes."""
     found = pii.extract(docs)
-    spans = f"{_OWN}spans"
-    own = f"{_OWN}hash"
-    hit = found.select(
-        F.col("text_hash").alias(own),
-        F.expr("array_sort(case when more is null then base else concat(base, more) end)").alias(spans),
-    ).filter(F.size(spans) > 0)
-    hit = hit.dropDuplicates([own])
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), text)).join(hit, own, "left")
-    masked = F.when(F.col(spans).isNull(), F.col("text")).otherwise(pii.masked(F.col("text"), F.col(spans)))
-    out = joined.withColumn("text", masked)
-    if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(length))
-    return out.select(*docs.columns)
+    more = materialise(found.filter("more is not null").select("text_hash", "more").dropDuplicates(["text_hash"]), "more")
+    # Base spans are found again beside the text, which is cheaper than moving texts.
+    rows = pii.base_spans(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), "_row")
+    rows = rows.withColumn("text_hash", F.xxhash64("doc_id", "text"))
+    if more.isEmpty():
+        rows = rows.withColumn("more", F.lit(None).cast(more.schema["more"].dataType))
+    else:
+        rows = rows.join(small_side(more, 200_000), "text_hash", "left")
+    rows = rows.withColumn("_spans", F.array_sort(F.concat(pii.base_array(), F.coalesce("more", F.array().cast(more.schema["more"].dataType)))))
+    rows = rows.withColumn("_hit", F.size("_spans") > 0).withColumn("_masked", F.when(F.col("_hit"), pii.masked(F.col("text"), F.col("_spans"))))
+    out = []
+    for c in docs.columns:
+        value = F.col("_row").getField(c)
+        if c == "text":
+            value = F.when(F.col("_hit"), F.col("_masked")).otherwise(value)
+        elif c == "n_chars":
+            value = F.when(F.col("_hit"), F.length("_masked").cast(docs.schema[c].dataType)).otherwise(value)
+        out.append(value.alias(c))
+    return rows.select(*out)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,9 +92,9 @@ def _matches(rows: DataFrame, name: str, pattern: str, gate: Column) -> DataFram
     ).drop(found, between, f"_{name}_steps", f"_{name}_before")
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
+def base_spans(docs: DataFrame, *carried: str) -> DataFrame:
     """Per row of ``docs``: spans of each kind and further candidates, with their contexts."""
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text"), *carried)
     digits = F.col("text").rlike("[0-9]")
     rows = _matches(rows, "email", PATTERNS["email"], F.contains("text", F.lit("@")))
     rows = _matches(rows, "ip", PATTERNS["ip"], digits)
@@ -131,6 +131,14 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows
 
 
+def base_array() -> Column:
+    """The spans of all kinds in one array: start, rank of the kind, kind, end."""
+    parts = (
+        f"transform({k}, x -> struct(x.start as start, {i} as rank, '{k}' as kind, x.end as end))" for i, k in enumerate(KINDS)
+    )
+    return F.expr(f"concat({', '.join(parts)})")
+
+
 def _digest(spans: str) -> Column:
     return F.expr(
         f"array_join(transform(array_sort({spans}), s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
@@ -146,16 +154,12 @@ def extract(
 ) -> DataFrame:
     """``(doc_id, text_hash, base, more)``: base spans and those that bootstrapping adds, each ``(start, rank, kind, end)``."""
     rows = base_spans(docs)
-    ranked = ", ".join(
-        f"transform({k}, x -> struct(x.start as start, {i} as rank, '{k}' as kind, x.end as end))"
-        for i, k in enumerate(KINDS)
-    )
     seeds = ", ".join(KINDS)
     rows = materialise(
         rows.select(
             "doc_id",
             F.xxhash64("doc_id", "text").alias("text_hash"),
-            F.expr(f"concat({ranked})").alias("base"),
+            base_array().alias("base"),
             F.expr(
                 f"transform(concat({seeds}), x -> struct(lower(x.text) as text, x.left as left, x.right as right))"
             ).alias("seeds"),

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 MAX_TRAINING_ROWS = 8000
 BUCKETS = 1 << 18
 EPOCHS = 200
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def _bucket(token: str) -> int:
