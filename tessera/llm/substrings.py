@@ -512,7 +512,7 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK, hot: int = HOT, n_shards
     place = F.coalesce("doc_id", F.lit(_LAST))
     sizes = materialise(own.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     first = sizes.filter(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = materialise(sizes.join(first, "digest").filter(place > F.col("first")).drop("first", "n"), "copies")
+    copies = materialise(sizes.join(small_side(first, 500_000), "digest").filter(place > F.col("first")).drop("first", "n"), "copies")
     gone = small_side(copies.select(place.alias("_id"), F.col("digest").alias("_digest")).distinct(), 1_000_000)
     left = own.join(gone, (place == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_anti")
     table = materialise(blocks(left, block), "blocks")
