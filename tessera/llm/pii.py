@@ -207,6 +207,9 @@ def extract(
             .select("instance", F.when((F.col("score") >= min_score) & (F.col("sides") > 1), F.round("score", 9)).otherwise(0.0).alias("score"))
         )
         found = materialise(scores, "scores")
+        if found.filter("score > 0").isEmpty():
+            # Nothing became known, so another round would score the same.
+            break
     more = (
         occurrences.join(found.filter("score > 0").select("instance"), "instance")
         .groupBy("text_hash")
