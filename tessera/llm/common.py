@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -36,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -177,5 +181,12 @@ def held(key: str, make: Callable[[], object]) -> object:
     return _HELD[key]
 
 
+def release() -> None:
+    """Drop what ``held`` keeps, where a stage starts that has no cache."""
+    if _HELD:
+        _HELD.clear()
+        give_back()
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
