@@ -18,23 +18,32 @@ other columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import filterfalse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, materialise
+from .common import gapless_rank, held, materialise
 
 CAPACITY = 4096
 EOS = 1
 #: Entries of one generation of a Python worker's chunk cache; two are kept.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
+#: Marks that are a token group of their own behind letters.
+MARKS = b".,!?*&%#;:"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_CODERS: dict[str, Chunks] = {}
+
+def letters(word: bytes) -> bool:
+    """Whether a word is of letters alone, also after it is normalised and lower-cased."""
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
 
 
 class Chunks(dict):
@@ -53,34 +62,59 @@ class Chunks(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.older: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def keep(self, chunk: bytes, ids: bytes) -> None:
+        if len(chunk) <= 48:
+            if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = ids
 
     def __missing__(self, chunk: bytes) -> bytes:
         low = chunk.lower()
-        word = low.rstrip(b".,!?*&%#;:")
+        word = low.rstrip(MARKS)
         if (ids := self.older.get(chunk)) is not None:
             pass
         elif low != chunk and b"<" not in chunk:
             ids = self[low]
-        elif word != low and word.decode("utf-8", "replace").isalpha():
+        elif word != low and letters(word):
             ids = self[word] + self[low[len(word) :]]
         else:
             found = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-            ids = b"".join(i.to_bytes(4, "little") for i in found)
-        if len(chunk) <= 48:
-            if len(self) >= CACHE_ENTRIES:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = ids
+            ids = np.array(found, "<u4").tobytes()
+        self.keep(chunk, ids)
         return ids
 
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
+    def learn(self, chunks: set[bytes]) -> None:
+        """Look up new words many at a time: each word of letters is one group, so its tokens end with one that ends a word."""
+        words = {w for c in chunks if c not in self.older and len(w := c.rstrip(MARKS)) <= 48}
+        new = [w for w in words if w not in self and w not in self.older and letters(w)]
+        for at in range(0, len(new), 512):
+            part = new[at : at + 512]
+            text = b" ".join(part).decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            # Where letters change into others under normalisation, words are looked up one by one.
+            if len(ends) == len(part):
+                raw, starts = ids.tobytes(), [0, *ends.tolist()]
+                for word, a, b in zip(part, starts, starts[1:], strict=False):
+                    self.keep(word, raw[4 * a : 4 * b])
+
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        split = []
+        for text in texts:
+            raw = (text or "").encode("utf-8", "replace")
+            # The tokenizer lower-cases all but its special tokens.
+            split.append((raw if b"<|" in raw else raw.lower()).split())
+        self.learn({w for words in split for w in filterfalse(self.__contains__, set(words))})
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
 def coder(path: str) -> Chunks:
-    if path not in _CODERS:
-        _CODERS[path] = Chunks(path)
-    return _CODERS[path]
+    return held(f"chunks {path}", lambda: Chunks(path))
 
 
 def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int = EOS) -> DataFrame:
@@ -91,11 +125,14 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int
         chunks = coder(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = chunks.encode(text.as_py()) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            for first in range(0, batch.num_rows, 64):
+                some = batch.slice(first, 64)
+                coded = chunks.encode(some.column(1).to_pylist())
+                for doc_id, found in zip(some.column(0).to_pylist(), coded, strict=True):
+                    ids = found + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],

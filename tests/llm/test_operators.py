@@ -324,12 +324,12 @@ def test_packing_plan(counts):
     assert bins <= 1.5 * least + 1
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=80))
-def test_chunks_equal_whole_texts(text):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=60) | st.text(alphabet="aAéÉİß's.,!<|>endoftx \u0301ﬁ12", max_size=60), max_size=4))
+def test_chunks_equal_whole_texts(texts):
     chunks = packing.coder(word_tokenizer())
-    want = np.array(chunks.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert chunks.encode(text) == want
+    want = [np.array(chunks.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert chunks.encode(texts) == want
 
 
 # 7
