@@ -34,7 +34,7 @@ from .common import gapless_rank, held, materialise
 CAPACITY = 4096
 EOS = 1
 #: Entries of one generation of a Python worker's chunk cache; two are kept.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 #: Marks that are a token group of their own behind letters.
 MARKS = b".,!?*&%#;:"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -55,8 +55,9 @@ class Chunks(dict):
     looked up by part.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES) -> None:
         super().__init__()
+        self.entries = entries
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -68,7 +69,7 @@ class Chunks(dict):
 
     def keep(self, chunk: bytes, ids: bytes) -> None:
         if len(chunk) <= 48:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()
             self[chunk] = ids
@@ -113,16 +114,18 @@ class Chunks(dict):
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
-def coder(path: str) -> Chunks:
-    return held(f"chunks {path}", lambda: Chunks(path))
+def coder(path: str, entries: int = CACHE_ENTRIES) -> Chunks:
+    return held(f"chunks {entries} {path}", lambda: Chunks(path, entries))
 
 
-def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int = EOS) -> DataFrame:
+def tokenise(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int = EOS, entries: int = CACHE_ENTRIES
+) -> DataFrame:
     """One row per piece: its place in its document, its length and a checksum of its ids."""
     end = eos.to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = coder(tokenizer)
+        chunks = coder(tokenizer, entries)
         for batch in batches:
             rows: list[tuple] = []
             for first in range(0, batch.num_rows, 64):
@@ -222,10 +225,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple],
     return runs, bins
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int = EOS) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int = EOS, entries: int = CACHE_ENTRIES
+) -> DataFrame:
     """Each piece with its sequence and its offset there."""
     spark = docs.sparkSession
-    pieces = materialise(tokenise(docs, tokenizer, capacity, eos), "pieces")
+    pieces = materialise(tokenise(docs, tokenizer, capacity, eos, entries), "pieces")
     # At most `capacity` rows: lengths lie between 1 and capacity.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = plan(counts, capacity)
