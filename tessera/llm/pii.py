@@ -186,9 +186,14 @@ def extract(
     found = edges.select("instance").distinct().select("instance", F.lit(0.0).alias("score"))
     for _ in range(rounds):
         confidence = (
-            edges.join(found, "instance")
+            # Instances without a score count as unknown in every round.
+            edges.join(found, "instance", "left")
             .groupBy("pattern")
-            .agg(F.max("seeded").alias("seeded"), F.count("*").alias("unknown"), F.sum("score").alias("gained"))
+            .agg(
+                F.max("seeded").alias("seeded"),
+                F.count("*").alias("unknown"),
+                F.sum(F.coalesce("score", F.lit(0.0))).alias("gained"),
+            )
             .select(
                 "pattern",
                 ((F.col("seeded") + F.col("gained")) / (F.col("seeded") + F.col("unknown") + 1)).alias("confidence"),

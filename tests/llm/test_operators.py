@@ -125,6 +125,16 @@ def test_pii_bootstrap(spark):
     assert got[51]["spans"] == ""
 
 
+def test_pii_common_words_stay_unknown(spark):
+    rows = [f"please call +1 (234) 555-{1000 + i} today" for i in range(20)]
+    rows += [f"so the +1 (234) 555-{2000 + i} now" for i in range(20)]
+    rows += [f"so the x12345{i} now" for i in range(200)]
+    rows += ["please call 7788-ABC-99 today", "so the 7788-ABC-99 now"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = rows_of(pii.personal_data(df))
+    assert {i for i, r in got.items() if r["n_other"]} == {240, 241}
+
+
 # 2
 
 
