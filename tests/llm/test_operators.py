@@ -259,6 +259,25 @@ def test_decode(word):
     assert toxicity.decode(word, toxicity.log_model(total)) == "idiot"
 
 
+def test_toxicity_segments_spaced_runs():
+    texts = ["you are a moron and a stupid idiot"] * 30 + ["i said that this is the stupid thing that a moron did"] * 30
+    total = np.zeros(1 << 15)
+    for t in texts:
+        c = np.frombuffer(f" {t} ".encode().translate(toxicity._CODE_BYTES), np.uint8).astype(int)
+        total += np.bincount((c[:-2] << 10) | (c[1:-1] << 5) | c[2:], minlength=1 << 15)
+    restorer = toxicity.Restorer(toxicity.log_model(total))
+    found = lambda t, *words: {toxicity._hash(w) for w in words} <= restorer.features(t)
+    assert found("you are a m o r o n", "moron")
+    assert found("s t u p i d i d i o t", "stupid", "idiot")
+    assert found("you are s t u p 1 d and", "stupid")
+    for pad in range(6):
+        run = "a" * pad + "stupididiotmoron" * 40
+        assert found(" ".join(run), "stupid", "idiot", "moron")
+    run = " ".join("said" * 15 + "idiot" + "said" * 15)
+    assert found(run, "idiot", "said")
+    assert found("this i d i o t did", "idiot")
+
+
 def test_toxicity(spark, docs, texts, empty):
     rng = random.Random(8)
     rows, labels = [], []
