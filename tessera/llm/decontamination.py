@@ -5,7 +5,9 @@ typed placeholders, other words are lower-cased and lose their punctuation.
 Windows of five template words are hashed and joined with those of the benchmark,
 so a question whose parameters were changed still matches. A match then has to be
 consistent: along one alignment of item and document, each placeholder value of
-the item must stand for one value of the document. A document is contaminated by
+the item must stand for one value of the document. Windows of the words as they
+are written, without marks at their edges, are joined as well, since the words and
+marks before a window decide what counts as a name. A document is contaminated by
 an item when at least ``threshold`` of the item's windows occur in it consistently.
 
 Native throughout. The windows of a text are joined inside its own task while the
@@ -14,7 +16,7 @@ sides are shuffled by window.
 
 Edge cases: null or empty texts and items have no windows and never match; items
 of fewer than five words match as one window of all their words; windows that are
-mostly placeholders are not used; repeated items or documents with equal ids count
+mostly placeholders are not used; a copy in other case is missed where it has names; repeated items or documents with equal ids count
 as one; an empty table on either side gives no rows; other columns are ignored.
 """
 
@@ -70,32 +72,40 @@ def canonical(text: Column) -> tuple[Column, Column]:
 
 
 def windows(rows: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
-    """``(key, at, window, slots)``: hashed windows of template words, with the places and values of their placeholders."""
+    """``(key, at, window, slots, literal)``: hashed windows of template words, with the places and values of their
+    placeholders, and of the words as they are written (``literal``, without slots)."""
     bare, template = canonical(F.col("text"))
     rows = rows.select(key, "text", F.col("text").rlike("[0-9]").alias("numbered"))
     rows = rows.select(key, bare.alias("bare"), template.alias("canonical"))
     rows = rows.select(key, "bare", "canonical", F.col("canonical").rlike(_SLOT).alias("slotted"))
-    # Only texts with placeholders need their own words.
+    edge = rf"[^\p{{L}}\p{{N}}{WS}]++(?![^{WS}])|(?<![^{WS}])[^\p{{L}}\p{{N}}{WS}]++"
     rows = rows.select(
         key,
         "slotted",
         F.split("canonical", f"[{WS}]+").alias("template"),
-        F.when(F.col("slotted"), F.split("bare", f"[{WS}]+")).alias("words"),
+        F.split(F.regexp_replace("bare", edge, ""), f"[{WS}]+").alias("words"),
     ).withColumn("n", F.size("template"))
     places = f"sequence(0, n - {size})"
     window = f"xxhash64({', '.join(f'template[i + {j}]' for j in range(size))})"
+    # One column more, so that no template has the hash of written words.
+    written = f"xxhash64('', {', '.join(f'words[i + {j}]' for j in range(size))})"
     kind = "array<struct<place:int,value:string>>"
     slots = (
         "filter(transform(slice(template, {0} + 1, {1}), (t, j) -> case when t rlike '[\\\\x01-\\\\x03]'"
         " then named_struct('place', j, 'value', lower(words[{0} + j])) end), x -> x is not null)"
     )
+    empty = "template[0] = '' and n = 1"
     rows = rows.withColumn(
         "spans",
         F.expr(
-            f"case when n < {size} then case when template[0] = '' and n = 1 then null else array(named_struct('at', 0, 'window',"
-            f" xxhash64(array_join(template, ' ')), 'slots', case when slotted then {slots.format('0', 'n')} end)) end"
-            f" when slotted then transform({places}, i -> named_struct('at', i, 'window', {window}, 'slots', {slots.format('i', size)}))"
-            f" else transform({places}, i -> named_struct('at', i, 'window', {window}, 'slots', cast(null as {kind}))) end"
+            f"case when {empty} then null when n < {size} then array(named_struct('at', 0, 'window',"
+            f" xxhash64(array_join(template, ' ')), 'slots', case when slotted then {slots.format('0', 'n')} end, 'literal', false),"
+            f" named_struct('at', 0, 'window', xxhash64('', array_join(words, ' ')), 'slots', cast(null as {kind}), 'literal', true))"
+            f" when slotted then concat(transform({places}, i -> named_struct('at', i, 'window', {window}, 'slots',"
+            f" {slots.format('i', size)}, 'literal', false)),"
+            f" transform({places}, i -> named_struct('at', i, 'window', {written}, 'slots', cast(null as {kind}), 'literal', true)))"
+            f" else concat(transform({places}, i -> named_struct('at', i, 'window', {window}, 'slots', cast(null as {kind}), 'literal', false)),"
+            f" transform({places}, i -> named_struct('at', i, 'window', {written}, 'slots', cast(null as {kind}), 'literal', true))) end"
         ),
     )
     # The outer form: for the inner one the optimizer adds a filter on the array's
@@ -103,7 +113,7 @@ def windows(rows: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
     out = rows.select(key, "n", F.inline_outer("spans")).filter("window is not null")
     literals = F.least("n", F.lit(size)) - F.size("slots")
     enough = F.coalesce(literals >= F.least(F.lit(MIN_LITERALS), F.col("n") - 1), F.lit(True))
-    return out.filter(enough).drop("n")
+    return out.filter(F.col("literal") | enough).drop("n")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, size: int = WINDOW) -> DataFrame:
@@ -113,17 +123,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         "item_id",
         size,
     )
-    items = materialise(items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"}), "items")
+    items = items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"})
+    typed = items.filter("not literal").select("item_id", "item_at").distinct()
+    items = materialise(items.join(typed, ["item_id", "item_at"]), "items")
     n_items, = items.agg(F.count("*")).first()
-    totals = items.groupBy("item_id").agg(F.count("*").alias("windows"))
+    totals = items.filter("literal").groupBy("item_id").agg(F.count("*").alias("windows"))
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text")).filter("doc_id is not null")
-    own = windows(texts, "doc_id", size)
+    own = windows(texts, "doc_id", size).drop("literal")
     side = F.broadcast(items) if n_items <= BROADCAST_WINDOWS else items
     hits = own.join(side, "window").select(
         "doc_id",
         "item_id",
         "at",
         "item_at",
+        "literal",
         (F.col("at") - F.col("item_at")).alias("shift"),
         F.expr(
             "transform(item_slots, (x, k) -> named_struct('item', x.value, 'doc', slots[k].value))"
@@ -139,7 +152,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         .select("doc_id", "item_id", "shift")
         .distinct()
     )
-    kept = hits.join(aligned, ["doc_id", "item_id", "shift"], "left_anti")
+    consistent = hits.filter("not literal").join(aligned, ["doc_id", "item_id", "shift"], "left_anti")
+    kept = consistent.unionByName(hits.filter("literal"))
     matched = kept.groupBy("doc_id", "item_id").agg(
         F.count_distinct("item_at").alias("matched"), F.min("at").cast("long").alias("first_word")
     )

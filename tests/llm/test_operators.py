@@ -498,6 +498,14 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contaminated(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_verbatim_copies(spark):
+    items = [(1, "Tall trees grow near rivers here"), (2, "She bought 12, then sold 12 of those old red apples again")]
+    docs = [(1, "a line without end\nTall trees grow near rivers here"), (2, "yes: She bought 12 then sold 12, of those old red apples again")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontamination.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2)}
+
+
 def test_decontamination_passages(spark):
     from tessera.llm.common import table
 
