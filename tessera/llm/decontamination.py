@@ -16,7 +16,7 @@ sides are shuffled by window.
 
 Edge cases: null or empty texts and items have no windows and never match; items
 of fewer than five words match as one window of all their words; windows that are
-mostly placeholders are not used; a copy in other case is missed where it has names; repeated items or documents with equal ids count
+mostly placeholders match as written only, and count where the others alone do not reach the share; a copy in other case is missed where it has names; repeated items or documents with equal ids count
 as one; an empty table on either side gives no rows; other columns are ignored.
 """
 
@@ -124,10 +124,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         size,
     )
     items = items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"})
-    typed = items.filter("not literal").select("item_id", "item_at").distinct()
-    items = materialise(items.join(typed, ["item_id", "item_at"]), "items")
+    typed = items.filter("not literal").select("item_id", "item_at", F.lit(True).alias("typed")).distinct()
+    items = items.join(typed, ["item_id", "item_at"], "left").withColumn("typed", F.coalesce("typed", F.lit(False)))
+    items = materialise(items, "items")
     n_items, = items.agg(F.count("*")).first()
-    totals = items.filter("literal").groupBy("item_id").agg(F.count("*").alias("windows"))
+    totals = items.filter("literal").groupBy("item_id").agg(F.count("*").alias("all_windows"), F.count_if("typed").alias("typed_windows"))
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text")).filter("doc_id is not null")
     own = windows(texts, "doc_id", size).drop("literal")
     side = F.broadcast(items) if n_items <= BROADCAST_WINDOWS else items
@@ -137,6 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         "at",
         "item_at",
         "literal",
+        "typed",
         (F.col("at") - F.col("item_at")).alias("shift"),
         F.expr(
             "transform(item_slots, (x, k) -> named_struct('item', x.value, 'doc', slots[k].value))"
@@ -155,11 +157,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     consistent = hits.filter("not literal").join(aligned, ["doc_id", "item_id", "shift"], "left_anti")
     kept = consistent.unionByName(hits.filter("literal"))
     matched = kept.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("item_at").alias("matched"), F.min("at").cast("long").alias("first_word")
+        F.count_distinct("item_at").alias("all_matched"),
+        F.count_distinct(F.when(F.col("typed"), F.col("item_at"))).alias("typed_matched"),
+        F.min("at").cast("long").alias("first_word"),
     )
+    # The windows with enough literal words decide, or else all of them.
+    few = (F.col("typed_windows") == 0) | (F.col("typed_matched") < threshold * F.col("typed_windows"))
     side = F.broadcast(totals) if n_items <= BROADCAST_WINDOWS else totals
     return (
         matched.join(side, "item_id")
+        .withColumn("matched", F.when(few, F.col("all_matched")).otherwise(F.col("typed_matched")))
+        .withColumn("windows", F.when(few, F.col("all_windows")).otherwise(F.col("typed_windows")))
         .withColumn("share", F.round(F.col("matched") / F.col("windows"), 6))
         .filter(F.col("matched") >= threshold * F.col("windows"))
         .select("doc_id", "item_id", "matched", "windows", "share", "first_word")

@@ -506,6 +506,14 @@ def test_decontamination_verbatim_copies(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2)}
 
 
+def test_decontamination_of_mostly_placeholders(spark):
+    items = spark.createDataFrame([(1, "Solve 12 + 7"), (2, "is 12 34 56 78 90 then")], "item_id long, text string")
+    docs = [(1, "Solve 12 + 7"), (2, "so what is 12 34 56 78 90 then or not"), (3, "so what is 13 35 57 79 91 then or not")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["matched"], r["windows"]) for r in decontamination.contaminated(df, items).collect()}
+    assert got == {(1, 1, 1, 1), (2, 2, 3, 3)}
+
+
 def test_decontamination_passages(spark):
     from tessera.llm.common import table
 
