@@ -6,21 +6,28 @@ the 25-byte strings inside it, so equal strings have equal minimizers wherever
 they lie. Consecutive strings with one minimizer form a run.
 
 1. Documents are gathered into blocks of about ``BLOCK`` bytes.
-2. Blocks send 30 bits of each of their minimizers (besides the bucket they fall
+2. Blocks send 28 bits of each of their minimizers (besides the bucket they fall
    into) to buckets, which answer which of them other documents have as well. All
    others cannot hold a repeated string.
 3. Runs with repeated minimizers go, as text, to the bucket of their minimizer;
    equal texts are one. Each bucket builds the transforms of a few shards of its
    texts and merges them: the interleave of the shards starts out arbitrary and is
-   refined by the symbols of the transforms, five bytes a round, until it is in the
-   order of the first 50 bytes. Where neighbours part in a round their common
-   prefix ends; intervals that never part are the repeated strings, and each takes
-   the smallest document that has it. No suffixes of different shards are compared.
+   refined by the symbols of the transforms, two bytes a round, until it is in the
+   order of the first 50 bytes. A round deals the places out by symbol and keeps
+   their order, in linear time; nothing is compared or sorted anew. Where
+   neighbours part in a round their common prefix ends; intervals that never part
+   are the repeated strings, and each takes the smallest document that has it.
 4. Blocks get the covered ranges back and cut them out.
 
-Minimizers that very many runs share (a line that a third of the documents have,
-each with other text around it) would meet in one bucket; their strings are sent
-one by one, to the buckets of their own hashes.
+Minimizers whose runs hold more than ``HOT`` bytes (a line that a third of the
+documents have, each with other text around it; a rule of dashes, whose strings
+all have one minimizer) would meet in one bucket. Their strings are matched by 128
+hash bits instead: each block names its different ones once, with the smallest
+and largest document, minima are aggregated before they are shuffled, and blocks
+look their strings up again. Equal whole texts are matched by MD5 first.
+
+Rows exchanged in step 2 number blocks times buckets at most, and never more than
+there are different minimizers in all blocks.
 
 Edge cases: a null text counts as empty; texts under 50 bytes lose nothing; rows
 with equal ``doc_id`` do not remove each other's bytes; a null ``doc_id`` is
@@ -45,15 +52,20 @@ from .common import give_back, materialise, small_side, text_or_empty
 LENGTH = 50
 GRAM = 25
 STEP = 5
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 #: Positions that are hashed at once.
 CHUNK = 1 << 17
-#: Runs that may share a minimizer before their strings travel one by one.
-HOT = 4096
+#: Bytes of runs that may share a minimizer before their strings are matched one by one.
+HOT = 1 << 18
 SHARDS = 4
 _LAST = np.iinfo(np.int64).max
-#: Fewest occurrences in a block that its two flag bits stand for.
-_LEAST = np.array([1, 2, 64, 1024], np.int64)
+#: Fewest bytes of a minimizer's runs in a block that three flag bits stand for.
+_LEAST = np.array([LENGTH] + [64 << 2 * i for i in range(1, 8)], np.int64)
+#: Factors of the two families of string hashes.
+_FACTORS = (
+    (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93),
+    (0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25),
+)
 
 
 def _pack(data: bytes) -> bytes:
@@ -117,13 +129,14 @@ class Block:
         self.ends = np.cumsum(self.sizes)
 
 
-def grams(data: np.ndarray) -> np.ndarray:
+def grams(data: np.ndarray, family: int = 0) -> np.ndarray:
     """Hashes of all 25-byte strings."""
+    lead, *others = _FACTORS[family]
     words = np.lib.stride_tricks.sliding_window_view(data, 8)
     words = np.ascontiguousarray(words).view("<u8").ravel()
     n = len(data) - GRAM + 1
-    g = words[:n] * np.uint64(0x9E3779B97F4A7C15)
-    for at, factor, shift in ((8, 0xBF58476D1CE4E5B9, 29), (16, 0x94D049BB133111EB, 32), (17, 0xD6E8FEB86659FD93, 29)):
+    g = words[:n] * np.uint64(lead)
+    for at, factor, shift in zip((8, 16, 17), others, (29, 32, 29), strict=True):
         g ^= g >> np.uint64(shift)
         g += words[at : at + n]
         g *= np.uint64(factor)
@@ -174,22 +187,22 @@ def _unique(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def codes(table: DataFrame, buckets: int) -> DataFrame:
-    """Per block and bucket: 30 bits of each different minimizer and two of how many runs have it."""
+    """Per block and bucket: 28 bits of each different minimizer, one whether several documents have it, three of how many bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, *parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 block = Block(*parts)
-                _, _, hashes, docs = runs(block)
+                _, counts, hashes, docs = runs(block)
                 order, first, _ = _unique(hashes)
                 if not len(first):
                     continue
                 ids = block.ids[docs[order]]
                 several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
-                n = np.diff(np.append(first, len(order)))
-                flag = np.where(several, 1 + (n >= 64) + (n >= 1024), 0).astype(np.uint32)
+                size = np.add.reduceat(counts[order] + LENGTH - 1, first)
+                flag = (np.searchsorted(_LEAST[1:], size, "right") << 1 | several).astype(np.uint32)
                 h = hashes[order[first]]
-                code = (h.astype(np.uint32) & np.uint32(0xFFFFFFFC)) | flag
+                code = (h.astype(np.uint32) & np.uint32(0xFFFFFFF0)) | flag
                 to = _bucket(h, buckets)
                 cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
                 pieces = [x.tobytes() for x in np.split(code, cuts[1:])]
@@ -202,16 +215,17 @@ def codes(table: DataFrame, buckets: int) -> DataFrame:
 
 
 def answers(sent: DataFrame, hot: int = HOT) -> DataFrame:
-    """Per block and bucket: for each code 0 (its own alone), 1 (repeated) or 2 (repeated very often)."""
+    """Per block and bucket: for each code 0 (its own alone), 1 (repeated) or 2 (repeated, and in more than ``hot`` bytes)."""
 
     def run(group: pa.Table) -> pa.Table:
         own = [np.frombuffer(x.as_py(), "<u4") for x in group.column("codes")]
         code = np.concatenate(own)
-        order = np.argsort(code >> np.uint32(2), kind="stable")
-        key = code[order] >> np.uint32(2)
+        order = np.argsort(code >> np.uint32(4), kind="stable")
+        key = code[order] >> np.uint32(4)
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        total = np.add.reduceat(_LEAST[code[order] & np.uint32(3)], first)
-        verdict = (total > 1).astype(np.uint8) + (total >= hot)
+        documents = np.add.reduceat(1 + (code[order] & np.uint32(1)).astype(np.int64), first)
+        total = np.add.reduceat(_LEAST[code[order] >> np.uint32(1) & np.uint32(7)], first)
+        verdict = (documents > 1).astype(np.uint8) * (1 + (total >= hot).astype(np.uint8))
         out = np.empty(len(code), np.uint8)
         out[order] = np.repeat(verdict, np.diff(np.append(first, len(key))))
         parts = np.split(out, np.cumsum([len(x) for x in own])[:-1])
@@ -220,10 +234,11 @@ def answers(sent: DataFrame, hot: int = HOT) -> DataFrame:
                 "block": group.column("block"),
                 "bucket": group.column("bucket"),
                 "verdicts": pa.array([_zip(x) for x in parts], pa.binary()),
+                "hot": pa.array([bool((x == 2).any()) for x in parts], pa.bool_()),
             }
         )
 
-    return sent.groupBy("bucket").applyInArrow(run, "block long, bucket long, verdicts binary")
+    return sent.groupBy("bucket").applyInArrow(run, "block long, bucket long, verdicts binary, hot boolean")
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -232,6 +247,16 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return data[at]
 
 
+def judged(block: Block, found: list) -> tuple[np.ndarray, ...]:
+    """The runs of a block (see ``runs``) and the verdict on each."""
+    starts, counts, hashes, docs = runs(block)
+    order, _, distinct = _unique(hashes)
+    verdict = np.concatenate([_unzip(x["verdicts"], "u1") for x in sorted(found, key=lambda x: x["bucket"])])
+    of_run = np.empty(len(order), np.uint8)
+    of_run[order] = verdict[distinct]
+    return starts, counts, hashes, docs, of_run
+
+
 def texts(joined: DataFrame, buckets: int) -> DataFrame:
     """Runs with repeated minimizers, as text, per block and bucket."""
 
@@ -239,25 +264,9 @@ def texts(joined: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for number, ids, sizes, data, found in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 block = Block(ids, sizes, data)
-                starts, counts, hashes, docs = runs(block)
-                order, first, distinct = _unique(hashes)
-                verdict = np.concatenate([_unzip(x["verdicts"], "u1") for x in sorted(found, key=lambda x: x["bucket"])])
-                of_run = np.empty(len(order), np.uint8)
-                of_run[order] = verdict[distinct]
-                hot = np.flatnonzero(of_run == 2)
-                if len(hot):
-                    # One string each, by its own hash.
-                    single = _gather(np.arange(len(block.data)), starts[hot], counts[hot])
-                    where = np.repeat(docs[hot], counts[hot])
-                    left = _string_hash(block.data, single)
-                    keep = of_run == 1
-                    starts = np.concatenate((starts[keep], single))
-                    counts = np.concatenate((counts[keep], np.ones(len(single), np.int64)))
-                    hashes = np.concatenate((hashes[keep], left))
-                    docs = np.concatenate((docs[keep], where))
-                else:
-                    keep = of_run == 1
-                    starts, counts, hashes, docs = starts[keep], counts[keep], hashes[keep], docs[keep]
+                starts, counts, hashes, docs, verdict = judged(block, found)
+                keep = verdict == 1
+                starts, counts, hashes, docs = starts[keep], counts[keep], hashes[keep], docs[keep]
                 to = _bucket(hashes, buckets)
                 by = np.argsort(to, kind="stable")
                 cuts = np.flatnonzero(np.concatenate(([True], to[by][1:] != to[by][:-1]))) if len(by) else []
@@ -287,21 +296,71 @@ def texts(joined: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def _string_hash(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashes of the 50-byte strings at ``starts``."""
-    out = np.empty(len(starts), np.uint64)
-    for at in range(0, len(starts), CHUNK):
-        part = starts[at : at + CHUNK]
-        rows = _gather(data, part, np.full(len(part), LENGTH)).reshape(-1, LENGTH)
-        h = np.zeros(len(part), np.uint64)
-        for j in range(0, LENGTH, STEP):
-            piece = np.zeros(len(part), np.uint64)
-            for c in range(STEP):
-                piece = (piece << np.uint64(8)) | rows[:, j + c].astype(np.uint64)
-            h = (h ^ piece) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        out[at : at + CHUNK] = h
-    return out
+def _identities(data: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each 50-byte string that starts from ``at`` to before ``end``."""
+    part, n = data[at : end + LENGTH - 1], end - at
+    out = []
+    for family in (0, 1):
+        g = grams(part, family)
+        h = (g[:n] ^ (g[:n] >> np.uint64(29))) * np.uint64(_FACTORS[family][1]) + g[GRAM : GRAM + n]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(_FACTORS[family][2])
+        out.append(h.view(np.int64))
+    return out[0], out[1]
+
+
+def singles(joined: DataFrame) -> DataFrame:
+    """Per block: each different string of its hot runs once, with the smallest and the largest document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, ids, sizes, data, found in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                block = Block(ids, sizes, data)
+                starts, counts, _, docs, verdict = judged(block, found)
+                hot = np.flatnonzero(verdict == 2)
+                if not len(hot):
+                    continue
+                ends = np.cumsum(counts[hot])
+                place = np.arange(ends[-1]) + np.repeat(starts[hot] - (ends - counts[hot]), counts[hot])
+                doc = block.ids[np.repeat(docs[hot], counts[hot])]
+                h = np.empty((2, len(place)), np.int64)
+                cuts = np.searchsorted(place, np.arange(0, len(block.data) + CHUNK, CHUNK))
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    if b > a:
+                        at = k * CHUNK
+                        both = _identities(block.data, at, min(at + CHUNK, len(block.data) - LENGTH + 1))
+                        for i in (0, 1):
+                            h[i, a:b] = both[i][place[a:b] - at]
+                order = np.lexsort((h[1], h[0]))
+                h, doc = h[:, order], doc[order]
+                first = np.flatnonzero(np.concatenate(([True], (h[:, 1:] != h[:, :-1]).any(0))))
+                low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+                h = h[:, first]
+                for at in range(0, len(first), 1 << 16):
+                    some = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.ascontiguousarray(x)) for x in (np.full(len(low[some]), number), h[0, some], h[1, some], low[some], high[some])],
+                        ["block", "h1", "h2", "low", "high"],
+                    )
+                give_back()
+
+    return joined.filter("hot").select("block", "ids", "sizes", "data", "found").mapInArrow(
+        run, "block long, h1 long, h2 long, low long, high long"
+    )
+
+
+def earlier(named: DataFrame) -> DataFrame:
+    """Per block: strings of ``singles`` that a smaller document has, packed with that document."""
+    first = named.groupBy("h1", "h2").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last")
+    first = materialise(first.drop("last"), "first")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("h1", "ascending"), ("h2", "ascending")])
+        packed = [_zip(group.column(c).to_numpy()) for c in ("h1", "h2", "first")]
+        return pa.table({"block": group.column("block")[:1], "hots": pa.array([packed], pa.list_(pa.binary()))})
+
+    found = named.join(small_side(first), ["h1", "h2"]).filter("high > first").select("block", "h1", "h2", "first")
+    return found.groupBy("block").applyInArrow(run, "block long, hots array<binary>")
 
 
 # --- transforms -------------------------------------------------------------
@@ -310,7 +369,7 @@ def _string_hash(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Shard:
     """Rotations of strings in the order of their first 50 bytes, and their transform.
 
-    ``symbols[i]`` is the five bytes before rotation ``order[i]``. Each string ends
+    ``symbols[i]`` is the two bytes before rotation ``order[i]``. Each string ends
     in a zero byte and is read as a ring, so what precedes its start is its end.
     """
 
@@ -332,7 +391,8 @@ class Shard:
             jump, width = jump[jump], 2 * width
         last = first + (offset + LENGTH - width) % length
         self.order = np.argsort((rank << np.uint64(32)) | rank[last], kind="stable")
-        self.symbols = key[first + (offset - STEP) % length][self.order]
+        before = [data[first + (offset - j) % length].astype(np.uint16) for j in (2, 1)]
+        self.symbols = (before[0] << np.uint16(8) | before[1])[self.order]
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -346,27 +406,23 @@ def _dense(key: np.ndarray) -> np.ndarray:
 def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of the shards' orders by 50 bytes, and the interval number of each place.
 
-    Every round puts five more bytes in front: places are dealt by the symbol that
-    precedes them, keeping their order, which sorts the interleave by five bytes
-    more. Two neighbours stay in one interval while their symbols and their earlier
-    intervals agree, that is while their common prefix goes on.
+    Every round puts two more bytes in front: places are dealt by the symbol that
+    precedes them, keeping their order (numpy deals 16-bit numbers by digits, in
+    linear time), which sorts the interleave by two bytes more. Two neighbours stay
+    in one interval while their symbols and their earlier intervals agree, that is
+    while their common prefix goes on.
     """
     n = sum(len(s.order) for s in shards)
-    if n >= 1 << 24:
-        raise ValueError("a bucket is too large: more buckets are needed")
     interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.order) for s in shards])
-    interval = np.zeros(n, np.int32)
-    place = np.arange(n, dtype=np.uint64)
-    symbols = np.empty(n, np.uint64)
-    for _ in range(LENGTH // STEP):
+    interval = np.zeros(n, np.int64)
+    symbols = np.empty(n, np.uint16)
+    for _ in range(LENGTH // 2):
         for k, s in enumerate(shards):
             symbols[interleave == k] = s.symbols
-        dealt = np.sort((symbols << np.uint64(24)) | place)
-        order = (dealt & np.uint64(0xFFFFFF)).astype(np.int32)
-        symbol = dealt >> np.uint64(24)
-        interleave, before = interleave[order], interval[order]
+        order = np.argsort(symbols, kind="stable")
+        symbol, interleave, before = symbols[order], interleave[order], interval[order]
         parts = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
-        interval = np.concatenate((np.zeros(1, np.int32), np.cumsum(parts, dtype=np.int32)))
+        interval = np.concatenate((np.zeros(1, np.int64), np.cumsum(parts)))
     return interleave, interval
 
 
@@ -475,19 +531,38 @@ def covered(sent: DataFrame, n_shards: int = SHARDS) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def repeated_places(block: Block, h1: np.ndarray, h2: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of strings, named by their hashes in order, that start in a document after ``first``."""
+    doc_of = np.repeat(np.arange(len(block.sizes), dtype=np.int32), block.sizes)
+    # Most strings are none of those: sixteen bits of the hash tell, before a search.
+    may = np.zeros(1 << 16, bool)
+    may[h1 & 0xFFFF] = True
+    for at in range(0, max(len(block.data) - LENGTH + 1, 0), CHUNK):
+        end = min(at + CHUNK, len(block.data) - LENGTH + 1)
+        g1, g2 = _identities(block.data, at, end)
+        some = np.flatnonzero(may[g1 & 0xFFFF] & (doc_of[at:end] == doc_of[at + LENGTH - 1 : end + LENGTH - 1]))
+        found = np.minimum(np.searchsorted(h1, g1[some]), len(h1) - 1)
+        hit = (h1[found] == g1[some]) & (h2[found] == g2[some])
+        place = some[hit] + at
+        yield place[first[found[hit]] < block.ids[doc_of[place]]]
+
+
 def cut(joined: DataFrame) -> DataFrame:
     """One row per document, after the covered ranges are cut out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sizes, data, ranges in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for ids, sizes, data, ranges, hots in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 block = Block(ids, sizes, data)
                 depth = np.zeros(len(block.data) + 1, np.int32)
                 for x in ranges or ():
                     pairs = _unzip(x, "<i8").reshape(-1, 2)
                     np.add.at(depth, pairs[:, 0], 1)
                     np.add.at(depth, pairs[:, 1], -1)
-                gone = np.cumsum(depth[:-1]) > 0
+                for place in repeated_places(block, *(_unzip(x, "<i8") for x in hots)) if hots else ():
+                    depth[place] += 1
+                    depth[place + LENGTH] -= 1
+                gone = np.cumsum(depth[:-1], dtype=np.int32) > 0
                 rows = []
                 for doc_id, a, b in zip(block.ids.tolist(), (block.ends - block.sizes).tolist(), block.ends.tolist(), strict=True):
                     out = gone[a:b]
@@ -501,7 +576,7 @@ def cut(joined: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
                 )
 
-    return joined.select("ids", "sizes", "data", "ranges").mapInArrow(run, RESULT)
+    return joined.select("ids", "sizes", "data", "ranges", "hots").mapInArrow(run, RESULT)
 
 
 def remove_repeats(docs: DataFrame, block: int = BLOCK, hot: int = HOT, n_shards: int = SHARDS) -> DataFrame:
@@ -517,12 +592,15 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK, hot: int = HOT, n_shards
     left = own.join(gone, (place == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_anti")
     table = materialise(blocks(left, block), "blocks")
     total = table.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    buckets = max(4, math.ceil(total / (8 << 20)))
+    buckets = max(4, math.ceil(total / (32 << 20)))
     sent = codes(table, buckets)
-    told = answers(sent, hot).groupBy("block").agg(F.collect_list(F.struct("bucket", "verdicts")).alias("found"))
-    repeated = texts(table.join(told, "block"), 2 * buckets)
+    told = answers(sent, hot).groupBy("block").agg(F.collect_list(F.struct("bucket", "verdicts")).alias("found"), F.max("hot").alias("hot"))
+    told = materialise(told, "verdicts")
+    repeated = texts(table.join(told, "block"), 4 * buckets)
     ranges = covered(repeated, n_shards).groupBy("block").agg(F.collect_list("ranges").alias("ranges"))
-    out = cut(table.join(materialise(ranges, "ranges"), "block", "left"))
+    ranges = materialise(ranges, "ranges")
+    hots = materialise(earlier(materialise(singles(table.join(told, "block")), "singles")), "hots")
+    out = cut(table.join(ranges, "block", "left").join(hots, "block", "left"))
     none = F.lit(0).cast("long")
     removed = copies.select(
         "doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), (none + 1).alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256")

@@ -193,12 +193,41 @@ def without_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("block, hot", [(1 << 20, 4096), (3000, 2)])
+@pytest.mark.parametrize("block, hot", [(1 << 20, substrings.HOT), (3000, 2)])
 def test_substrings(docs, texts, block, hot):
     got = rows_of(substrings.remove_repeats(docs, block, hot))
     assert {i: tuple(r)[1:] for i, r in got.items()} == without_repeats(texts)
 
 
+def test_substrings_of_repetitive_texts(spark):
+    """Strings of a run of one character share a minimizer, however long it is."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    rows = ["a" * (3000 + i) for i in range(12)]
+    rows += [" ".join(word() for _ in range(20)) + "-" * rng.randint(40, 900) for _ in range(60)]
+    rows += ["".join(rng.choice("ab-") * rng.randint(1, 70) for _ in range(8)) for _ in range(60)]
+    rows += ["".join(rng.choice(["ab", "abc-", "-"]) * rng.randint(1, 40) for _ in range(6)) for _ in range(60)]
+    texts = dict(enumerate(rows))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for hot in (substrings.HOT, 2000):
+        got = rows_of(substrings.remove_repeats(df, 9000, hot))
+        assert {i: tuple(r)[1:] for i, r in got.items()} == without_repeats(texts)
+
+
+def test_substrings_large_repetitive_texts(spark):
+    df = spark.range(200).selectExpr("id as doc_id", "repeat('a', cast(100000 + id as int)) as text")
+    got = rows_of(substrings.remove_repeats(df))
+    assert [got[i]["n_removed"] for i in range(200)] == [0, *(100000 + i for i in range(1, 200))]
+    tails = spark.range(3000).selectExpr("id as doc_id", "concat(sha2(cast(id as string), 256), repeat('-', cast(9000 + id as int))) as text")
+    got = rows_of(substrings.remove_repeats(tails))
+    assert got[0]["n_removed"] == 0
+    assert all(9000 + i <= got[i]["n_removed"] <= 9010 + i for i in range(1, 3000))
+
+
+def test_substrings_of_nothing(empty):
+    assert substrings.remove_repeats(empty).count() == 0
+
+
 def test_substrings_merge_is_sorted():
     rng = random.Random(4)
     strings = ["".join(rng.choice("ab\0") for _ in range(rng.randint(50, 140))).encode() for _ in range(25)]
