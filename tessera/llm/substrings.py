@@ -12,9 +12,9 @@ they lie. Consecutive strings with one minimizer form a run.
 3. Runs with repeated minimizers go, as text, to the bucket of their minimizer;
    equal texts are one. Each bucket builds the transforms of a few shards of its
    texts and merges them: the interleave of the shards starts out arbitrary and is
-   refined by the symbols of the transforms, two bytes a round, until it is in the
+   refined by the symbols of the transforms, five bytes a round, until it is in the
    order of the first 50 bytes. A round deals the places out by symbol and keeps
-   their order, in linear time; nothing is compared or sorted anew. Where
+   their order, in linear time; no suffixes are compared or sorted anew. Where
    neighbours part in a round their common prefix ends; intervals that never part
    are the repeated strings, and each takes the smallest document that has it.
 4. Blocks get the covered ranges back and cut them out.
@@ -369,7 +369,7 @@ def earlier(named: DataFrame) -> DataFrame:
 class Shard:
     """Rotations of strings in the order of their first 50 bytes, and their transform.
 
-    ``symbols[i]`` is the two bytes before rotation ``order[i]``. Each string ends
+    ``symbols[i]`` is the five bytes before rotation ``order[i]``. Each string ends
     in a zero byte and is read as a ring, so what precedes its start is its end.
     """
 
@@ -377,52 +377,71 @@ class Shard:
         ends = np.cumsum(sizes)
         first = np.repeat(ends - sizes, sizes)
         length = np.repeat(sizes, sizes)
-        place = np.arange(len(data))
-        offset = place - first
+        offset = np.arange(len(data)) - first
         key = np.zeros(len(data), np.uint64)
         for j in range(STEP):
             key = (key << np.uint64(8)) | data[first + (offset + j) % length].astype(np.uint64)
         ahead = first + (offset + STEP) % length
         # Ranks by 5, 10, 20, 40 bytes; then 50 as two overlapping stretches of 40.
-        rank = _dense(key)
+        rank = _dense(key, 8 * STEP)
+        bits = len(data).bit_length()
         jump, width = ahead, STEP
         while 2 * width <= LENGTH:
-            rank = _dense((rank << np.uint64(32)) | rank[jump])
+            rank = _dense((rank << np.uint64(bits)) | rank[jump], 2 * bits)
             jump, width = jump[jump], 2 * width
         last = first + (offset + LENGTH - width) % length
-        self.order = np.argsort((rank << np.uint64(32)) | rank[last], kind="stable")
-        before = [data[first + (offset - j) % length].astype(np.uint16) for j in (2, 1)]
-        self.symbols = (before[0] << np.uint16(8) | before[1])[self.order]
+        self.order = _order((rank << np.uint64(bits)) | rank[last], 2 * bits)[0]
+        self.symbols = key[first + (offset - STEP) % length][self.order]
 
 
-def _dense(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    k = key[order]
+def _order(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of numbers of ``bits`` bits, ties by place, and the numbers in it."""
+    low = len(key).bit_length()
+    if bits + low > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = np.sort((key << np.uint64(low)) | np.arange(len(key), dtype=np.uint64))
+    return (both & np.uint64((1 << low) - 1)).astype(np.int64), both >> np.uint64(low)
+
+
+def _dense(key: np.ndarray, bits: int) -> np.ndarray:
+    order, k = _order(key, bits)
     out = np.empty(len(key), np.uint64)
     out[order] = np.cumsum(np.concatenate(([0], k[1:] != k[:-1]))).astype(np.uint64)
     return out
 
 
+def _dealt(symbols: np.ndarray) -> np.ndarray:
+    """Places dealt out by symbol in linear time, keeping their order: numpy deals 16-bit numbers by digits."""
+    if symbols.dtype == np.uint16:
+        return np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")
+    return order[np.argsort((symbols >> np.uint32(16)).astype(np.uint16)[order], kind="stable")]
+
+
 def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of the shards' orders by 50 bytes, and the interval number of each place.
 
-    Every round puts two more bytes in front: places are dealt by the symbol that
-    precedes them, keeping their order (numpy deals 16-bit numbers by digits, in
-    linear time), which sorts the interleave by two bytes more. Two neighbours stay
-    in one interval while their symbols and their earlier intervals agree, that is
-    while their common prefix goes on.
+    Every round puts five more bytes in front: places are dealt by the symbol that
+    precedes them, keeping their order, which sorts the interleave by five bytes
+    more. Two neighbours stay in one interval while their symbols and their earlier
+    intervals agree, that is while their common prefix goes on. Symbols are numbered
+    once over all shards, so that a round takes linear time.
     """
-    n = sum(len(s.order) for s in shards)
-    interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.order) for s in shards])
-    interval = np.zeros(n, np.int64)
-    symbols = np.empty(n, np.uint16)
-    for _ in range(LENGTH // 2):
-        for k, s in enumerate(shards):
-            symbols[interleave == k] = s.symbols
-        order = np.argsort(symbols, kind="stable")
+    sizes = [len(s.order) for s in shards]
+    number = _dense(np.concatenate([s.symbols for s in shards]), 8 * STEP)
+    number = number.astype(np.uint16 if number.max() < 1 << 16 else np.uint32)
+    own = np.split(number, np.cumsum(sizes)[:-1])
+    interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
+    interval = np.zeros(len(number), np.int32)
+    symbols = np.empty_like(number)
+    for _ in range(LENGTH // STEP):
+        for k, mine in enumerate(own):
+            symbols[interleave == k] = mine
+        order = _dealt(symbols)
         symbol, interleave, before = symbols[order], interleave[order], interval[order]
         parts = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
-        interval = np.concatenate((np.zeros(1, np.int64), np.cumsum(parts)))
+        interval = np.concatenate((np.zeros(1, np.int32), np.cumsum(parts, dtype=np.int32)))
     return interleave, interval
 
 
@@ -448,7 +467,7 @@ def smallest_documents(strings: list[bytes], docs: np.ndarray, n_shards: int = S
     return out
 
 
-def _portions(chosen: np.ndarray, keys: np.ndarray, sizes: np.ndarray, most: int = 1 << 18) -> Iterator[np.ndarray]:
+def _portions(chosen: np.ndarray, keys: np.ndarray, sizes: np.ndarray, most: int = 1 << 16) -> Iterator[np.ndarray]:
     """Strings, sorted by minimizer, in portions of about ``most`` bytes that part between minimizers."""
     if not len(chosen):
         return
