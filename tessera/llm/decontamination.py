@@ -1,38 +1,55 @@
 """Benchmark decontamination by canonical templates.
 
 Texts become sequences of template words: numbers, names and units turn into
-typed placeholders, other words are lower-cased and lose their punctuation.
-Windows of five template words are hashed and joined with those of the benchmark,
-so a question whose parameters were changed still matches. A match then has to be
-consistent: along one alignment of item and document, each placeholder value of
-the item must stand for one value of the document. Windows of the words as they
-are written, without marks at their edges, are joined as well, since the words and
-marks before a window decide what counts as a name. A document is contaminated by
-an item when at least ``threshold`` of the item's windows occur in it consistently.
+typed placeholders, other words are lower-cased and lose their punctuation, words
+of marks alone vanish. Windows of five template words are hashed and joined with
+those of the benchmark, so a question whose parameters were changed still matches.
+A match then has to be consistent: along one alignment of item and document, each
+placeholder value of the item must stand for one value of the document.
+
+A window that has placeholders is joined in up to three forms: with all of them,
+with those of numbers and units alone, and with none, as it is written. The latter
+two make a match independent of case and of what stands before the window, which
+both bear on what counts as a name. An item's first word, where it may be a name,
+is taken either way. A document is contaminated by an item when at least
+``threshold`` of the item's windows occur in it.
+
+Windows that are mostly placeholders match as written only, and count where the
+others alone do not reach the share. Items of fewer than five words are one window
+of all their words; it is looked for in whole texts and, from ``LEAST_WORDS``
+words on, anywhere in longer ones (one or two words are no evidence there).
 
 Native throughout. The windows of a text are joined inside its own task while the
-benchmark's windows are few (checked by counting them); beyond that bound both
-sides are shuffled by window.
-
-Edge cases: null or empty texts and items have no windows and never match; items
-of fewer than five words match as one window of all their words; windows that are
-mostly placeholders match as written only, and count where the others alone do not reach the share; a copy in other case is missed where it has names; repeated items or documents with equal ids count
-as one; an empty table on either side gives no rows; other columns are ignored.
+benchmark's windows are few (checked by counting them). Beyond that bound windows
+that no item has are dropped first, by a counted broadcast of hashes, and the rest
+is shuffled by window.
+
+Edge cases: null or empty texts and items, and those of marks alone, have no
+windows and never match; a re-parameterised copy in capitals is missed where its
+names changed as well; repeated items with one id keep the smallest text; documents
+with equal ids count as one; an empty table on either side gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialise, text_or_empty
+from .common import materialise, small_side, text_or_empty
 
 WINDOW = 5
 THRESHOLD = 0.8
 #: Literal words that a window must have.
 MIN_LITERALS = 3
-#: Benchmark windows (about 50 bytes each) that are sent to every executor at most.
+#: Words that an item shorter than a window must have to be looked for inside longer texts.
+LEAST_WORDS = 3
+#: Benchmark windows (about 150 bytes each) that are sent to every executor at most.
 BROADCAST_WINDOWS = 200_000
+#: Hashes of benchmark windows that are sent at most where the windows are too many.
+BROADCAST_HASHES = 4_000_000
 
 # Units that follow a number.
 UNITS = (
@@ -43,119 +60,131 @@ UNITS = (
     "mph kph percent dollars dollar usd euros euro eur cents cent degrees degree"
 ).split()
 
-NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
-
+NUMBER, NAME, UNIT, VALUE = "\x01", "\x02", "\x03", "\x04"
+_VALUE = rf"{VALUE}[^ {NUMBER}-{VALUE}]*+"
 
-_SLOT = "[\\x01-\\x03]"
 
-
-def canonical(text: Column) -> tuple[Column, Column]:
-    """The text without lone marks, and its template; both have the same words by place.
+def canonical(text: Column, first_name: bool = False) -> Column:
+    """Words parted by single spaces; a placeholder is its type, ``VALUE`` and what it stands for.
 
     Patterns begin with the character they replace and look behind afterwards, so
     most characters cost one class test.
     """
-    mark = rf"[^\p{{L}}\p{{N}}{WS}]"
-    bare = F.btrim(
-        F.regexp_replace(text, rf"{mark}++(?![^{WS}])(?<=(?:^|[{WS}]){mark}{{1,64}})", " "), F.lit(" \t\n\x0b\f\r")
-    )
-    template = F.regexp_replace(bare, r"\p{Lu}(?<=[^.!?:;\s]\s.)\p{Ll}++", NAME)
+    out = F.translate(text, "\t\n\x0b\f\r" + NUMBER + NAME + UNIT + VALUE, "     ")
+    out = F.regexp_replace(out, " {2,}", " ")
+    out = F.regexp_replace(out, r"\p{Lu}(?<=[^.!?:; ] .)\p{Ll}++", NAME + VALUE + "$0")
+    if first_name:
+        out = F.regexp_replace(out, r"^([^\p{L}\p{N}]*+)(\p{Lu}\p{Ll}++)", "$1" + NAME + VALUE + "$2")
     number = r"[0-9](?<![\p{L}\p{N}].)[0-9]*+(?:[.,:/][0-9]++)*+%?"
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    template = F.when(
-        F.col("numbered"),
-        F.regexp_replace(
-            F.regexp_replace(template, number, NUMBER), rf"\x01([{WS}]?)(?i:{units})(?![\p{{L}}\p{{N}}])", NUMBER + "$1" + UNIT
-        ),
-    ).otherwise(template)
-    return bare, F.regexp_replace(F.lower(template), rf"[^\p{{L}}\p{{N}}{WS}\x01-\x03]++", "")
-
-
-def windows(rows: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
-    """``(key, at, window, slots, literal)``: hashed windows of template words, with the places and values of their
-    placeholders, and of the words as they are written (``literal``, without slots)."""
-    bare, template = canonical(F.col("text"))
-    rows = rows.select(key, "text", F.col("text").rlike("[0-9]").alias("numbered"))
-    rows = rows.select(key, bare.alias("bare"), template.alias("canonical"))
-    rows = rows.select(key, "bare", "canonical", F.col("canonical").rlike(_SLOT).alias("slotted"))
-    edge = rf"[^\p{{L}}\p{{N}}{WS}]++(?![^{WS}])|(?<![^{WS}])[^\p{{L}}\p{{N}}{WS}]++"
-    rows = rows.select(
-        key,
-        "slotted",
-        F.split("canonical", f"[{WS}]+").alias("template"),
-        F.split(F.regexp_replace("bare", edge, ""), f"[{WS}]+").alias("words"),
-    ).withColumn("n", F.size("template"))
-    places = f"sequence(0, n - {size})"
-    window = f"xxhash64({', '.join(f'template[i + {j}]' for j in range(size))})"
-    # One column more, so that no template has the hash of written words.
-    written = f"xxhash64('', {', '.join(f'words[i + {j}]' for j in range(size))})"
-    kind = "array<struct<place:int,value:string>>"
-    slots = (
-        "filter(transform(slice(template, {0} + 1, {1}), (t, j) -> case when t rlike '[\\\\x01-\\\\x03]'"
-        " then named_struct('place', j, 'value', lower(words[{0} + j])) end), x -> x is not null)"
+    numbered = F.regexp_replace(out, number, NUMBER + VALUE + "$0")
+    numbered = F.regexp_replace(
+        numbered, rf"({NUMBER}{VALUE}[0-9.,:/%]++)( ?)((?i:{units}))(?![\p{{L}}\p{{N}}])", f"$1$2{UNIT}{VALUE}$3"
     )
-    empty = "template[0] = '' and n = 1"
-    rows = rows.withColumn(
-        "spans",
-        F.expr(
-            f"case when {empty} then null when n < {size} then array(named_struct('at', 0, 'window',"
-            f" xxhash64(array_join(template, ' ')), 'slots', case when slotted then {slots.format('0', 'n')} end, 'literal', false),"
-            f" named_struct('at', 0, 'window', xxhash64('', array_join(words, ' ')), 'slots', cast(null as {kind}), 'literal', true))"
-            f" when slotted then concat(transform({places}, i -> named_struct('at', i, 'window', {window}, 'slots',"
-            f" {slots.format('i', size)}, 'literal', false)),"
-            f" transform({places}, i -> named_struct('at', i, 'window', {written}, 'slots', cast(null as {kind}), 'literal', true)))"
-            f" else concat(transform({places}, i -> named_struct('at', i, 'window', {window}, 'slots', cast(null as {kind}), 'literal', false)),"
-            f" transform({places}, i -> named_struct('at', i, 'window', {written}, 'slots', cast(null as {kind}), 'literal', true))) end"
-        ),
+    out = F.lower(F.when(text.rlike("[0-9]"), numbered).otherwise(out))
+    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}} {NUMBER}-{VALUE}]++", "")
+    return F.btrim(F.regexp_replace(out, " {2,}", " "), F.lit(" "))
+
+
+def _grams(size: int) -> Column:
+    """Every stretch of ``size`` words, by its first word."""
+    more = rf"(?: [^ ]++){{{size - 1}}}" if size > 1 else ""
+    return F.regexp_extract_all("canonical", F.lit(f"(?=([^ ]++{more}))[^ ]++"), F.lit(1))
+
+
+def _forms(gram: str = "gram") -> Column:
+    """The forms of a window: a hash, and the window with the values of its placeholders (null: as written)."""
+    marked = F.col(gram)
+    bare = F.replace(marked, F.lit(NAME + VALUE), F.lit(""))
+    form = lambda x: F.struct(F.xxhash64(F.regexp_replace(x, _VALUE, "")).alias("window"), x.alias("marked"))
+    written = F.struct(F.xxhash64(F.translate(marked, NUMBER + NAME + UNIT + VALUE, "")).alias("window"), F.lit(None).cast("string").alias("marked"))
+    plain = F.struct(F.xxhash64(marked).alias("window"), F.lit(None).cast("string").alias("marked"))
+    return (
+        F.when(~F.contains(marked, F.lit(VALUE)), F.array(plain))
+        .when(~F.contains(marked, F.lit(NAME)) | ~F.contains(marked, F.lit(NUMBER)), F.array(form(marked), written))
+        .otherwise(F.array(form(marked), form(bare), written))
     )
+
+
+def windows(rows: DataFrame, key: str, size: int = WINDOW, shorter: Sequence[int] = (), first_name: bool = False) -> DataFrame:
+    """``(key, at, gram, window, marked)``: the windows of each text in all their forms, also those of ``shorter`` sizes.
+
+    A text of fewer than ``size`` words is one window.
+    """
+    rows = rows.select(key, canonical(F.col("text"), first_name).alias("canonical")).filter("canonical <> ''")
+    n = F.length("canonical") - F.length(F.translate("canonical", " ", "")) + 1
+    grams = F.when(n < size, F.array("canonical")).otherwise(_grams(size))
+    for k in shorter:
+        grams = F.concat(grams, F.when(n > k, _grams(k)).otherwise(F.array().cast("array<string>")))
     # The outer form: for the inner one the optimizer adds a filter on the array's
-    # size, into whose lambda it copies the expressions for words and template.
-    out = rows.select(key, "n", F.inline_outer("spans")).filter("window is not null")
-    literals = F.least("n", F.lit(size)) - F.size("slots")
-    enough = F.coalesce(literals >= F.least(F.lit(MIN_LITERALS), F.col("n") - 1), F.lit(True))
-    return out.filter(F.col("literal") | enough).drop("n")
+    # size, for which it would build the array once more.
+    rows = rows.select(key, F.posexplode_outer(grams).alias("at", "gram")).filter("gram is not null")
+    return rows.select(key, "at", "gram", F.inline_outer(_forms()))
+
+
+def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``(item_id, item_at, words, window, item_marked, typed)``: the windows by which an item is found."""
+    items = (
+        benchmark.select(F.col("item_id").cast("long"), text_or_empty().cast("string").alias("text"))
+        .filter("item_id is not null")
+        .groupBy("item_id")
+        .agg(F.min("text").alias("text"))
+    )
+    own = windows(items, "item_id", size).unionByName(windows(items, "item_id", size, first_name=True).filter("at = 0"))
+    words = F.size(F.split("gram", " "))
+    literal = words - F.size(F.filter(F.split("marked", " "), lambda x: F.contains(x, F.lit(VALUE))))
+    own = own.withColumn("words", words).filter(F.col("marked").isNull() | (literal >= F.least(F.lit(MIN_LITERALS), F.col("words") - 1)))
+    typed = F.col("marked").isNotNull() | ~F.contains("gram", F.lit(VALUE))
+    own = own.groupBy("item_id", "at", "words", "window").agg(F.max("marked").alias("item_marked"), F.max(typed).alias("typed"))
+    flags = own.groupBy("item_id", "at").agg(F.max("typed").alias("typed"))
+    return own.drop("typed").join(flags, ["item_id", "at"]).withColumnRenamed("at", "item_at")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, size: int = WINDOW) -> DataFrame:
     """``(doc_id, item_id, matched, windows, share, first_word)`` for each contaminated pair."""
-    items = windows(
-        benchmark.select(F.col("item_id").cast("long"), text_or_empty().cast("string").alias("text")).filter("item_id is not null").dropDuplicates(["item_id"]),
-        "item_id",
-        size,
-    )
-    items = items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"})
-    typed = items.filter("not literal").select("item_id", "item_at", F.lit(True).alias("typed")).distinct()
-    items = items.join(typed, ["item_id", "item_at"], "left").withColumn("typed", F.coalesce("typed", F.lit(False)))
-    items = materialise(items, "items")
+    items = materialise(benchmark_windows(benchmark, size), "items")
     n_items, = items.agg(F.count("*")).first()
-    totals = items.filter("literal").groupBy("item_id").agg(F.count("*").alias("all_windows"), F.count_if("typed").alias("typed_windows"))
+    # At most `size` different numbers.
+    shorter = sorted(r["words"] for r in items.select("words").distinct().collect() if LEAST_WORDS <= r["words"] < size)
+    totals = items.groupBy("item_id").agg(
+        F.count_distinct("item_at").alias("all_windows"), F.count_distinct(F.when(F.col("typed"), F.col("item_at"))).alias("typed_windows")
+    )
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text")).filter("doc_id is not null")
-    own = windows(texts, "doc_id", size).drop("literal")
-    side = F.broadcast(items) if n_items <= BROADCAST_WINDOWS else items
+    own = windows(texts, "doc_id", size, shorter)
+    side = items.drop("words")
+    if n_items <= BROADCAST_WINDOWS:
+        side = F.broadcast(side)
+    else:
+        own = own.join(small_side(side.select("window").distinct(), BROADCAST_HASHES), "window", "left_semi")
     hits = own.join(side, "window").select(
         "doc_id",
         "item_id",
         "at",
         "item_at",
-        "literal",
         "typed",
         (F.col("at") - F.col("item_at")).alias("shift"),
-        F.expr(
-            "transform(item_slots, (x, k) -> named_struct('item', x.value, 'doc', slots[k].value))"
-        ).alias("slots"),
+        "item_marked",
+        "marked",
     )
     hits = materialise(hits, "hits")
     # Along one alignment a value of the item stands for one value of the document.
-    aligned = (
-        hits.select("doc_id", "item_id", "shift", F.explode("slots").alias("s"))
-        .groupBy("doc_id", "item_id", "shift", "s.item")
-        .agg(F.count_distinct("s.doc").alias("values"))
-        .filter("values > 1")
-        .select("doc_id", "item_id", "shift")
+    values = rf"[{NUMBER}-{UNIT}]{VALUE}([^ {NUMBER}-{VALUE}]*+)"
+    slots = F.arrays_zip(
+        F.regexp_extract_all("item_marked", F.lit(values), F.lit(1)).alias("item"),
+        F.regexp_extract_all("marked", F.lit(values), F.lit(1)).alias("doc"),
+    )
+    place = ["doc_id", "item_id", "shift"]
+    changed = F.col("marked").isNotNull() & F.col("item_marked").isNotNull()
+    inconsistent = (
+        hits.filter(changed)
+        .select(*place, F.explode(slots).alias("s"))
+        .groupBy(*place, "s.item")
+        .agg(F.min("s.doc").alias("low"), F.max("s.doc").alias("high"))
+        .filter("low <> high")
+        .select(*place)
         .distinct()
     )
-    consistent = hits.filter("not literal").join(aligned, ["doc_id", "item_id", "shift"], "left_anti")
-    kept = consistent.unionByName(hits.filter("literal"))
+    kept = hits.filter(changed).join(inconsistent, place, "left_anti").unionByName(hits.filter(~changed))
     matched = kept.groupBy("doc_id", "item_id").agg(
         F.count_distinct("item_at").alias("all_matched"),
         F.count_distinct(F.when(F.col("typed"), F.col("item_at"))).alias("typed_matched"),
@@ -163,9 +192,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     )
     # The windows with enough literal words decide, or else all of them.
     few = (F.col("typed_windows") == 0) | (F.col("typed_matched") < threshold * F.col("typed_windows"))
-    side = F.broadcast(totals) if n_items <= BROADCAST_WINDOWS else totals
     return (
-        matched.join(side, "item_id")
+        matched.join(F.broadcast(totals) if n_items <= BROADCAST_WINDOWS else totals, "item_id")
         .withColumn("matched", F.when(few, F.col("all_matched")).otherwise(F.col("typed_matched")))
         .withColumn("windows", F.when(few, F.col("all_windows")).otherwise(F.col("typed_windows")))
         .withColumn("share", F.round(F.col("matched") / F.col("windows"), 6))

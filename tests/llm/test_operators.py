@@ -505,11 +505,11 @@ def test_gapless_rank(spark):
 # 10
 
 
-ITEMS = [(1, "If Alice has 3 apples and Bob gives her 5 kg of pears, how many fruits does Alice have after 3 days?"), (2, "a short one"), (3, None), (4, ""), (1, "If Alice has 3 apples")]
+ITEMS = [(1, "If Alice has 3 apples and Bob gives her 5 kg of pears, how many fruits does Alice have after 3 days?"), (2, "a short one"), (3, None), (4, ""), (5, "No?"), (6, "== -- ==")]
 
 
 def test_decontamination(spark, docs, empty):
-    items = spark.createDataFrame(ITEMS[:4], "item_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = [
         (1, "so. If Carol has 7 apples and Dave gives her 9 kg of pears, how many fruits does Carol have after 7 days? yes"),
         (2, "so. If Carol has 7 apples and Dave gives her 9 kg of pears, how many fruits does Erin have after 8 days? yes"),
@@ -517,11 +517,17 @@ def test_decontamination(spark, docs, empty):
         (4, "a short one"),
         (5, "there is a short one in here"),
         (6, ITEMS[0][1].upper()),
+        (7, "=" * 80 + " no end\nIf Carol has 7 apples and Dave gives her 9 kg of pears == how many fruits does Carol have after 7 days? yes"),
+        (8, ITEMS[0][1].upper().replace("3", "17").replace("5", "6")),
+        (9, "no"),
+        (10, "no, and here are many other words"),
+        (11, "-- == !!"),
+        (12, "if  Carol has\t7 apples, and Dave gives her 9 KG of pears... how many fruits does Carol have after 7 days"),
         (None, ITEMS[0][1]),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(df, items).collect()}
-    assert got == {(1, 1), (4, 2)}
+    assert got == {(1, 1), (4, 2), (5, 2), (6, 1), (7, 1), (8, 1), (9, 5), (12, 1)}
     assert decontamination.contaminated(docs, items).count() == 0
     assert decontamination.contaminated(empty, items).count() == 0
     assert decontamination.contaminated(df, items.limit(0)).count() == 0
@@ -537,10 +543,69 @@ def test_decontamination_verbatim_copies(spark):
 
 def test_decontamination_of_mostly_placeholders(spark):
     items = spark.createDataFrame([(1, "Solve 12 + 7"), (2, "is 12 34 56 78 90 then")], "item_id long, text string")
-    docs = [(1, "Solve 12 + 7"), (2, "so what is 12 34 56 78 90 then or not"), (3, "so what is 13 35 57 79 91 then or not")]
+    docs = [(1, "Solve 12 + 7"), (2, "so what is 12 34 56 78 90 then or not"), (3, "so what is 13 35 57 79 91 then or not"), (4, "please solve 12 + 7 now or later")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["matched"], r["windows"]) for r in decontamination.contaminated(df, items).collect()}
-    assert got == {(1, 1, 1, 1), (2, 2, 3, 3)}
+    assert got == {(1, 1, 1, 1), (2, 2, 3, 3), (4, 1, 1, 1)}
+
+
+def slow_contaminated(doc, item):
+    """Windows of words with numbers as placeholders, by loops; every item here has plain words and numbers only."""
+    split = lambda t: [w for w in (re.sub(r"[^\w]|_", "", w) for w in t.lower().split()) if w]
+    a, b = split(item), split(doc)
+    kind = lambda w: "#" if w.isdigit() else w
+    pairs = collections.defaultdict(lambda: collections.defaultdict(set))
+    places = collections.defaultdict(set)
+    written = set()
+    for i in range(len(a) - 4):
+        for j in range(len(b) - 4):
+            x, y = a[i : i + 5], b[j : j + 5]
+            if x == y:
+                written.add(i)
+            if list(map(kind, x)) == list(map(kind, y)) and sum(w.isdigit() for w in x) <= 2:
+                places[j - i].add(i)
+                for u, v in zip(x, y, strict=True):
+                    if u.isdigit():
+                        pairs[j - i][u].add(v)
+    matched = set(written)
+    for shift, found in places.items():
+        if all(len(v) == 1 for v in pairs[shift].values()):
+            matched |= found
+    typed = {i for i in range(len(a) - 4) if sum(w.isdigit() for w in a[i : i + 5]) <= 2}
+    return bool(typed) and len(matched & typed) >= 0.8 * len(typed) or len(matched) >= 0.8 * (len(a) - 4)
+
+
+def test_decontamination_slots_against_loops(spark):
+    rng = random.Random(12)
+    vocabulary = ["red", "blue", "tree", "stone", "river", "light", "house", "cold"]
+    items = []
+    for i in range(12):
+        words = [str(rng.randint(1, 4)) if rng.random() < 0.3 else rng.choice(vocabulary) for _ in range(rng.randint(6, 18))]
+        items.append((i, " ".join(words)))
+    docs = []
+    for d in range(240):
+        words = items[d % 12][1].split()
+        new = {str(n): str(rng.randint(1, 9)) for n in range(1, 5)}
+        if d % 3:
+            words = [new.get(w, w) for w in words]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words[rng.randrange(len(words))] = rng.choice([*vocabulary, "5"])
+        docs.append((d, " ".join([*rng.choices(vocabulary, k=3), "=" * rng.choice([1, 70]), *words, "- ,", *rng.choices(vocabulary, k=3)])))
+    want = {(d, i) for d, x in docs for i, t in items if slow_contaminated(x, t)}
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 60
+    planted = {(d, d % 12) for d in range(240) if d % 3 == 1}
+    assert len(planted & want) < len(planted)  # some lost words to the changes
+
+
+def test_decontamination_beyond_the_broadcast(spark, monkeypatch):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    df = spark.createDataFrame([(1, "so. " + ITEMS[0][1]), (2, "nothing of that kind in here")], "doc_id long, text string")
+    for hashes in (1_000_000, 0):
+        monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+        monkeypatch.setattr(decontamination, "BROADCAST_HASHES", hashes)
+        got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(df, items).collect()}
+        assert got == {(1, 1)}
 
 
 def test_decontamination_passages(spark):
