@@ -81,7 +81,7 @@ def gapless_rank(
     """Add ``out``: 0, 1, 2 ... within each ``key``, without one task per key.
 
     ``counts`` has the rows of each key (a bounded number of keys, known on the
-    driver). Each key is cut into as many hash buckets as it has blocks of
+    driver; sent to all executors up to a million). Each key is cut into as many hash buckets as it has blocks of
     ``rows`` rows; rows are numbered inside a bucket and shifted by the number of
     rows in the buckets before it, so a hot key is spread over many tasks.
     """
@@ -90,7 +90,7 @@ def gapless_rank(
     buckets = spark.createDataFrame(
         [(k, max(1, math.ceil(n / rows))) for k, n in counts.items()], f"{key} {kind.simpleString()}, _nb int"
     )
-    dealt = df.join(F.broadcast(buckets), key).withColumn(
+    dealt = df.join(F.broadcast(buckets) if len(counts) <= 1_000_000 else buckets, key).withColumn(
         "_bucket", F.pmod(F.xxhash64(*order, F.lit(7)), F.col("_nb")).cast("int")
     ).drop("_nb")
     ahead = (
@@ -190,3 +190,9 @@ def release() -> None:
 
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def word_grams(words: str, size: int) -> Column:
+    """Every stretch of ``size`` words of a text whose words are parted by single spaces, by its first word."""
+    more = rf"(?: [^ ]++){{{size - 1}}}" if size > 1 else ""
+    return F.regexp_extract_all(words, F.lit(f"(?=([^ ]++{more}))[^ ]++"), F.lit(1))

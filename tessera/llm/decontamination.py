@@ -38,7 +38,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_side, text_or_empty
+from .common import materialise, small_side, text_or_empty, word_grams
 
 WINDOW = 5
 THRESHOLD = 0.8
@@ -86,12 +86,6 @@ def canonical(text: Column, first_name: bool = False) -> Column:
     return F.btrim(F.regexp_replace(out, " {2,}", " "), F.lit(" "))
 
 
-def _grams(size: int) -> Column:
-    """Every stretch of ``size`` words, by its first word."""
-    more = rf"(?: [^ ]++){{{size - 1}}}" if size > 1 else ""
-    return F.regexp_extract_all("canonical", F.lit(f"(?=([^ ]++{more}))[^ ]++"), F.lit(1))
-
-
 def _forms(gram: str = "gram") -> Column:
     """The forms of a window: a hash, and the window with the values of its placeholders (null: as written)."""
     marked = F.col(gram)
@@ -113,9 +107,9 @@ def windows(rows: DataFrame, key: str, size: int = WINDOW, shorter: Sequence[int
     """
     rows = rows.select(key, canonical(F.col("text"), first_name).alias("canonical")).filter("canonical <> ''")
     n = F.length("canonical") - F.length(F.translate("canonical", " ", "")) + 1
-    grams = F.when(n < size, F.array("canonical")).otherwise(_grams(size))
+    grams = F.when(n < size, F.array("canonical")).otherwise(word_grams("canonical", size))
     for k in shorter:
-        grams = F.concat(grams, F.when(n > k, _grams(k)).otherwise(F.array().cast("array<string>")))
+        grams = F.concat(grams, F.when(n > k, word_grams("canonical", k)).otherwise(F.array().cast("array<string>")))
     # The outer form: for the inner one the optimizer adds a filter on the array's
     # size, for which it would build the array once more.
     rows = rows.select(key, F.posexplode_outer(grams).alias("at", "gram")).filter("gram is not null")

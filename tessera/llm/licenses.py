@@ -1,37 +1,48 @@
-"""License notices in texts, found by MinHash bands and verified by shingles.
-
-Words are lower-cased without punctuation; shingles have five of them. A text's
-windows overlap: every shingle is a window of its own, and every fourth word
-starts a window of ``LONG`` shingles. A window of one shingle has that shingle as
-its MinHash; a long one has a MinHash under each of ``BANDS`` permutations, one row
-a band. Templates are cut alike but at every word, so that each text window over a
-verbatim notice has a twin. At similarity s a long window misses all bands with
-probability (1 - s) ** BANDS: 0.03 percent at 0.8, and a notice has several.
-
-Retrieved (document, template) places are verified exactly: the share of the
-template's shingles that the text has around that alignment must reach
-``threshold``.
+"""License notices in texts, retrieved by MinHash bands and verified by shingles.
+
+Words are lower-cased without punctuation; shingles have five of them. Overlapping
+windows of 12, 4 and 1 shingles have a MinHash under each of their size's
+permutations (hashes with different seeds), one key a band. A template uses the
+largest size that it holds, at every word; texts use all sizes, the largest at every
+fourth word. A text that holds 0.8 of a template's shingles has a window with at
+most a fifth of them changed, so at a similarity of 0.67 at least: five bands of one
+row miss it with probability 0.33 ** 5, 0.4 percent; notices have many windows, and
+an unchanged one never is missed. Notices of less than 12 shingles can lose two at
+most and keep a window whole or 3 of 5 in common (three bands: 6 percent).
+
+Retrieved (document, template) pairs are verified exactly: the share of the
+template's different shingles that the whole text has must reach ``threshold``,
+wherever they stand.
+
+Most texts hold no license, so a lossless test comes first: for each template words
+are chosen that its shingles need to such a degree that without any of them the
+threshold can't be reached; texts without any chosen word are left out.
 
 Edge cases: null and empty texts match nothing; texts and templates of fewer than
-five words are one shingle of all their words; rows with equal ``doc_id`` are one
-document; a null ``doc_id`` is not reported; no templates or an empty table give
-no rows; other columns are ignored.
+five words are one shingle of all their words; of rows with equal ``doc_id`` the
+best counts; of templates with equal ids the smallest text; a null ``doc_id`` is
+not reported; no templates or an empty table give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import Counter
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, materialise, text_or_empty
+from .common import WS, materialise, small_side, text_or_empty, word_grams
 
 SHINGLE = 5
-LONG = 12
-STRIDE = 4
-BANDS = 5
+#: Sizes of windows in shingles: (size, bands, every so many words of a text).
+WINDOWS = ((12, 5, 4), (4, 3, 1), (1, 1, 1))
 THRESHOLD = 0.8
 #: Template keys (about 40 bytes each) that are sent to every executor at most.
 BROADCAST_KEYS = 200_000
+#: Templates for which words are chosen at most; with more, all texts are cut into windows.
+CHOOSE_FOR = 1000
 
 # Public license notices.
 TEMPLATES = {
@@ -83,83 +94,95 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
     )
 
 
-def _shingles(rows: DataFrame, key: str) -> DataFrame:
-    """``key`` and ``h``: hashes of the shingles in order."""
-    tidy = F.btrim(
-        F.regexp_replace(F.regexp_replace(F.lower("text"), rf"[^\p{{L}}\p{{N}}{WS}]++", ""), f"[{WS}]++", " "), F.lit(" ")
-    )
-    words = rows.select(key, F.split(tidy, " ").alias("words")).withColumn("n", F.size("words"))
-    return words.select(
-        key,
-        F.expr(
-            f"case when n < {SHINGLE} then case when words[0] = '' then cast(array() as array<bigint>)"
-            f" else array(xxhash64(array_join(words, ' '))) end else"
-            f" transform(sequence(0, n - {SHINGLE}), i -> xxhash64({', '.join(f'words[i + {j}]' for j in range(SHINGLE))})) end"
-        ).alias("h"),
-    )
-
-
-def _keys(shingled: DataFrame, key: str, stride: int) -> DataFrame:
-    """``(key, at, band, value)``: band 0 has each shingle, bands 1 and up the MinHashes of long windows."""
-    seeds = [0x1F3D5B79A2C4E680 * (b + 1) % (1 << 63) for b in range(BANDS)]
-    mins = ", ".join(
-        f"named_struct('at', i, 'band', {b + 1}, 'value', array_min(transform(slice(h, i + 1, {LONG}), x -> x ^ {s}L)))"
-        for b, s in enumerate(seeds)
-    )
-    rows = shingled.withColumn(
-        "keys",
-        F.expr(
-            "concat(transform(h, (x, i) -> named_struct('at', i, 'band', 0, 'value', x)),"
-            f" case when size(h) < {LONG} then cast(array() as array<struct<at:int,band:int,value:bigint>>) else"
-            f" flatten(transform(sequence(0, size(h) - {LONG}, {stride}), i -> array({mins}))) end)"
-        ),
-    )
-    return rows.select(key, F.inline_outer("keys")).filter("value is not null")
+def tidy(text: str | Column) -> Column:
+    """Words in lower case without punctuation, parted by single spaces."""
+    bare = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}{WS}]++", "")
+    return F.btrim(F.regexp_replace(F.translate(bare, "\t\n\x0b\f\r", "     "), " {2,}", " "), F.lit(" "))
+
+
+def _shingles(words: str) -> Column:
+    """Hashes of the shingles of a tidy text, in order."""
+    short = F.length(words) - F.length(F.translate(words, " ", "")) + 1 < SHINGLE
+    grams = F.when(F.col(words) == "", F.array().cast("array<string>")).when(short, F.array(words))
+    return F.transform(grams.otherwise(word_grams(words, SHINGLE)), lambda x: F.xxhash64(x))
+
+
+def chosen_words(templates: dict[str, str], threshold: float = THRESHOLD) -> list[str]:
+    """Words of tidy templates of which a text needs one to reach ``threshold`` with any template.
+
+    Greedy: the word that most shingles still need, long words first; a template is
+    done when the shingles without a chosen word are fewer than it must have.
+    """
+    left = {}
+    for name, text in templates.items():
+        words = text.split(" ")
+        left[name] = {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    needed = {name: threshold * len(found) for name, found in left.items()}
+    chosen: list[str] = []
+    while left:
+        gain: Counter[str] = Counter()
+        for name, found in left.items():
+            for shingle in found:
+                for word in set(shingle):
+                    gain[word] += len(word) ** 2 / needed[name]
+        best = max(gain, key=lambda w: (gain[w], w))
+        chosen.append(best)
+        left = {name: {x for x in found if best not in x} for name, found in left.items()}
+        left = {name: found for name, found in left.items() if len(found) >= needed[name]}
+    return chosen
+
+
+def _keys(sizes: tuple[tuple[int, int, int], ...]) -> Column:
+    """MinHash keys of the windows of shingles ``h``: one number for size, band and value."""
+    parts = []
+    for size, bands, stride in sizes:
+        for band in range(bands):
+            number = 16 * size + band
+            if size == 1:
+                parts.append(f"transform(h, x -> xxhash64({number}, x))")
+                continue
+            # Indices stay inside: texts with fewer shingles have no window of the size.
+            mins = (
+                f"transform(sequence(0, size(h) - {size}, {stride}), i -> xxhash64({number},"
+                f" array_min(transform(slice(h, i + 1, {size}), x -> xxhash64(x, {band})))))"
+            )
+            parts.append(f"case when size(h) < {size} then cast(array() as array<bigint>) else {mins} end")
+    return F.expr(f"concat({', '.join(parts)})")
 
 
 def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, template_id, containment, matched, shingles, first_word)``, the best place of each pair."""
-    own = _shingles(templates.select("template_id", text_or_empty().alias("text")), "template_id")
-    own = materialise(own.filter("size(h) > 0").dropDuplicates(["template_id"]), "templates")
-    sizes = own.select(
-        "template_id", F.size(F.array_distinct("h")).alias("shingles"), F.size("h").alias("length")
-    )
-    keys = materialise(
-        _keys(own, "template_id", 1).dropDuplicates(["template_id", "band", "value"]).withColumnRenamed("at", "template_at"),
-        "keys",
-    )
-    n_keys, = keys.agg(F.count("*")).first()
-    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text")).filter("doc_id is not null")
+    """``(doc_id, template_id, containment, matched, shingles, first_word)`` for each pair that reaches the threshold."""
+    own = templates.select("template_id", tidy(text_or_empty()).alias("words")).filter("words <> '' and template_id is not null")
+    own = materialise(own.groupBy("template_id").agg(F.min("words").alias("words")).withColumn("h", _shingles("words")), "templates")
+    # Of the sizes the largest that a template holds, at each of its words.
+    fitting = F.coalesce(*(F.when(F.size("h") >= size, _keys(((size, bands, 1),))) for size, bands, _ in WINDOWS))
+    keys = materialise(own.select("template_id", F.explode(fitting).alias("key")).distinct(), "keys")
+    n_keys, n_templates = keys.agg(F.count("*"), F.count_distinct("template_id")).first()
+    texts = docs.select(F.col("doc_id").cast("long"), tidy(text_or_empty().cast("string")).alias("words")).filter("doc_id is not null")
+    if 0 < n_templates <= CHOOSE_FOR:
+        some = chosen_words({r["template_id"]: r["words"] for r in own.select("template_id", "words").collect()}, threshold)
+        texts = texts.filter(reduce(lambda a, b: a | b, (F.contains("words", F.lit(w)) for w in some)))
     side = F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys
-    hits = materialise(
-        _keys(_shingles(texts, "doc_id"), "doc_id", STRIDE)
-        .join(side, ["band", "value"])
-        .select("doc_id", "template_id", "band", "value", "at", (F.col("at") - F.col("template_at")).alias("shift")),
-        "license-hits",
-    )
-    small = F.broadcast(sizes) if n_keys <= BROADCAST_KEYS else sizes
-    # Places: alignments within a slack of a quarter template, in two overlapping grids.
-    slack = F.greatest(F.lit(8), (F.col("length") / 2).cast("int"))
-    placed = (
-        hits.join(small, "template_id")
-        .withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("place", F.floor((F.col("shift") + F.col("half") * (slack / 2)) / slack).cast("long"))
+    retrieved = (
+        texts.select("doc_id", _shingles("words").alias("h"))
+        .select("doc_id", F.explode_outer(_keys(WINDOWS)).alias("key"))
+        .join(side, "key")
+        .select("doc_id", "template_id")
+        .distinct()
     )
-    # Short templates have no long windows: their one-shingle windows retrieve them.
-    retrieves = (F.col("band") > 0) | (F.col("length") < LONG)
+    retrieved = materialise(retrieved, "retrieved")
+    # Verification reads the retrieved texts alone.
+    pairs = texts.join(small_side(retrieved), "doc_id").select("doc_id", "template_id", _shingles("words").alias("h"))
+    exact = own.select("template_id", F.array_distinct("h").alias("theirs"))
+    exact = F.broadcast(exact) if n_keys <= BROADCAST_KEYS else exact
     found = (
-        placed.groupBy("doc_id", "template_id", "half", "place")
-        .agg(
-            F.max(retrieves).alias("retrieved"),
-            F.count_distinct(F.when(F.col("band") == 0, F.col("value"))).alias("matched"),
-            F.min("at").cast("long").alias("first_word"),
-            F.max("shingles").alias("shingles"),
-        )
-        .filter(F.col("retrieved") & (F.col("matched") >= threshold * F.col("shingles")))
-    )
-    best = found.groupBy("doc_id", "template_id").agg(
-        F.max(F.struct("matched", (-F.col("first_word")).alias("from"))).alias("best"), F.max("shingles").alias("shingles")
+        pairs.join(exact, "template_id")
+        .withColumn("matched", F.size(F.array_intersect("theirs", "h")).cast("long"))
+        .withColumn("shingles", F.size("theirs"))
+        .filter(F.col("matched") >= threshold * F.col("shingles"))
+        .withColumn("first_word", F.expr("array_position(transform(h, x -> array_contains(theirs, x)), true) - 1"))
     )
+    best = found.groupBy("doc_id", "template_id", "shingles").agg(F.max(F.struct("matched", (-F.col("first_word")).alias("from"))).alias("best"))
     return best.select(
         "doc_id",
         "template_id",

@@ -225,6 +225,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple],
     return runs, bins
 
 
+def by_block(runs: list[tuple], counts: dict[int, int]) -> tuple[dict[int, int], list[tuple]]:
+    """Ranks per block for each length, and the runs with each block that they reach into.
+
+    A length has as many blocks as runs, so there are at most twice as many rows as
+    runs, and a piece meets two runs on average, however the runs are spread.
+    """
+    per_length: dict[int, int] = {}
+    for run in runs:
+        per_length[run[0]] = per_length.get(run[0], 0) + 1
+    steps = {size: max(1, -(-counts[size] // n)) for size, n in per_length.items()}
+    blocks = []
+    for size, first, end, *place in runs:
+        step = steps[size]
+        blocks += [(size, block, first, end, *place) for block in range(first // step, (end - 1) // step + 1)]
+    return steps, blocks
+
+
 def pack(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int = EOS, entries: int = CACHE_ENTRIES
 ) -> DataFrame:
@@ -234,14 +251,16 @@ def pack(
     # At most `capacity` rows: lengths lie between 1 and capacity.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = plan(counts, capacity)
-    places = spark.createDataFrame(
-        runs or [(0, 0, 0, 1, 0, 0)],
-        "length long, first_rank long, end_rank long, per_bin long, first_bin long, first_offset long",
-    )
     ranked = gapless_rank(pieces, "length", ["doc_id", "piece"], counts or {0: 0}, "rank")
-    # The runs number a few for each length, so their size has the same bound.
+    kinds = "length long, block long, first_rank long, end_rank long, per_bin long, first_bin long, first_offset long"
+    steps, blocks = by_block(runs, counts)
+    steps = spark.createDataFrame(list(steps.items()) or [(0, 1)], "length long, step long")
+    places = spark.createDataFrame(blocks or [(0, 0, 0, 0, 1, 0, 0)], kinds)
+    # Both sides are bounded by the plan, that is by the number of lengths, not by the rows.
     return (
-        ranked.join(F.broadcast(places), "length")
+        ranked.join(F.broadcast(steps), "length")
+        .withColumn("block", F.expr("rank div step"))
+        .join(F.broadcast(places), ["length", "block"])
         .filter("rank >= first_rank and rank < end_rank")
         .select(
             "doc_id",

@@ -10,7 +10,7 @@ Features are counts per word of hashed tokens: the word, its ending, its shape;
 and tokens that describe the text as a whole (length, repetition, symbols).
 
 Edge cases: null and empty texts have the whole-text tokens only; null ratings are
-not learnt from; with fewer than two grades rated, every expected grade is that
+not learnt from, of different ones of one document the lowest counts; with fewer than two grades rated, every expected grade is that
 grade (or 0) and nothing is rejected; rows that repeat are scored alike; an empty
 table gives no rows; other columns are ignored.
 """
@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 MAX_TRAINING_ROWS = 8000
 BUCKETS = 1 << 18
 EPOCHS = 200
+#: Rated documents that must have a hashed feature for it to get a weight.
+LEAST_SEEN = 2
+#: Mean slope at which fitting ends.
+FLAT = 1e-5
 CACHE_ENTRIES = 200_000
 
 
@@ -103,18 +107,27 @@ class Model:
 def fit_ordinal(
     rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, ridge: float = 1e-4
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds for grades ``y`` in 0 .. K-1, by Adam on the mean likelihood."""
+    """Weights and ordered thresholds for grades ``y`` in 0 .. K-1, by Adam on the mean likelihood.
+
+    Only buckets that occur in ``LEAST_SEEN`` rows are fitted; all others keep weight zero.
+    """
     n, k = len(y), int(y.max())
+    # A row has a bucket more than once where features collide.
+    often = np.bincount(cols, minlength=BUCKETS) >= LEAST_SEEN
+    used = np.flatnonzero(often)
+    rows, values, cols = (x[often[cols]] for x in (rows, values, cols))
+    place = np.zeros(BUCKETS, np.int64)
+    place[used] = np.arange(len(used))
+    cols, size = place[cols], len(used)
     share = np.array([(y <= g).mean() for g in range(k)]).clip(1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
-    w = np.zeros(BUCKETS)
+    w = np.zeros(size)
     # t_1, then logarithms of the gaps.
     raw = np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 1e-3))))
-    moments = [np.zeros(BUCKETS + k) for _ in range(2)]
+    moments = [np.zeros(size + k) for _ in range(2)]
     theta = np.concatenate((w, raw))
-    target = (y[:, None] > np.arange(k)[None, :]).astype(float)
     for step in range(1, epochs + 1):
-        w, raw = theta[:BUCKETS], theta[BUCKETS:]
+        w, raw = theta[:size], theta[size:]
         gaps = np.exp(raw[1:])
         t = np.concatenate((raw[:1], raw[0] + np.cumsum(gaps)))
         z = np.bincount(rows, values * w[cols], minlength=n)
@@ -130,13 +143,16 @@ def fit_ordinal(
         np.add.at(g_t, np.minimum(y, k - 1), np.where(y < k, -slope_l, 0) / n)
         tail = np.cumsum(g_t[::-1])[::-1]
         g_raw = np.concatenate((tail[:1], tail[1:] * gaps))
-        g = np.concatenate((np.bincount(cols, values * g_z[rows], minlength=BUCKETS) + ridge * w, g_raw))
+        g = np.concatenate((np.bincount(cols, values * g_z[rows], minlength=size) + ridge * w, g_raw))
+        if np.abs(g).max() < FLAT:
+            break
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.99 * moments[1] + 0.01 * g * g
         theta = theta - 0.1 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
-    del target
-    raw = theta[BUCKETS:]
-    return theta[:BUCKETS], np.concatenate((raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))))
+    raw = theta[size:]
+    weights = np.zeros(BUCKETS)
+    weights[used] = theta[:size]
+    return weights, np.concatenate((raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))))
 
 
 def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> Model:
@@ -145,7 +161,8 @@ def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality", max_rows:
         ratings.select(F.col("doc_id").cast("long"), F.col(rating).cast("int").alias("rating"))
         .filter("doc_id is not null and rating is not null")
         .filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("rating").alias("rating"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )

@@ -1,10 +1,11 @@
 """Quality rules by the frequency of lines across documents.
 
 Lines are normalised (lower case, white space runs as one space) and hashed; for
-each host the different documents that hold a line are counted, where documents
-of equal text count once (copies are the business of deduplication). A line is
-removed where its documents exceed both ``min_docs`` and ``share`` of the host's,
-so the rule means the same for small and large hosts. A document is rejected when
+each host the different documents that hold a line are counted. A line is removed
+where they exceed the host's limit: ``share`` of its documents, but ``min_docs`` at
+least and ``max_docs`` at most, so that the rule reaches boilerplate of small hosts
+and of those that hold a third of a corpus. Copies are documents like others; with
+``copies=False`` documents of equal text count once. A document is rejected when
 removal leaves it depleted: less than half of its characters or fewer than
 ``min_words`` words. In-document counts (words, symbols, repeated lines and
 windows) give the base verdict.
@@ -21,9 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialise, text_or_empty
+from .common import WS, materialise, small_side, text_or_empty
 
 MIN_DOCS = 10
+MAX_DOCS = 1000
 SHARE = 0.01
 MAX_LOSS = 0.5
 MIN_WORDS = 10
@@ -96,33 +98,41 @@ def _measures(docs: DataFrame) -> DataFrame:
 def line_rules(
     docs: DataFrame,
     min_docs: int = MIN_DOCS,
+    max_docs: int = MAX_DOCS,
     share: float = SHARE,
     max_loss: float = MAX_LOSS,
     min_words: int = MIN_WORDS,
+    copies: bool = True,
 ) -> DataFrame:
     """One row per document with its counts, the base verdict and the final one."""
     rows = materialise(_measures(docs), "measures")
     lines = rows.select("doc_id", "host", "text_hash", F.explode("lines").alias("l")).select(
         "doc_id", "host", "text_hash", "l.*"
     )
+    document = "doc_id" if copies else "text_hash"
+    named = rows.filter("doc_id is not null")
     common = (
-        lines.select("host", "line", "text_hash")
+        named.select("host", document, F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
         .distinct()
         .groupBy("host", "line")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") > min_docs)
     )
-    hosts = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    removed = common.join(hosts, "host").filter(F.col("n") > share * F.col("docs")).select("host", "line")
+    hosts = named.select("host", document).distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    limit = F.greatest(F.lit(min_docs), F.least(F.lit(max_docs), share * F.col("docs")))
+    removed = materialise(common.join(small_side(hosts, 500_000), "host").filter(F.col("n") > limit).select("host", "line"), "removed")
+    # Removed lines are the most frequent ones: they are met by broadcast while they are few.
+    removed = small_side(removed, 500_000)
     lost = (
-        lines.join(removed, ["host", "line"])
+        lines.filter("doc_id is not null")
+        .join(removed, ["host", "line"])
         .groupBy("doc_id", "text_hash")
         .agg(F.sum("chars").alias("lost_chars"), F.sum("words").alias("lost_words"), F.count("*").alias("lost_lines"))
     )
     # Repeated rows count as one document here.
-    copies = rows.filter("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
-    lost = lost.join(copies, ["doc_id", "text_hash"]).select(
-        "doc_id", "text_hash", *(F.expr(f"{c} div copies").alias(c) for c in ("lost_chars", "lost_words", "lost_lines"))
+    again = named.groupBy("doc_id", "text_hash").agg(F.count("*").alias("again"))
+    lost = lost.join(again, ["doc_id", "text_hash"]).select(
+        "doc_id", "text_hash", *(F.expr(f"{c} div again").alias(c) for c in ("lost_chars", "lost_words", "lost_lines"))
     )
     none = F.lit(0).cast("long")
     out = rows.drop("lines").join(lost, ["doc_id", "text_hash"], "left").select(

@@ -3,13 +3,15 @@
 Documents with equal texts form a group that stays together. Groups, largest
 first, go to the least-loaded shard, which a heap yields.
 
-Scheduling is sequential, so the number of things scheduled is bounded whatever
-the corpus is: with T bytes in all, groups of at least T / (shards * detail)
-bytes are scheduled one by one (there are at most shards * detail of them), and
-smaller ones are first gathered by hash into at most that many bundles. Where
-every group is large enough (small corpora) the schedule is exactly that of the
-single groups. The law held is ``bytes``: loads differ by about one bundle, that
-is 1 / detail of a shard, unless a single group is larger than a shard's share.
+Groups of one size are interchangeable, so the schedule is made from the counts of
+sizes: exactly that of the single groups, but only as long as there are different
+sizes. D of them hold at least D * D / 2 bytes, so T bytes have at most sqrt(2 T)
+(14 million at 100 TB, if every size occurred). Of many groups of one size, the
+shares of the shards are computed at once: they go where the loads plus multiples
+of the size are smallest. The schedule names runs (size, ranks, shard), at most one
+a shard for each size; executors look their groups up by rank. The law held is
+``bytes``: loads differ by about the smallest groups, unless a single group is
+larger than a shard's share.
 
 Edge cases: a null text counts as empty (size 8, checksum 0) and shares the group
 of empty texts; repeated rows are documents of their own in one group; an empty
@@ -19,29 +21,66 @@ table gives no rows; other columns of the input are ignored.
 from __future__ import annotations
 
 import heapq
-import math
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, materialise, text_or_empty
+from .common import gapless_rank, materialise, small_side, text_or_empty
 
 SHARDS = 24
-DETAIL = 512
+#: A group that holds a larger share of all rows than one in so many meets its shard by broadcast.
+HOT_SHARE = 10_000
 
 
-def schedule(loads: list[tuple[str, int]], shards: int) -> dict[str, int]:
-    """Longest first onto the least-loaded shard; ties by name and by shard number."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for name, size in sorted(loads, key=lambda x: (-x[1], x[0])):
-        load, s = heap[0]
-        heapq.heapreplace(heap, (load + size, s))
-        out[name] = s
+def level(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of ``n`` groups of one size each shard takes when each goes to the least-loaded, ties by number."""
+
+    def below(value: int) -> list[int]:
+        return [max(0, -((x - value) // size)) for x in loads]
+
+    # The groups land on the n smallest of all load + m * size: find the value up to which they do.
+    low, high = min(loads), max(loads) + n * size
+    while low < high:
+        middle = (low + high + 1) // 2
+        if sum(below(middle)) <= n:
+            low = middle
+        else:
+            high = middle - 1
+    out = below(low)
+    rest = n - sum(out)
+    for s, x in enumerate(loads):
+        if rest and x <= low and (low - x) % size == 0:
+            out[s] += 1
+            rest -= 1
     return out
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, detail: int = DETAIL) -> DataFrame:
+def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """Runs ``(size, first_rank, end_rank, shard)`` of the groups of each size, largest first, and the loads."""
+    heap = [(0, s) for s in range(shards)]
+    runs = []
+    for size, n in sorted(sizes, reverse=True):
+        if n <= 2 * shards:
+            taken = [0] * shards
+            for _ in range(n):
+                load, s = heap[0]
+                heapq.heapreplace(heap, (load + size, s))
+                taken[s] += 1
+        else:
+            loads = [load for load, _ in sorted(heap, key=lambda x: x[1])]
+            taken = level(loads, size, n)
+            heap = [(load + k * size, s) for s, (load, k) in enumerate(zip(loads, taken, strict=True))]
+            heapq.heapify(heap)
+        at = 0
+        for s, k in enumerate(taken):
+            if k:
+                runs.append((size, at, at + k, s))
+                at += k
+    return runs, [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = docs.sparkSession
     text = text_or_empty()
     rows = materialise(
@@ -53,37 +92,27 @@ def shard(docs: DataFrame, shards: int = SHARDS, detail: int = DETAIL) -> DataFr
         ),
         "sizes",
     )
-    groups = materialise(rows.groupBy("gkey").agg(F.sum("size").alias("bytes")), "groups")
-    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    least = max(1, math.ceil(total / (shards * detail)))
-    # At most shards * detail groups reach `least` bytes.
-    large = [(r["gkey"], r["bytes"]) for r in groups.filter(F.col("bytes") >= least).collect()]
-    small_bytes = total - sum(b for _, b in large)
-    bundles = max(1, math.ceil(small_bytes / least))
-    bundle = F.concat(F.lit("#"), F.pmod(F.xxhash64("gkey"), F.lit(bundles)).cast("string"))
-    small = [
-        (r["unit"], r["bytes"])
-        for r in groups.filter(F.col("bytes") < least)
-        .groupBy(bundle.alias("unit"))
-        .agg(F.sum("bytes").alias("bytes"))
-        .collect()
-    ]
-    found = schedule(large + small, shards)
-    units = spark.createDataFrame(
-        [(u, s, u[0] != "#") for u, s in found.items()], "unit string, shard int, alone boolean"
-    )
-    # Both sides that are broadcast have at most shards * detail rows.
-    alone = units.filter("alone").select(F.col("unit").alias("gkey"), F.col("shard").alias("own"))
-    bundled = units.filter("not alone").select("unit", F.col("shard").alias("shared"))
-    dealt = (
-        rows.withColumn("unit", bundle)
-        .join(F.broadcast(alone), "gkey", "left")
-        .join(F.broadcast(bundled), "unit", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own", "shared").alias("shard"))
+    groups = materialise(rows.groupBy("gkey").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
+    counts = {r["bytes"]: r["n"] for r in groups.groupBy("bytes").agg(F.count("*").alias("n")).toLocalIterator()}
+    runs, _ = schedule(counts.items(), shards)
+    found = spark.createDataFrame(runs or [(0, 0, 0, 0)], "bytes long, first_rank long, end_rank long, shard int")
+    ranked = gapless_rank(groups, "bytes", ["gkey"], counts or {0: 0}, "rank")
+    # At most as many runs for a size as there are shards.
+    placed = ranked.join(F.broadcast(found) if len(runs) <= 1_000_000 else found, "bytes").filter(
+        "rank >= first_rank and rank < end_rank"
     )
-    counts = {r["shard"]: r["n"] for r in dealt.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    ranked = gapless_rank(dealt, "shard", ["doc_id", "text_crc32"], counts or {0: 0}, "slot")
-    return ranked.select(
+    placed = materialise(placed.select("gkey", "n", "shard"), "placed")
+    most = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT_SHARE
+    # At most HOT_SHARE groups are hot; the others have few rows each.
+    hot = F.broadcast(placed.filter(F.col("n") > most).filter(F.col("n") > 1000).select("gkey", F.col("shard").alias("_hot")))
+    others = placed.filter((F.col("n") <= most) | (F.col("n") <= 1000)).select("gkey", "shard")
+    own = rows.join(hot, "gkey", "left")
+    kinds = ["doc_id", "size", "text_crc32", "shard"]
+    dealt = own.filter("_hot is not null").withColumnRenamed("_hot", "shard").select(kinds)
+    dealt = dealt.unionByName(own.filter("_hot is null").join(small_side(others, 500_000), "gkey").select(kinds))
+    per_shard = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    numbered = gapless_rank(dealt, "shard", ["doc_id", "text_crc32"], per_shard or {0: 0}, "slot")
+    return numbered.select(
         "doc_id",
         "size",
         "text_crc32",
