@@ -87,21 +87,34 @@ def canonical(text: Column, first_name: bool = False) -> Column:
 
 
 def _forms(gram: str = "gram") -> Column:
-    """The forms of a window: a hash, and the window with the values of its placeholders (null: as written)."""
+    """Hashes of the forms of a window: with all placeholders, with those of numbers and units, as written; equal ones once."""
     marked = F.col(gram)
-    bare = F.replace(marked, F.lit(NAME + VALUE), F.lit(""))
-    form = lambda x: F.struct(F.xxhash64(F.regexp_replace(x, _VALUE, "")).alias("window"), x.alias("marked"))
-    written = F.struct(F.xxhash64(F.translate(marked, NUMBER + NAME + UNIT + VALUE, "")).alias("window"), F.lit(None).cast("string").alias("marked"))
-    plain = F.struct(F.xxhash64(marked).alias("window"), F.lit(None).cast("string").alias("marked"))
+    typed = lambda x: F.xxhash64(F.regexp_replace(x, _VALUE, ""))
+    written = F.xxhash64(F.translate(marked, NUMBER + NAME + UNIT + VALUE, ""))
     return (
-        F.when(~F.contains(marked, F.lit(VALUE)), F.array(plain))
-        .when(~F.contains(marked, F.lit(NAME)) | ~F.contains(marked, F.lit(NUMBER)), F.array(form(marked), written))
-        .otherwise(F.array(form(marked), form(bare), written))
+        F.when(~F.contains(marked, F.lit(VALUE)), F.array(F.xxhash64(marked)))
+        .when(~_mixed(marked), F.array(typed(marked), written))
+        .otherwise(F.array(typed(marked), typed(_bare(marked)), written))
     )
 
 
+def _mixed(marked: Column) -> Column:
+    return F.contains(marked, F.lit(NAME)) & F.contains(marked, F.lit(NUMBER))
+
+
+def _bare(marked: Column) -> Column:
+    return F.replace(marked, F.lit(NAME + VALUE), F.lit(""))
+
+
+def _marked(gram: str, form: str) -> Column:
+    """The window with the values of the placeholders that its form has; null as written."""
+    marked, number = F.col(gram), F.col(form)
+    plain = ~F.contains(marked, F.lit(VALUE))
+    return F.when(~plain & (number == 0), marked).when(~plain & (number == 1) & _mixed(marked), _bare(marked))
+
+
 def windows(rows: DataFrame, key: str, size: int = WINDOW, shorter: Sequence[int] = (), first_name: bool = False) -> DataFrame:
-    """``(key, at, gram, window, marked)``: the windows of each text in all their forms, also those of ``shorter`` sizes.
+    """``(key, at, gram, form, window)``: the windows of each text in all their forms, also those of ``shorter`` sizes.
 
     A text of fewer than ``size`` words is one window.
     """
@@ -113,7 +126,7 @@ def windows(rows: DataFrame, key: str, size: int = WINDOW, shorter: Sequence[int
     # The outer form: for the inner one the optimizer adds a filter on the array's
     # size, for which it would build the array once more.
     rows = rows.select(key, F.posexplode_outer(grams).alias("at", "gram")).filter("gram is not null")
-    return rows.select(key, "at", "gram", F.inline_outer(_forms()))
+    return rows.select(key, "at", "gram", F.posexplode_outer(_forms()).alias("form", "window"))
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -125,6 +138,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
         .agg(F.min("text").alias("text"))
     )
     own = windows(items, "item_id", size).unionByName(windows(items, "item_id", size, first_name=True).filter("at = 0"))
+    own = own.withColumn("marked", _marked("gram", "form"))
     words = F.size(F.split("gram", " "))
     literal = words - F.size(F.filter(F.split("marked", " "), lambda x: F.contains(x, F.lit(VALUE))))
     own = own.withColumn("words", words).filter(F.col("marked").isNull() | (literal >= F.least(F.lit(MIN_LITERALS), F.col("words") - 1)))
@@ -158,7 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         "typed",
         (F.col("at") - F.col("item_at")).alias("shift"),
         "item_marked",
-        "marked",
+        _marked("gram", "form").alias("marked"),
     )
     hits = materialise(hits, "hits")
     # Along one alignment a value of the item stands for one value of the document.
