@@ -58,14 +58,19 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes ``<kind>``; ``n_chars`` follows where the text changes."""
     found = pii.extract(docs)
-    more = materialise(found.filter("more is not null").select("text_hash", "more").dropDuplicates(["text_hash"]), "more")
+    names = {"doc_id": f"{_OWN}id", "text_hash": f"{_OWN}hash"}
+    more = found.filter("more is not null").select("doc_id", "text_hash", "more").dropDuplicates(["doc_id", "text_hash"])
+    more = materialise(more.withColumnsRenamed(names), "more")
+    n_spans = more.agg(F.coalesce(F.sum(F.size("more")), F.lit(0))).first()[0]
     # Base spans are found again beside the text, which is cheaper than moving texts.
     rows = pii.base_spans(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), "_row")
     rows = rows.withColumn("text_hash", F.xxhash64("doc_id", "text"))
-    if more.isEmpty():
+    if not n_spans:
         rows = rows.withColumn("more", F.lit(None).cast(more.schema["more"].dataType))
     else:
-        rows = rows.join(small_side(more, 200_000), "text_hash", "left")
+        # Some 40 bytes a span are broadcast, up to a million spans.
+        same = F.col("doc_id").eqNullSafe(F.col(f"{_OWN}id")) & (F.col("text_hash") == F.col(f"{_OWN}hash"))
+        rows = rows.join(F.broadcast(more) if n_spans <= 1_000_000 else more, same, "left")
     rows = rows.withColumn("_spans", F.array_sort(F.concat(pii.base_array(), F.coalesce("more", F.array().cast(more.schema["more"].dataType)))))
     rows = rows.withColumn("_hit", F.size("_spans") > 0).withColumn("_masked", F.when(F.col("_hit"), pii.masked(F.col("text"), F.col("_spans"))))
     out = []
