@@ -28,12 +28,11 @@ ignored.
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, materialise, small_side, text_or_empty, word_grams
+from .common import materialise, small_side, text_or_empty, word_grams
 
 SHINGLE = 5
 #: Sizes of windows in shingles: (size, bands, every so many words of a text).
@@ -96,8 +95,8 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
 
 def tidy(text: str | Column) -> Column:
     """Words in lower case without punctuation, parted by single spaces."""
-    bare = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}{WS}]++", "")
-    return F.btrim(F.regexp_replace(F.translate(bare, "\t\n\x0b\f\r", "     "), " {2,}", " "), F.lit(" "))
+    bare = F.regexp_replace(F.translate(F.lower(text), "\t\n\x0b\f\r", "     "), r"[^\p{L}\p{N} ]++", "")
+    return F.btrim(F.regexp_replace(bare, " {2,}", " "), F.lit(" "))
 
 
 def _shingles(words: str) -> Column:
@@ -158,13 +157,15 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) ->
     fitting = F.coalesce(*(F.when(F.size("h") >= size, _keys(((size, bands, 1),))) for size, bands, _ in WINDOWS))
     keys = materialise(own.select("template_id", F.explode(fitting).alias("key")).distinct(), "keys")
     n_keys, n_templates = keys.agg(F.count("*"), F.count_distinct("template_id")).first()
-    texts = docs.select(F.col("doc_id").cast("long"), tidy(text_or_empty().cast("string")).alias("words")).filter("doc_id is not null")
+    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text")).filter("doc_id is not null")
+    words = texts.select("doc_id", tidy("text").alias("words"))
     if 0 < n_templates <= CHOOSE_FOR:
         some = chosen_words({r["template_id"]: r["words"] for r in own.select("template_id", "words").collect()}, threshold)
-        texts = texts.filter(reduce(lambda a, b: a | b, (F.contains("words", F.lit(w)) for w in some)))
+        # One pattern, since the optimizer writes the tidy text out at each place that names it.
+        words = words.filter(F.col("words").rlike("|".join(some)))
     side = F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys
     retrieved = (
-        texts.select("doc_id", _shingles("words").alias("h"))
+        words.select("doc_id", _shingles("words").alias("h"))
         .select("doc_id", F.explode_outer(_keys(WINDOWS)).alias("key"))
         .join(side, "key")
         .select("doc_id", "template_id")
@@ -172,7 +173,8 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) ->
     )
     retrieved = materialise(retrieved, "retrieved")
     # Verification reads the retrieved texts alone.
-    pairs = texts.join(small_side(retrieved), "doc_id").select("doc_id", "template_id", _shingles("words").alias("h"))
+    pairs = texts.join(small_side(retrieved), "doc_id").select("doc_id", "template_id", tidy("text").alias("words"))
+    pairs = pairs.select("doc_id", "template_id", _shingles("words").alias("h"))
     exact = own.select("template_id", F.array_distinct("h").alias("theirs"))
     exact = F.broadcast(exact) if n_keys <= BROADCAST_KEYS else exact
     found = (
