@@ -44,8 +44,8 @@ def parse_records(c: Column, schema: str) -> Column:
 
 
 def decode_message(rich: Column, role: Column, content: Column) -> Column:
-    """The rich JSON where it parses, else role and content."""
-    parsed = F.get_json_object(rich, "$.role")
+    """The rich JSON where there is one that parses, else role and content."""
+    parsed = F.try_parse_json(blank_to_null(rich))
     return F.when(parsed.isNotNull(), rich).otherwise(F.to_json(F.struct(role.alias("role"), content.alias("content"))))
 
 
@@ -86,6 +86,56 @@ def date_range(start: Column, end: Column, present: str = "至今") -> Column:
     )
 
 
+def json_escape(c: Column) -> Column:
+    """Backslash, quote, line feed, carriage return and tab, in this order; null is empty."""
+    c = F.coalesce(c, F.lit(""))
+    for raw, safe in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
+
+
+def first_named(c: Column, names: Sequence[str]) -> Column:
+    """A field of a JSON object under the first of several names that it has."""
+    return F.coalesce(*(F.get_json_object(c, f"$.{n}") for n in names))
+
+
+def new_bot_id() -> Column:
+    """``bot_`` and eight random characters; not deterministic, so store it before use."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    one = lambda: F.substring(F.lit(letters), (F.floor(F.rand() * len(letters)) + 1).cast("int"), F.lit(1))
+    return F.concat(F.lit("bot_"), *(one() for _ in range(8)))
+
+
+def new_trace_id() -> Column:
+    return F.substring(F.expr("uuid()"), 1, 8)
+
+
+def sendable(reply: Column) -> Column:
+    """Replies that begin with the mark of an error text are not sent."""
+    return ~reply.startswith("【")
+
+
+def image_entry(vision: Column) -> Column:
+    return F.concat(F.lit("[用户发送了一张图片，内容："), vision, F.lit("]"))
+
+
+def drawing_entry(prompt: Column) -> Column:
+    return F.concat(F.lit("[已发送图片，提示词："), prompt, F.lit("]"))
+
+
+def cached_messages(c: Column) -> Column:
+    """The messages of a cache entry, a JSON array; null (a miss) where it is missing, blank or no array."""
+    parsed = F.try_parse_json(blank_to_null(c))
+    return F.when(F.schema_of_variant(parsed).startswith("ARRAY"), F.try_variant_get(parsed, "$", "array<variant>"))
+
+
+def sampled(key: Column, rate: float, enabled: bool = True, seed: int = 0) -> Column:
+    """Whether a row is in a sample of the given rate: by a hash of its key, so it stays in it when a task is run again."""
+    if not enabled or rate <= 0:
+        return F.lit(False)
+    return F.lit(True) if rate >= 1 else F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
+
+
 def strip_slashes(c: Column) -> Column:
     return F.regexp_replace(c, "/+$", "")
 

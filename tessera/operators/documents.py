@@ -67,6 +67,37 @@ def indent(paras: DataFrame, chars: int) -> DataFrame:
     return paras.withColumn("indent", F.when(hit, F.lit(chars * 240)).otherwise(0).cast("long"))
 
 
+def indent_counts(indented: DataFrame) -> DataFrame:
+    """How many paragraphs of each document ``indent`` reached."""
+    return indented.groupBy("doc_id").agg(F.count_if(F.col("indent") > 0).alias("modified"))
+
+
+def add_image(paras: DataFrame, image: Column, position: str = "end", text: str | None = None) -> DataFrame:
+    """A paragraph of style ``Image`` at the beginning or end, or before or after the first paragraph that contains ``text``.
+
+    Where no paragraph has the text, and for any other position, it goes to the end.
+    """
+    end = F.max("para_no") + 0.5
+    if position == "beginning":
+        at = F.min("para_no") - 0.5
+    elif position in ("before_text", "after_text") and text is not None:
+        found = F.min(F.when(F.col("text").contains(text), F.col("para_no")))
+        at = F.coalesce(found + (-0.5 if position == "before_text" else 0.5), end)
+    else:
+        at = end
+    new = paras.groupBy("doc_id").agg(at.cast("double").alias("_o"))
+    new = new.select("doc_id", "_o", F.lit("Image").alias("style"), image.alias("text"))
+    rows = paras.select("doc_id", F.col("para_no").cast("double").alias("_o"), "style", "text")
+    return renumber(rows.unionByName(new), "_o")
+
+
+def format_result(paras: DataFrame, target: str) -> DataFrame:
+    """``(doc_id, modified, error)``: how many paragraphs a format reaches; none is an error."""
+    hit = is_heading() if target.lower() == "all_headings" else F.col("text").contains(target)
+    n = F.count_if(hit)
+    return paras.groupBy("doc_id").agg(n.alias("modified"), F.when(n == 0, F.concat(F.lit("no match: "), F.lit(target))).alias("error"))
+
+
 def add_heading(paras: DataFrame, text: str, level: int, after: str | None = None) -> DataFrame:
     """A heading at the end, or behind the first paragraph that contains ``after``."""
     found = F.max("para_no") if after is None else F.min(F.when(F.col("text").contains(after), F.col("para_no")))
@@ -78,7 +109,7 @@ def add_heading(paras: DataFrame, text: str, level: int, after: str | None = Non
 
 def format_matching(paras: DataFrame, target: str, bold: bool | None = None, size: int | None = None) -> DataFrame:
     """Formats of paragraphs that contain ``target`` (or of all headings); only what is given changes."""
-    hit = is_heading() if target == "all_headings" else F.col("text").contains(target)
+    hit = is_heading() if target.lower() == "all_headings" else F.col("text").contains(target)
     old_bold = F.col("bold") if "bold" in paras.columns else F.lit(None).cast("boolean")
     old_size = F.col("size") if "size" in paras.columns else F.lit(None).cast("int")
     return paras.withColumns(
@@ -139,3 +170,22 @@ def render_html(df: DataFrame, title: str, contact: Sequence[str], items: str) -
         "html",
         F.concat_ws("", F.concat(F.lit("<h1>"), html_escape(F.col(title)), F.lit("</h1>")), F.concat(F.lit("<p>"), html_escape(line), F.lit("</p>")), body),
     )
+
+
+#: Operations on paragraphs by name, each ``f(paras, **arguments)``.
+OPERATIONS = {
+    "modify_title": lambda paras, title: modify_title(paras, F.lit(title)),
+    "set_first_line_indent": lambda paras, indent_chars=2: indent(paras, indent_chars),
+    "add_heading": lambda paras, text, level=1, after=None: add_heading(paras, text, level, after),
+    "format_heading": lambda paras, target_text, bold=None, size=None: format_matching(paras, target_text, bold, size),
+    "add_image": lambda paras, image, position="end", text=None: add_image(paras, F.lit(image), position, text),
+}
+
+
+def operate(paras: DataFrame, operation: str, **arguments) -> DataFrame:
+    """One of ``OPERATIONS``; arguments out of range and unknown names are refused."""
+    if operation not in OPERATIONS:
+        raise ValueError(f"unknown operation: {operation}")
+    if not 0 <= arguments.get("indent_chars", 0) <= 10 or not 1 <= arguments.get("level", 1) <= 6:
+        raise ValueError(f"{operation}: argument out of range")
+    return OPERATIONS[operation](paras, **arguments)

@@ -40,7 +40,7 @@ def _replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     stack: list[int] = []
     status: dict[int, str] = {}
     link: dict[int, int | None] = {}
-    for r in rows.sort_values("id").itertuples():
+    for r in rows.sort_values(["id", "action"]).itertuples():
         if r.action == "delete":
             if r.target in status and status[r.target] == "active":
                 status[r.target] = "deleted"
@@ -106,3 +106,11 @@ def injection(memory: DataFrame, facts: int = 5, notes: int = 3) -> DataFrame:
     users = memory.select("user_id").distinct()
     return users.join(s, "user_id", "left").join(f, "user_id", "left").join(n, "user_id", "left")
 
+
+
+def known_facts(memory: DataFrame, n: int = 20) -> DataFrame:
+    """Per user the newest ``n`` active facts and preferences as lines for an extractor."""
+    line = F.concat(F.lit("- ["), F.col("dimension"), F.lit("] "), F.col("content"))
+    rows = newest(active(memory, "fact", "preference"), ["user_id"], "id", n).select("user_id", "id", line.alias("line"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("id")).alias("o"), "line")))
+    return rows.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("known"))

@@ -4,31 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import after_signal, contains_any
+from ..functions.scalar import after_signal, contains_any, trim
 
 # Words that decide an intent.
 DRAW = ("画一张", "画一幅", "画一只", "帮我画", "帮我生成", "生成图片", "画图", "绘制")
 VOICE = ("用语音回复", "语音回答", "语音回复我", "用语音说", "语音告诉我")
 SWITCH = ("切换音色", "换音色", "切换成", "换成")
 DEEP = ("分析", "前景", "投资", "评估", "报告", "怎么样")
-#: Signals are sent to every executor up to this number; beyond it words are joined by equality of parts.
+# Words by which a message belongs to a domain.
+SIGNALS = {
+    "weather": ("天气", "气温", "下雨", "刮风", "晴天", "阴天", "温度", "湿度"),
+    "document": (
+        "文档", "word", "标题", "缩进", " 段落", "字体", "加粗", "修改", "创建", "生成一份", "excel", "表格", "xlsx", "电子表格",
+        "数据表", "pdf", "PDF", "转pdf", "转PDF", "简历", "resume", "cv",
+    ),
+    "company": ("公司", "企业", "股票", "股价", "行业", "分析", "报告", "上市", "融资", "工商", "查询"),
+    "draw": ("画图", "生成图片", "绘制", "画一个"),
+}
+# Voices in the order in which they are tried, label and id.
+VOICES = {
+    "龙安欢（女·元气）": "longanhuan", "龙安洋（男·阳光）": "longanyang", "龙华（女·甜美）": "longhua_v3",
+    "龙婉（女·柔声）": "longwan_v3", "龙星（女·温婉）": "longxing_v3", "龙橙（男·智慧青年）": "longcheng_v3",
+    "龙泽（男·温暖）": "longze_v3", "龙安柔（女·闺蜜）": "longanrou_v3", "龙呼呼（女童·天真）": "longhuhu_v3",
+    "龙泡泡（童声·可爱）": "longpaopao_v3", "龙闪闪（童声·戏剧）": "longshanshan_v3", "龙嘉欣（粤语女）": "longjiaxin_v3",
+    "龙老铁（东北话）": "longlaotie_v3", "龙陕哥（陕西话）": "longshange_v3", "Bella（美式英语女）": "loongbella_v3",
+    "Abby（美式英语女）": "loongabby_v3", "Emily（英式英语女）": "loongemily_v3", "Riko（日语女）": "loongriko_v3",
+    "Kyong（韩语女）": "loongkyong_v3", "龙小淳（助手·中英）": "longxiaochun_v3", "龙小夏（助手·中文）": "longxiaoxia_v3",
+    "龙妙（有声书）": "longmiao_v3", "龙三叔（有声书男）": "longsanshu_v3", "龙硕（新闻播报男）": "longshuo_v3",
+}
+# What a message without a single domain is prefaced with, before the list of tools.
+FALLBACK = "系统未能精确识别您的意图，已进入自主决策模式。\n请根据用户问题，自行判断需要调用哪些工具。如果不确定，可以反问用户澄清。\n\n可用工具：\n"
+#: Signals, voices and tools are sent to every executor; their lists may have so many rows at most.
 MAX_SIGNALS = 100_000
 
 
+def signal_table(spark: SparkSession) -> DataFrame:
+    rows = [(d, s) for d, words in SIGNALS.items() for s in words]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], "ord int, domain string, signal string")
+
+
+def voice_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *v) for i, v in enumerate(VOICES.items(), 1)], "ord int, label string, id string")
+
+
+def _listed(df: DataFrame, what: str) -> DataFrame:
+    """``df`` for broadcast, after its rows are counted."""
+    n = df.count()
+    if n > MAX_SIGNALS:
+        raise ValueError(f"{n} {what}: a join by content is meant for lists of up to {MAX_SIGNALS}")
+    return F.broadcast(df)
+
+
 def signal_hits(messages: DataFrame, signals: DataFrame, text: str = "content") -> DataFrame:
     """(message, signal) pairs where the text contains the signal; the signal list is small and its size is checked."""
-    n = signals.count()
-    if n > MAX_SIGNALS:
-        raise ValueError(f"{n} signals: a substring join is meant for lists of up to {MAX_SIGNALS}")
-    return messages.join(F.broadcast(signals), F.col(text).contains(F.col("signal")))
+    return messages.join(_listed(signals, "signals"), F.col(text).contains(F.col("signal")))
 
 
 def route(messages: DataFrame, signals: DataFrame, key: str, text: str = "content") -> DataFrame:
-    """``(key, n_domains, domain, is_fallback)``: a domain where exactly one is hit."""
-    hits = signal_hits(messages.select(key, text), signals, text).groupBy(key).agg(
+    """``(key, n_domains, domain, is_fallback)``: a domain where exactly one is hit; a null or blank text has none."""
+    spoken = messages.select(key, text).filter(~F.col(text).rlike(r"^\s*$"))
+    hits = signal_hits(spoken, signals, text).groupBy(key).agg(
         F.count_distinct("domain").alias("n"), F.min("domain").alias("d")
     )
     n = F.coalesce("n", F.lit(0)).cast("long")
@@ -44,13 +82,40 @@ def tools_of(routed: DataFrame, tools: DataFrame) -> DataFrame:
     return routed.withColumn("_d", F.explode(asked)).join(offered, "_d").drop("_d")
 
 
-def intent(text: Column, known: Sequence[str]) -> Column:
-    """4:name, 3, 1 or 2, in this order."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+def catalog(tools: DataFrame) -> DataFrame:
+    """One row: a line for each tool, in their order."""
+    line = F.concat(F.lit("- "), "name", F.lit(": "), "description")
+    rows = F.array_sort(F.collect_list(F.struct("ord", line.alias("l"))))
+    return tools.agg(F.array_join(F.transform(rows, lambda x: x["l"]), "\n").alias("catalog"))
+
+
+def with_prompt(routed: DataFrame, tools: DataFrame, guidelines: dict[str, str]) -> DataFrame:
+    """``prompt``: the fallback text with the list of tools, or the domain's guidelines, or null."""
+    own = F.lit(None).cast("string")
+    for domain, text in guidelines.items():
+        own = F.when(F.col("domain") == domain, text).otherwise(own)
+    # One row of tools is joined to all.
+    return routed.join(F.broadcast(catalog(tools)), F.lit(True)).withColumn(
+        "prompt", F.when(F.col("is_fallback"), F.concat(F.lit(FALLBACK), "catalog")).otherwise(own)
+    ).drop("catalog")
+
+
+def voice_id(name: Column, voices: dict[str, str] = VOICES) -> Column:
+    """The id itself, else the first voice whose label's first three characters are in the name, else whose label has the name."""
+    name = trim(name)
+    out = F.when(name.isin(*voices.values()), name)
+    for label, own in voices.items():
+        out = out.when(name.contains(label[:3]), own)
+    for label, own in voices.items():
+        out = out.when(F.lit(label).contains(name), own)
+    return out
+
+
+def intent(text: Column, voices: dict[str, str] = VOICES) -> Column:
+    """4:name, 3, 1 or 2, in this order; a switch needs a voice that is known."""
+    t = trim(F.coalesce(text, F.lit("")))
     name = after_signal(t, SWITCH)
-    resolved = F.lit(False)
-    for k in known:
-        resolved = resolved | F.lit(k).contains(name) | name.contains(k[:3])
+    resolved = voice_id(name, voices).isNotNull()
     return (
         F.when(name.isNotNull() & resolved, F.concat(F.lit("4:"), name))
         .when(contains_any(t, VOICE), "3")
@@ -77,7 +142,7 @@ def match_voice(names: DataFrame, voices: DataFrame) -> DataFrame:
         .when(F.col("asked").contains(F.substring("label", 1, 3)), 1)
         .when(F.col("label").contains(F.col("asked")), 2)
     )
-    pairs = names.join(F.broadcast(voices), rank.isNotNull()).withColumn("_r", rank)
+    pairs = names.join(_listed(voices, "voices"), rank.isNotNull()).withColumn("_r", rank)
     best = pairs.groupBy("asked").agg(F.min_by("id", F.struct("_r", "ord")).alias("voice"))
     return names.join(best, "asked", "left")
 
@@ -85,6 +150,6 @@ def match_voice(names: DataFrame, voices: DataFrame) -> DataFrame:
 def dispatch(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """The tool of a call, or the message for an unknown one."""
     known = tools.select("name", F.col("description").alias("_found"))
-    return calls.join(F.broadcast(known), "name", "left").withColumn(
+    return calls.join(_listed(known, "tools"), "name", "left").withColumn(
         "answer", F.coalesce("_found", F.concat(F.lit("unknown tool: "), F.col("name")))
     ).drop("_found")

@@ -22,14 +22,21 @@ class Tables:
         return view(self.spark, self.sf_dir, name)
 
 
+def _bound(sql: str, names: tuple[str, ...]) -> str:
+    """The oracle behind the bindings it reads."""
+    head = ctes(*names).rstrip()
+    if sql.startswith("WITH RECURSIVE "):
+        return head.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + sql.removeprefix("WITH RECURSIVE ")
+    return head + (", " + sql.removeprefix("WITH ") if sql.startswith("WITH ") else " " + sql)
+
+
 def query(key: str, sql: str | None = None, *names: str):
     """Register a plan under ``key``; ``sql`` is its oracle over the named bindings."""
 
     def register(f: Callable[[Tables], DataFrame]):
         QUERIES[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
-            text = " ".join(sql.split()) if "\n" in sql and "'\n" not in sql else sql
-            ORACLE[key] = (ctes(*names).rstrip() + (", " + text[5:] if text.lower().startswith("with ") else " " + text)) if names else text
+            ORACLE[key] = _bound(sql, names) if names else sql
         return f
 
     return register

@@ -173,21 +173,49 @@ def _(t):
     return M.inject_prompt(t.chat, "user_id", "id", "Rules")
 
 
-@query("reply_sendable", "SELECT id, NOT starts_with(content, 'The') AND NOT starts_with(content, '【') AS sendable FROM chat", "chat")
+@query("reply_sendable", "SELECT id, NOT starts_with(CASE WHEN id % 3 = 0 THEN '【' || content ELSE content END, '【') AS sendable FROM chat", "chat")
 def _(t):
-    return t.chat.select("id", (~F.col("content").startswith("The") & ~F.col("content").startswith("【")).alias("sendable"))
+    reply = F.when(F.col("id") % 3 == 0, F.concat(F.lit("【"), "content")).otherwise(F.col("content"))
+    return t.chat.select("id", S.sendable(reply).alias("sendable"))
+
+
+RICH = """r AS (SELECT id, role, content, CASE id % 5 WHEN 0 THEN to_json({'role': role, 'n': id})::varchar WHEN 1 THEN '{broken' WHEN 2 THEN '  ' WHEN 3 THEN to_json({'content': substr(content, 1, 9)})::varchar END AS rich FROM chat)"""
 
 
 @query(
     "message_decode",
-    """WITH r AS (SELECT id, role, content, CASE id % 3 WHEN 0 THEN '{"role":"' || role || '","n":1}' WHEN 1 THEN '{broken' END AS rich FROM chat)
-    SELECT id, CASE WHEN id % 3 = 0 THEN role ELSE role END AS role, id % 3 = 0 AS from_rich FROM r""",
+    f"""WITH {RICH}, d AS (SELECT id, CASE WHEN trim(rich) <> '' AND json_valid(rich) THEN rich ELSE to_json({{'role': role, 'content': content}})::varchar END AS m FROM r)
+    SELECT id, json_extract_string(m, '$.role') AS role, json_extract_string(m, '$.content') AS content, json_extract_string(m, '$.n') AS n FROM d""",
     "chat",
 )
 def _(t):
-    rich = F.when(F.col("id") % 3 == 0, F.concat(F.lit('{"role":"'), "role", F.lit('","n":1}'))).when(F.col("id") % 3 == 1, "{broken")
+    m = F.col("id") % 5
+    rich = (
+        F.when(m == 0, F.to_json(F.struct("role", F.col("id").alias("n"))))
+        .when(m == 1, "{broken")
+        .when(m == 2, "  ")
+        .when(m == 3, F.to_json(F.struct(F.substring("content", 1, 9).alias("content"))))
+    )
     out = S.decode_message(rich, F.col("role"), F.col("content"))
-    return t.chat.select("id", F.get_json_object(out, "$.role").alias("role"), F.get_json_object(out, "$.n").isNotNull().alias("from_rich"))
+    return t.chat.select("id", *(F.get_json_object(out, f"$.{n}").alias(n) for n in ("role", "content", "n")))
+
+
+@query(
+    "cache_read",
+    """SELECT id, CASE WHEN id % 4 = 0 THEN 2 WHEN id % 4 = 1 AND json_valid(content) AND json_type(content) = 'ARRAY' THEN 0 END::bigint AS n_messages, id % 4 <> 0 AS miss FROM chat""",
+    "chat",
+)
+def _(t):
+    m = F.col("id") % 4
+    one = F.struct("role", "content")
+    value = F.when(m == 0, F.to_json(F.array(one, one))).when(m == 1, F.col("content")).when(m == 2, F.to_json(one)).otherwise("  ")
+    found = S.cached_messages(value)
+    return t.chat.select("id", F.when(found.isNotNull(), F.size(found)).cast("long").alias("n_messages"), found.isNull().alias("miss"))
+
+
+@query("media_entries", "SELECT id, '[用户发送了一张图片，内容：' || content || ']' AS image, '[已发送图片，提示词：' || content || ']' AS drawing FROM chat", "chat")
+def _(t):
+    return t.chat.select("id", S.image_entry(F.col("content")).alias("image"), S.drawing_entry(F.col("content")).alias("drawing"))
 
 
 @query("intent_marker", "SELECT id, starts_with(m, '[VOICE]') OR starts_with(m, '[VOICE_SWITCH:') AS marked, CASE WHEN id % 4 = 1 THEN 'v' || (id % 9)::varchar END AS voice FROM (SELECT id, CASE id % 4 WHEN 0 THEN '[VOICE] ' || role WHEN 1 THEN '[VOICE_SWITCH:v' || (id % 9)::varchar || ']' ELSE role END AS m FROM chat)", "chat")

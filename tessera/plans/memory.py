@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import memory as Y
 from ..operators import messages as M
 from ..operators import registry as R
+from ..operators.routing import VOICES
 from .catalog import query
 
 TRIM = "lower(trim(dimension))"
@@ -41,7 +42,20 @@ def _(t):
     return Y.supersede_pairs(Y.supersede(t.memory_log))
 
 
-@query("memory_stack_with_deletes")
+@query(
+    "memory_stack_with_deletes",
+    """WITH RECURSIVE e AS (SELECT user_id, dimension, id, action, NULL::bigint AS target FROM memory_log UNION ALL SELECT user_id, 'error', event_id, 'delete', event_id - 3 FROM events WHERE event_type = 'error'),
+    l AS (SELECT *, row_number() OVER (PARTITION BY user_id, dimension ORDER BY id, action) AS n FROM e),
+    r AS (SELECT DISTINCT user_id, dimension, 0::bigint AS n, []::bigint[] AS stack, NULL::bigint AS id, NULL::bigint AS old, NULL::bigint AS gone FROM l
+      UNION ALL SELECT l.user_id, l.dimension, l.n, CASE WHEN l.action = 'delete' THEN [x for x in r.stack if x <> l.target] WHEN l.action = 'skip' THEN r.stack
+        WHEN l.action = 'supersede' AND len(r.stack) > 0 THEN list_append(r.stack[1:len(r.stack) - 1], l.id) ELSE list_append(r.stack, l.id) END,
+        CASE WHEN l.action IN ('new', 'supersede') THEN l.id END, CASE WHEN l.action = 'supersede' AND len(r.stack) > 0 THEN r.stack[len(r.stack)] END,
+        CASE WHEN l.action = 'delete' AND list_contains(r.stack, l.target) THEN l.target END
+      FROM r JOIN l ON r.user_id = l.user_id AND r.dimension = l.dimension AND l.n = r.n + 1)
+    SELECT a.user_id, a.dimension, a.id, CASE WHEN s.old IS NOT NULL THEN 'superseded' WHEN d.gone IS NOT NULL THEN 'deleted' ELSE 'active' END AS status, a.old AS supersedes_id
+    FROM r a LEFT JOIN r s ON s.old = a.id AND s.user_id = a.user_id AND s.dimension = a.dimension LEFT JOIN r d ON d.gone = a.id AND d.user_id = a.user_id AND d.dimension = a.dimension WHERE a.id IS NOT NULL""",
+    "memory_log",
+)
 def _(t):
     log = t.memory_log.select("user_id", "dimension", "id", "action", F.lit(None).cast("long").alias("target"))
     gone = t.events.filter("event_type = 'error'").select(
@@ -97,6 +111,16 @@ def _(t):
     return Y.injection(t.memory)
 
 
+@query(
+    "memory_known_facts",
+    """WITH n AS (SELECT * FROM memory WHERE status = 'active' AND memory_type IN ('fact', 'preference') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id DESC) <= 20)
+    SELECT user_id, string_agg('- [' || dimension || '] ' || content, chr(10) ORDER BY id DESC) AS known FROM n GROUP BY user_id""",
+    "memory",
+)
+def _(t):
+    return Y.known_facts(t.memory)
+
+
 @query("memory_provenance", "SELECT m.id, m.source_message_id, c.role, c.user_id AS source_user FROM memory m LEFT JOIN chat c ON m.source_message_id = c.id", "memory", "chat")
 def _(t):
     source = t.chat.select(F.col("id").alias("source_message_id"), "role", F.col("user_id").alias("source_user"))
@@ -115,10 +139,9 @@ def _(t):
     return R.lookup(p, stores, "user_id", "voice", "longanhuan")
 
 
-@query("pref_valid_writes", "SELECT * FROM preference WHERE voice IN ('longanhuan', 'longanyang', 'longhua_v3', 'longwan_v3')", "preference")
+@query("pref_valid_writes", "SELECT * FROM preference WHERE voice IN (SELECT id FROM voices)", "preference", "voices")
 def _(t):
-    allowed = t.spark.createDataFrame([("longanhuan",), ("longanyang",), ("longhua_v3",), ("longwan_v3",)], "voice string")
-    return t.preference.join(F.broadcast(allowed), "voice", "left_semi")
+    return t.preference.filter(F.col("voice").isin(*VOICES.values()))
 
 
 @query("pref_reset", "SELECT * FROM preference WHERE user_id NOT IN (SELECT conv_id FROM conversations)", "preference")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import documents as D
+from ..sources import sinks as K
 from ..streaming import stateful
 from .catalog import query
 
@@ -108,7 +109,65 @@ def _(t):
     return t.documents.select("doc_id", S.extension_ok(name, (".docx", ".doc")).alias("ok"))
 
 
-@query("ext_bounded_queue")
+@query(
+    "payload_functions",
+    """SELECT event_id, coalesce(nullif(trim(CASE WHEN event_id % 3 = 0 THEN '  ' WHEN event_id % 3 = 1 THEN event_type END), ''), trim(CASE WHEN event_id % 2 = 0 THEN '  ' || props || ' ' END), '') AS said,
+    CASE WHEN event_id % 2 = 0 THEN 'u' || event_type ELSE 'i' || event_type END AS image, 'data:image/png;base64,' || base64(encode(props)) AS url, hex(substr(props, 2)) AS voice,
+    json_extract_string(props, '$.k') AS k, event_id % 2 = 0 AS sent, replace(replace(replace(props || chr(10) || event_type, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS escaped,
+    CASE WHEN event_id % 2 = 0 THEN event_type ELSE json_extract_string(props, '$.k') END AS named FROM events""",
+)
+def _(t):
+    e, kind, props = F.col("event_id"), F.col("event_type"), F.col("props")
+    content = F.when(e % 3 == 0, "  ").when(e % 3 == 1, kind)
+    reasoning = F.when(e % 2 == 0, F.concat(F.lit("  "), props, F.lit(" ")))
+    result = F.concat(F.lit('{"output":{"results":[{"url":"u'), kind, F.lit('"}]}}'))
+    choice = F.concat(F.lit('{"output":{"choices":[{"message":{"content":[{"image":"i'), kind, F.lit('"}]}}]}}'))
+    named = F.when(e % 2 == 0, F.concat(F.lit('{"city":"'), kind, F.lit('","k":1}'))).otherwise(props)
+    data = props.cast("binary")
+    return t.events.select(
+        "event_id",
+        S.text_or_reasoning(content, reasoning).alias("said"),
+        S.image_url(F.when(e % 2 == 0, result).otherwise(choice)).alias("image"),
+        S.data_url("image/png", data).alias("url"),
+        F.hex(S.drop_first_byte(data)).alias("voice"),
+        S.json_text(props, "k").alias("k"),
+        S.explicit_send(F.concat(F.lit('{"sent": '), (e % 2 == 0).cast("string"), F.lit("}"))).alias("sent"),
+        S.json_escape(F.concat(props, F.lit("\n"), kind)).alias("escaped"),
+        S.first_named(named, ("location", "city", "k")).alias("named"),
+    )
+
+
+@query(
+    "fenced_records",
+    """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 0 ELSE 2 END::bigint AS n, CASE WHEN event_id % 3 <> 2 THEN event_type END AS dimension, CASE WHEN event_id % 3 <> 2 THEN json_extract_string(props, '$.k') END AS content FROM events""",
+)
+def _(t):
+    body = F.concat(F.lit('[{"dimension":"'), "event_type", F.lit('","content":"'), F.get_json_object("props", "$.k"), F.lit('"},{"other":1}]'))
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("event_id") % 3 == 1, body).otherwise(F.col("props"))
+    rows = S.parse_records(text, "struct<dimension:string,content:string>")
+    first = F.get(rows, F.lit(0))
+    return t.events.select("event_id", F.size(rows).cast("long").alias("n"), first["dimension"].alias("dimension"), first["content"].alias("content"))
+
+
+@query(
+    "cache_live",
+    """WITH c AS (SELECT user_id AS key, arg_max(props, ts) AS value, max(ts) AS written_at FROM events WHERE event_type <> 'purchase' GROUP BY user_id), r AS (SELECT user_id AS key, max(ts) AS read_at FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+    SELECT key, value FROM c JOIN r USING (key) WHERE date_diff('microsecond', written_at, read_at) < 1800000000""",
+)
+def _(t):
+    writes = t.events.filter("event_type <> 'purchase'").select(F.col("user_id").alias("key"), F.col("props").alias("value"), F.col("ts").alias("written_at"))
+    reads = t.events.filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("read_at"))
+    return K.cache_live(K.cache_put(writes.limit(0), writes).join(reads, "key"), F.col("read_at")).select("key", "value")
+
+
+@query(
+    "ext_bounded_queue",
+    """WITH RECURSIVE l AS (SELECT user_id AS bot_id, event_id AS seq, event_type <> 'purchase' AS arrives, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    r AS (SELECT DISTINCT bot_id, 0::bigint AS n, NULL::bigint AS seq, NULL::boolean AS accepted, 0::bigint AS held FROM l
+      UNION ALL SELECT l.bot_id, l.n, l.seq, CASE WHEN l.arrives THEN r.held < 10 END, CASE WHEN NOT l.arrives THEN greatest(r.held - 1, 0) WHEN r.held < 10 THEN r.held + 1 ELSE r.held END
+      FROM r JOIN l ON r.bot_id = l.bot_id AND l.n = r.n + 1)
+    SELECT bot_id, seq, accepted FROM r WHERE accepted IS NOT NULL""",
+)
 def _(t):
     rows = t.events.select(F.col("user_id").alias("bot_id"), F.col("event_id").alias("seq"), (F.col("event_type") != "purchase").alias("arrives"))
     return stateful.bounded_queue(rows, 10)

@@ -13,36 +13,47 @@ from .catalog import query
 SWAP = "CASE doc_id % 6 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.gif' WHEN 4 THEN '.bmp' ELSE '.txt' END"
 
 
-@query("signal_hits", "SELECT id, signal, domain FROM chat JOIN signals ON contains(content, signal)", "chat", "signals")
+@query("signal_hits", "SELECT id, signal, domain FROM asks JOIN signals ON contains(content, signal)", "asks", "signals")
 def _(t):
-    return U.signal_hits(t.chat.select("id", "content"), t.signals).select("id", "signal", "domain")
+    return U.signal_hits(t.asks, U.signal_table(t.spark)).select("id", "signal", "domain")
 
 
-ROUTED = """h AS (SELECT id, count(DISTINCT domain) AS n, min(domain) AS d FROM chat JOIN signals ON contains(content, signal) GROUP BY id),
-    r AS (SELECT c.id, coalesce(n, 0) AS n_domains, CASE WHEN n = 1 THEN d END AS domain, coalesce(n, 0) <> 1 AS is_fallback FROM chat c LEFT JOIN h USING (id))"""
+ROUTED = """h AS (SELECT id, count(DISTINCT domain) AS n, min(domain) AS d FROM asks JOIN signals ON contains(content, signal) WHERE trim(content) <> '' GROUP BY id),
+    r AS (SELECT c.id, coalesce(n, 0) AS n_domains, CASE WHEN n = 1 THEN d END AS domain, coalesce(n, 0) <> 1 AS is_fallback FROM asks c LEFT JOIN h USING (id))"""
 
 
-@query("single_domain_route", f"WITH {ROUTED} SELECT * FROM r", "chat", "signals")
+@query("single_domain_route", f"WITH {ROUTED} SELECT * FROM r", "asks", "signals")
 def _(t):
-    return U.route(t.chat, t.signals, "id")
+    return U.route(t.asks, U.signal_table(t.spark), "id")
 
 
-@query("route_tools", f"WITH {ROUTED} SELECT id, t.ord, t.name FROM r JOIN tools t ON r.domain = t.domain OR t.domain = 'general' OR is_fallback", "chat", "signals", "tools")
+@query("route_tools", f"WITH {ROUTED} SELECT id, t.ord, t.name FROM r JOIN tools t ON r.domain = t.domain OR t.domain = 'general' OR is_fallback", "asks", "signals", "tools")
 def _(t):
-    return U.tools_of(U.route(t.chat, t.signals, "id"), t.tools).select("id", "ord", "name")
+    return U.tools_of(U.route(t.asks, U.signal_table(t.spark), "id"), t.tools).select("id", "ord", "name")
 
 
-@query("dispatch_unknown", "SELECT event_id, n AS name, coalesce(description, 'unknown tool: ' || n) AS answer FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'remember' WHEN event_type = 'view' THEN 'get_en' ELSE event_type END AS n FROM events) LEFT JOIN tools ON n = name", "tools")
+@query(
+    "route_prompt",
+    f"""WITH {ROUTED}, c AS (SELECT string_agg('- ' || name || ': ' || description, chr(10) ORDER BY ord) AS catalog FROM tools)
+    SELECT id, CASE WHEN is_fallback THEN '{U.FALLBACK}' || catalog WHEN domain = 'company' THEN 'Research both sides.' END AS prompt FROM r, c""",
+    "asks",
+    "signals",
+    "tools",
+)
 def _(t):
-    name = F.when(F.col("event_type") == "error", "remember").when(F.col("event_type") == "view", "get_en").otherwise(F.col("event_type"))
+    routed = U.route(t.asks, U.signal_table(t.spark), "id")
+    return U.with_prompt(routed, t.tools, {"company": "Research both sides."}).select("id", "prompt")
+
+
+@query("dispatch_unknown", "SELECT event_id, n AS name, coalesce(description, 'unknown tool: ' || n) AS answer FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'remember' WHEN event_type = 'view' THEN 'get_weather' ELSE event_type END AS n FROM events) LEFT JOIN tools ON n = name", "tools")
+def _(t):
+    name = F.when(F.col("event_type") == "error", "remember").when(F.col("event_type") == "view", "get_weather").otherwise(F.col("event_type"))
     return U.dispatch(t.events.select("event_id", name.alias("name")), t.tools)
 
 
 @query("tool_catalog_text", "SELECT string_agg('- ' || name || ': ' || description, chr(10) ORDER BY ord) AS catalog FROM tools", "tools")
 def _(t):
-    line = F.concat(F.lit("- "), "name", F.lit(": "), "description")
-    rows = F.array_sort(F.collect_list(F.struct("ord", line.alias("l"))))
-    return t.tools.agg(F.array_join(F.transform(rows, lambda x: x["l"]), "\n").alias("catalog"))
+    return U.catalog(t.tools)
 
 
 @query("schema_merge_first", "SELECT p AS param, arg_min(name, ord) AS tool FROM (SELECT ord, name, unnest(['path', domain]) AS p FROM tools) GROUP BY p", "tools")
@@ -51,17 +62,21 @@ def _(t):
     return R.first_by(params, "param", "ord").select("param", "tool")
 
 
-@query("voice_match", """WITH q AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'v_two' WHEN 1 THEN 'say Onerous please' WHEN 2 THEN 'Alt' ELSE 'none at all' END AS asked FROM documents),
-    v AS (SELECT * FROM (VALUES (1, 'Onea (soft)', 'v_one'), (2, 'Twin (clear)', 'v_two'), (3, 'Base Alt', 'v_three')) AS t(ord, label, id)),
-    p AS (SELECT asked, id, ord, CASE WHEN id = asked THEN 0 WHEN contains(asked, substr(label, 1, 3)) THEN 1 WHEN contains(label, asked) THEN 2 END AS r FROM (SELECT DISTINCT asked FROM q), v)
-    SELECT doc_id, q.asked, b.id AS voice FROM q LEFT JOIN (SELECT asked, id FROM p WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asked ORDER BY r, ord) = 1) b USING (asked)""")
+@query(
+    "voice_match",
+    """WITH p AS (SELECT asked, v.id, ord, CASE WHEN v.id = asked THEN 0 WHEN contains(asked, substr(label, 1, 3)) THEN 1 WHEN contains(label, asked) THEN 2 END AS r FROM (SELECT DISTINCT name AS asked FROM spoken), voices v)
+    SELECT s.id, s.name AS asked, b.id AS voice FROM spoken s LEFT JOIN (SELECT asked, id FROM p WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asked ORDER BY r, ord) = 1) b ON s.name = b.asked""",
+    "spoken",
+    "voices",
+)
 def _(t):
-    m = F.col("doc_id") % 4
-    asked = F.when(m == 0, "v_two").when(m == 1, "say Onerous please").when(m == 2, "Alt").otherwise("none at all")
-    voices = t.spark.createDataFrame([(1, "Onea (soft)", "v_one"), (2, "Twin (clear)", "v_two"), (3, "Base Alt", "v_three")], "ord int, label string, id string")
-    rows = t.documents.select("doc_id", asked.alias("asked"))
-    found = U.match_voice(rows.select("asked").distinct(), voices)
-    return rows.join(F.broadcast(found), "asked", "left")
+    rows = t.spoken.select("id", F.col("name").alias("asked"))
+    return rows.join(U.match_voice(rows.select("asked").distinct(), U.voice_table(t.spark)), "asked", "left")
+
+
+@query("voice_ids", "SELECT s.id, (SELECT arg_min(v.id, CASE WHEN v.id = trim(name) THEN 0 WHEN contains(trim(name), substr(label, 1, 3)) THEN 100 ELSE 200 END + ord) FROM voices v WHERE v.id = trim(name) OR contains(trim(name), substr(label, 1, 3)) OR contains(label, trim(name))) AS voice FROM spoken s", "spoken", "voices")
+def _(t):
+    return t.spoken.select("id", U.voice_id(F.col("name")).alias("voice"))
 
 
 HINT = " [more]"
@@ -80,11 +95,25 @@ def _(t):
     return called.select("run", U.watcher(message, F.lit("answer"), F.col("called"), domain, HINT).alias("answer"))
 
 
-@query("intent_classes", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '3' WHEN 2 THEN '4:龙安欢' ELSE '2' END AS intent FROM documents")
+def _after(signal: str) -> str:
+    return f"CASE WHEN contains(t, '{signal}') THEN nullif(trim(regexp_replace(trim(substr(t, strpos(t, '{signal}') + {len(signal)})), '^(为|成|到|用)', '')), '') END"
+
+
+def _any(words) -> str:
+    return " OR ".join(f"contains(t, '{w}')" for w in words)
+
+
+@query(
+    "intent_classes",
+    f"""WITH m AS (SELECT id, trim(lead || name || CASE WHEN id % 5 = 0 THEN ' ' || text ELSE '' END) AS t FROM spoken), n AS (SELECT id, t, coalesce({', '.join(map(_after, U.SWITCH))}) AS name FROM m),
+    r AS (SELECT n.*, EXISTS (SELECT 1 FROM voices v WHERE v.id = n.name OR contains(n.name, substr(label, 1, 3)) OR contains(label, n.name)) AS known FROM n)
+    SELECT id, CASE WHEN name IS NOT NULL AND known THEN '4:' || name WHEN {_any(U.VOICE)} THEN '3' WHEN {_any(U.DRAW)} THEN '1' ELSE '2' END AS intent FROM r""",
+    "spoken",
+    "voices",
+)
 def _(t):
-    m = F.col("doc_id") % 5
-    text = F.when(m == 0, "帮我画一只猫").when(m == 1, "用语音回复我").when(m == 2, "切换音色为龙安欢").when(m == 3, "切换音色为不知道谁").otherwise("帮我做个表格")
-    return t.documents.select("doc_id", U.intent(text, ["龙安欢（女·元气）", "龙华（女·甜美）"]).alias("intent"))
+    text = F.concat("lead", "name", F.when(F.col("id") % 5 == 0, F.concat(F.lit(" "), "text")).otherwise(""))
+    return t.spoken.select("id", U.intent(text).alias("intent"))
 
 
 @query("image_type_by_ext", f"SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'jpeg' WHEN 3 THEN 'gif' WHEN 4 THEN 'bmp' ELSE 'unknown' END AS kind FROM (SELECT doc_id, 'f' || {SWAP} AS f FROM documents)")
@@ -110,7 +139,7 @@ def _(t):
     substr(regexp_replace(url, '[\\/:*?"<>|]', '_', 'g'), 1, 20) AS safe,
     CASE WHEN NOT contains(url, '/') THEN '/tmp/files/' || url ELSE url END AS path,
     regexp_replace(url || '//', '/+$', '') AS bare,
-    replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
+    replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
     CASE WHEN page_id % 3 = 0 THEN CASE WHEN page_id % 2 = 0 THEN '' ELSE '2020' END WHEN page_id % 2 = 0 THEN '2019 - 至今' ELSE '2019 - 2020' END AS dates,
     CASE WHEN page_id % 4 >= 3 THEN 'critical' ELSE 'warning' END AS severity FROM pages""",
 )
@@ -124,7 +153,7 @@ def _(t):
         S.file_safe(c).alias("safe"),
         S.resolve_path(c, "/tmp/files").alias("path"),
         S.strip_slashes(F.concat(c, F.lit("//"))).alias("bare"),
-        S.html_escape(F.substring("html", 1, 300)).alias("escaped"),
+        S.html_escape(F.col("html")).alias("escaped"),
         S.date_range(start, end).alias("dates"),
         S.severity(p % 4, F.lit(0)).alias("severity"),
     )
@@ -196,6 +225,32 @@ def _(t):
     return D.format_matching(D.paragraphs(t.documents), "all_headings", True, D.HEADING_SIZE[1]).select("doc_id", "para_no", "bold", "size")
 
 
+@query("doc_indent_counts", f"WITH {PARAS} SELECT doc_id, count(*) FILTER (style = 'Normal' AND trim(text) <> '') AS modified FROM q GROUP BY doc_id")
+def _(t):
+    return D.indent_counts(D.operate(D.paragraphs(t.documents), "set_first_line_indent", indent_chars=2))
+
+
+@query("doc_format_result", f"WITH {PARAS} SELECT doc_id, count(*) FILTER (contains(text, 'ation')) AS modified, CASE WHEN count(*) FILTER (contains(text, 'ation')) = 0 THEN 'no match: ation' END AS error FROM q GROUP BY doc_id")
+def _(t):
+    return D.format_result(D.paragraphs(t.documents), "ation")
+
+
+def _image_sql(at: str) -> str:
+    return f"""WITH {PARAS}, e AS (SELECT doc_id, min(para_no) AS a, max(para_no) AS z, min(para_no) FILTER (contains(text, 'ation')) AS f FROM q GROUP BY doc_id),
+    x AS (SELECT doc_id, para_no::double AS o, style, text FROM q UNION ALL SELECT doc_id, {at}, 'Image', 'i.png' FROM e)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS para_no, style, text FROM x"""
+
+
+for _name, _position, _at in (
+    ("beginning", "beginning", "a - 0.5"),
+    ("before_text", "before_text", "coalesce(f - 0.5, z + 0.5)"),
+    ("after_text", "after_text", "coalesce(f + 0.5, z + 0.5)"),
+    ("end", "end", "z + 0.5"),
+):
+
+    @query(f"doc_add_image_{_name}", _image_sql(_at))
+    def _(t, position=_position):
+        return D.operate(D.paragraphs(t.documents), "add_image", image="i.png", position=position, text="ation")
 
 
 def _sheets(t):

@@ -7,6 +7,7 @@ know what a call costs.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -30,6 +31,29 @@ class Echo:
         return [None if p is None else self.prefix + p for p in prompts]
 
 
+class ProviderFailed(RuntimeError):
+    """A provider kept failing."""
+
+
+@dataclass(frozen=True)
+class Retrying:
+    """A provider that is asked up to ``attempts`` times, ``wait`` seconds apart; the last failure is passed on."""
+
+    provider: Provider
+    attempts: int = 3
+    wait: float = 5.0
+
+    def answer(self, prompts: Sequence[str | None]) -> list[str | None]:
+        for attempt in range(1, self.attempts + 1):
+            try:
+                return self.provider.answer(prompts)
+            except Exception as e:
+                if attempt == self.attempts:
+                    raise ProviderFailed(f"{self.attempts} attempts failed") from e
+                time.sleep(self.wait)
+        raise ValueError("at least one attempt is needed")
+
+
 def complete(df: DataFrame, provider: Provider, column: str = "prompt", out: str = "answer") -> DataFrame:
     """``df`` with the provider's answers to ``column``."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])

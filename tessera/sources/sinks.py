@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_ids(df: DataFrame, order: Sequence[str], last_id: int, buckets: int = 64) -> DataFrame:
+def with_ids(df: DataFrame, order: Sequence[str], last_id: int, path: str, buckets: int = 64) -> DataFrame:
     """Gapless ids after ``last_id`` in the order given.
 
-    Rows are cut into ranges of the first order column; numbers start in each range
-    behind the rows of the ranges before it, so no task sees all rows.
+    Rows are cut into ranges by the order; numbers start in each range behind the
+    rows of the ranges before it, so no task sees all rows. The ranges are written
+    to ``path`` once (a folder that all executors share, the caller's to delete):
+    planned twice, each plan would sample bounds of its own, and the counts would
+    not be those of the ranges numbered.
     """
-    ranged = df.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)).cast("long"))
+    dealt = df.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
+    dealt.write.mode("overwrite").parquet(path)
+    ranged = df.sparkSession.read.schema(dealt.schema).parquet(path)
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)).cast("long"))
     # One row per range: at most ``buckets``.
     ahead = counts.withColumn(
         "_a", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -59,3 +64,15 @@ def write_text(df: DataFrame, column: str, path: str) -> None:
 
 def write_sheet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def cache_put(cache: DataFrame, writes: DataFrame) -> DataFrame:
+    """The cache ``(key, value, written_at)`` after a batch of writes: the latest write of each key, whose time to live starts anew."""
+    both = cache.select("key", "value", "written_at").unionByName(writes.select("key", "value", "written_at"))
+    return both.groupBy("key").agg(F.max_by("value", "written_at").alias("value"), F.max("written_at").alias("written_at"))
+
+
+def cache_live(cache: DataFrame, now, ttl_minutes: int = 30) -> DataFrame:
+    """Entries that a read at ``now`` (a column or a value) still finds; reads do not prolong them."""
+    age = F.timestamp_diff("SECOND", "written_at", now if isinstance(now, Column) else F.lit(now))
+    return cache.filter(age < 60 * ttl_minutes)

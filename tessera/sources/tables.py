@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..operators.routing import SIGNALS, VOICES
+
 RAW = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -31,6 +33,23 @@ CHAT_MESSAGE = _struct("id! long,bot_id! string,user_id! string,role! string,con
 BOT_REGISTRY = _struct("bot_id! string,label string,wechat_user_id string,wechat_bot_id string,bot_token string,base_url string,created_at! ntz,last_active_at ntz,last_login_at ntz")
 AGENT_MEMORY = _struct("id! long,user_id! string,memory_type! string,dimension! string,content! string,source_message_id long,status! string,supersedes_id long,created_at! ntz,updated_at ntz")
 
+#: Logical tables with the column that they are clustered by.
+TABLES = {"chat_message": (CHAT_MESSAGE, "user_id"), "bot_registry": (BOT_REGISTRY, "bot_id"), "agent_memory": (AGENT_MEMORY, "user_id")}
+
+
+def create_tables(spark: SparkSession, database: str, buckets: int = 64) -> None:
+    """The logical tables where they are missing, bucketed by the key that their reads and joins use."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name, (schema, key) in TABLES.items():
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" + ("" if f.nullable else " NOT NULL") for f in schema.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet CLUSTERED BY ({key}) INTO {buckets} BUCKETS")
+
+
+def _values(rows) -> str:
+    """Rows for a VALUES list."""
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in row) + ")" for row in rows)
+
+
 BINDINGS = {
     "chat": """
         SELECT conv_id * 1000 + turn AS id, concat('bot_', cast(conv_id % 5 AS string)) AS bot_id, conv_id AS user_id,
@@ -83,11 +102,39 @@ BINDINGS = {
         SELECT user_id AS run, event_id AS step_id, event_type AS name, concat(event_type, ':', cast(event_id % 2 AS string)) AS call_key,
                event_id % 3 <> 0 AS ok, CASE WHEN event_id % 4 = 0 THEN concat('f', cast(event_id % 50 AS string), '.docx') END AS file_path
         FROM {events}""",
-    "signals": """
-        SELECT * FROM (VALUES (1, 'fr', 'eau'), (2, 'de', 'lich'), (3, 'en', 'tion'), (4, 'en', 'the'), (5, 'es', 'ción')) AS t(ord, domain, signal)""",
+    "signals": f"""
+        SELECT * FROM (VALUES {_values((i, d, x) for i, (d, x) in enumerate(((d, x) for d, words in SIGNALS.items() for x in words), 1))}) AS t(ord, domain, signal)""",
+    "voices": f"""
+        SELECT * FROM (VALUES {_values((i, *v) for i, v in enumerate(VOICES.items(), 1))}) AS t(ord, label, id)""",
     "tools": """
-        SELECT * FROM (VALUES (1, 'get_fr', 'fr', 'French lookup'), (2, 'get_de', 'de', 'German lookup'), (3, 'get_en', 'en', 'English lookup'),
-                              (4, 'remember', 'general', 'Keep a note'), (5, 'report', 'general', 'Write a report')) AS t(ord, name, domain, description)""",
+        SELECT * FROM (VALUES (1, 'get_weather', 'weather', 'Weather of a city'), (2, 'word_document', 'document', 'Edit a document'), (3, 'search_company_info', 'company', 'Facts of a company'),
+                              (4, 'search_industry_news', 'company', 'News of an industry'), (5, 'generate_image', 'draw', 'Draw an image'), (6, 'remember', 'general', 'Keep a note')) AS t(ord, name, domain, description)""",
+    "asks": """
+        SELECT conv_id * 1000 + turn AS id, CASE WHEN (conv_id + turn) % 13 = 0 THEN '  ' ELSE concat(text, ' ', phrase) END AS content
+        FROM {conversations} JOIN (VALUES (0, '今天天气'), (1, '这个文档'), (2, '公司分析'), (3, '画图'), (4, '公司的天气'), (5, '随便聊聊'), (6, '把简历转pdf'), (7, '股价和湿度')) AS p(ord, phrase)
+        ON (conv_id * 3 + turn) % 8 = p.ord""",
+    "spoken": f"""
+        SELECT conv_id * 1000 + turn AS id, text, lead, CASE turn % 4 WHEN 0 THEN label WHEN 1 THEN v.id WHEN 2 THEN substr(label, 2, 2) ELSE substr(text, 1, 4) END AS name
+        FROM {{conversations}} JOIN (VALUES (0, '切换音色为'), (1, '换成'), (2, '切换成用'), (3, '用语音回复我 '), (4, '帮我画一张'), (5, '随便聊聊'), (6, '换音色')) AS p(ord, lead) ON (conv_id + turn) % 7 = p.ord
+        JOIN (VALUES {_values((i, *v) for i, v in enumerate(VOICES.items()))}) AS v(ord, label, id) ON (conv_id * 5 + turn) % 24 = v.ord""",
+    "resume_json": """
+        SELECT s_suppkey AS k, concat('{"name":"', s_name, ' <&>","language":"', CASE WHEN s_suppkey % 3 = 0 THEN 'en' ELSE 'zh' END, '"',
+          CASE WHEN s_suppkey % 2 = 0 THEN ',"phone":"12"' ELSE '' END, CASE WHEN s_suppkey % 3 <> 1 THEN ',"email":"e@x"' ELSE '' END,
+          CASE WHEN s_suppkey % 4 = 0 THEN ',"city":"C"' ELSE '' END, CASE WHEN s_suppkey % 5 = 0 THEN ',"github":"g"' ELSE '' END, CASE WHEN s_suppkey % 7 = 0 THEN ',"linkedin":"l"' ELSE '' END,
+          CASE WHEN s_suppkey % 3 <> 2 THEN concat(',"target_role":"Role ', cast(s_suppkey AS string), '"') ELSE '' END,
+          CASE WHEN s_suppkey % 4 <> 3 THEN concat(',"profile":"Sum ', cast(s_suppkey AS string), ' & more"') ELSE '' END,
+          CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE concat(',"workExperienceList":[{"title":"T0","company":"Org0","location":"L","start":"2019"', CASE WHEN s_suppkey % 2 = 0 THEN ',"end":"2020"' ELSE '' END,
+            CASE WHEN s_suppkey % 5 = 1 THEN ',"tools":"TL"' ELSE '' END, ',"bullets":["b1"," "]}', CASE WHEN s_suppkey % 3 = 2 THEN ',{"role":"T1","organization":"Org1","responsibilities":["r1","r2"]}' ELSE '' END, ']') END,
+          CASE WHEN s_suppkey % 2 = 1 THEN ',"projectList":[{"role":"P","bulletPoints":["x <y>"],"tools":"spark"}]' ELSE '' END,
+          CASE WHEN s_suppkey % 6 = 0 THEN ',"internshipList":[{"role":"I","organization":"IO","team_size":"S"}]' ELSE '' END,
+          CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat(',"educationList":[{"school":"U', cast(s_suppkey AS string), '","degree":"BSc","field":"CS","start":"2015","courses":["c1","c2"]', CASE WHEN s_suppkey % 3 = 0 THEN ',"GPA":"4.0"' ELSE '' END,
+            CASE WHEN s_suppkey % 5 = 2 THEN ',"honors":"H"' ELSE '' END, '}]') END,
+          CASE WHEN s_suppkey % 3 = 1 THEN '' ELSE ',"skillList":[{"category":"Lang","skills":["a","b"]},{"skills":["z"]}]' END,
+          CASE WHEN s_suppkey % 5 = 0 THEN ',"publicationList":[{"authors":"A","title":"T","journal":"J","year":"2020","volume":"1","issue":"2","pages":"3-4","doi":"10/1"}]' ELSE '' END,
+          CASE WHEN s_suppkey % 5 = 1 THEN ',"patentList":[{"title":"PT","patentNumber":"N1","inventors":"I1","status":"S1"}]' ELSE '' END,
+          CASE WHEN s_suppkey % 3 = 0 THEN ',"awardList":[{"title":"AW","organization":"AO","date":"2021"}]' ELSE '' END,
+          CASE WHEN s_suppkey % 4 = 1 THEN ',"languageList":[{"language":"English","reading":"R","speaking":"S","certification":"C1"}],"certificateList":["CERT"]' ELSE '' END, '}') AS data
+        FROM {supplier}""",
     "preference": """
         SELECT event_id AS id, user_id, event_type,
                CASE event_id % 5 WHEN 0 THEN 'longanhuan' WHEN 1 THEN 'longanyang' WHEN 2 THEN 'longhua_v3' WHEN 3 THEN 'longwan_v3' ELSE 'nobody' END AS voice
@@ -116,7 +163,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return raw(spark, sf_dir, name)
     sql = BINDINGS[name]
     used = {t: raw(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", sql))}
-    return spark.sql(sql, **used)
+    # Braces that name no table are text.
+    text = re.sub(r"\{(\w+)\}", "\x00\\1\x01", sql).replace("{", "{{").replace("}", "}}")
+    return spark.sql(text.replace("\x00", "{").replace("\x01", "}"), **used)
 
 
 def ctes(*names: str) -> str:

@@ -1,6 +1,7 @@
 """Literal cases, random comparisons with plain loops, sinks and streaming forms."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -12,8 +13,9 @@ from tessera.operators import lifecycle as L
 from tessera.operators import memory as Y
 from tessera.operators import messages as M
 from tessera.operators import metrics as X
+from tessera.operators import resumes
 from tessera.operators import routing as U
-from tessera.sources import files, providers, sinks
+from tessera.sources import files, providers, sinks, tables
 from tessera.streaming import stateful
 
 
@@ -36,10 +38,83 @@ def test_fenced_records(spark):
 
 @pytest.mark.parametrize(
     "text, wanted",
-    [("帮我画一只猫", "1"), ("我想画个流程图", "2"), ("用语音回复我", "3"), ("帮我做个表格", "2"), ("切换音色为龙安欢", "4:龙安欢"), ("切换音色为某某", "2")],
+    [("帮我画一只猫", "1"), ("我想画个流程图", "2"), ("用语音回复我", "3"), ("帮我做个表格", "2"), ("切换音色为龙安欢", "4:龙安欢"), ("切换音色为某某", "2"),
+     ("切换音色为longhua_v3", "4:longhua_v3"), ("换成 Bella", "4:Bella"), ("画一张山水画", "1"), ("语音回答一下", "3"), (None, "2")],
 )
 def test_intent(spark, text, wanted):
-    assert one(spark, U.intent(F.col("c"), ["龙安欢（女·元气）"]), c=text) == wanted
+    df = spark.createDataFrame([(text,)], "c string")
+    assert df.select(U.intent(F.col("c")).alias("x")).first()["x"] == wanted
+
+
+def test_routing_vocabulary(spark):
+    asks = [(1, "上海的气温", 1, "weather", False), (2, "聊一聊吧", 0, None, True), (3, "这家公司的天气", 2, None, True), (4, " ", 0, None, True), (5, None, 0, None, True), (6, "写一份简历", 1, "document", False)]
+    df = spark.createDataFrame([a[:2] for a in asks], "id long, content string")
+    got = {r["id"]: (r["n_domains"], r["domain"], r["is_fallback"]) for r in U.route(df, U.signal_table(spark), "id").collect()}
+    assert got == {a[0]: a[2:] for a in asks}
+    with pytest.raises(ValueError, match="signals"):
+        U.signal_hits(df, spark.range(100_001).selectExpr("cast(id as string) as signal"))
+
+
+def test_message_decode(spark):
+    cases = [('{"content":"hi"}', '{"content":"hi"}'), ("{broken", '{"role":"r","content":"c"}'), (" ", '{"role":"r","content":"c"}'), (None, '{"role":"r","content":"c"}')]
+    df = spark.createDataFrame([(a,) for a, _ in cases], "rich string")
+    got = df.select(S.decode_message(F.col("rich"), F.lit("r"), F.lit("c")).alias("x")).collect()
+    assert [r["x"] for r in got] == [b for _, b in cases]
+
+
+def test_generated_ids(spark):
+    df = spark.range(200).select(S.new_bot_id().alias("b"), S.new_trace_id().alias("t")).collect()
+    assert all(re.fullmatch("bot_[a-z0-9]{8}", r["b"]) and re.fullmatch("[0-9a-f]{8}", r["t"]) for r in df)
+    assert len({r["b"] for r in df}) > 195
+
+
+def test_sampled(spark):
+    df = spark.range(20_000)
+    assert 5600 < df.filter(S.sampled(F.col("id"), 0.3)).count() < 6400
+    assert df.filter(S.sampled(F.col("id"), 1.0)).count() == 20_000
+    assert df.filter(S.sampled(F.col("id"), 0.5, enabled=False)).count() == 0
+
+
+def test_retries():
+    class Flaky:
+        def __init__(self, fails):
+            self.fails = fails
+
+        def answer(self, prompts):
+            self.fails -= 1
+            if self.fails >= 0:
+                raise OSError("down")
+            return list(prompts)
+
+    assert providers.Retrying(Flaky(2), wait=0).answer(["a"]) == ["a"]
+    with pytest.raises(providers.ProviderFailed):
+        providers.Retrying(Flaky(3), wait=0).answer(["a"])
+
+
+def test_operations(spark):
+    paras = D.paragraphs(spark.createDataFrame([(1, "T\na\nb")], "doc_id long, text string"))
+    texts = lambda df: [r["text"] for r in df.orderBy("para_no").collect()]
+    assert texts(D.operate(paras, "add_image", image="i", position="before_text", text="b")) == ["T", "a", "i", "b"]
+    assert texts(D.operate(paras, "add_image", image="i", position="after_text", text="zz")) == ["T", "a", "b", "i"]
+    assert D.indent_counts(D.operate(paras, "set_first_line_indent")).first()["modified"] == 2
+    for bad in ({"operation": "none"}, {"operation": "set_first_line_indent", "indent_chars": 11}, {"operation": "add_heading", "text": "x", "level": 7}):
+        with pytest.raises(ValueError):
+            D.operate(paras, **bad)
+
+
+def test_resume_of_little(spark):
+    df = spark.createDataFrame([('{"name":"N"}',), ("{}",), ("no json",)], "c string").select(resumes.parse(F.col("c")).alias("r"))
+    got = df.select(F.size(resumes.word(F.col("r"))).alias("n"), resumes.markdown(F.col("r")).alias("m"), resumes.html(F.col("r")).alias("h")).collect()
+    assert [r["n"] for r in got] == [2, 2, -1] or got[0]["n"] == got[1]["n"] == 2
+    assert got[0]["m"] == "# N\n\n" and "<h1>N</h1>" in got[0]["h"]
+
+
+def test_tables_are_created_once(spark):
+    tables.create_tables(spark, "tessera_test", 2)
+    tables.create_tables(spark, "tessera_test", 2)
+    assert {r["tableName"] for r in spark.sql("show tables in tessera_test").collect()} == set(tables.TABLES)
+    assert spark.table("tessera_test.agent_memory").columns == tables.AGENT_MEMORY.names
+    spark.sql("drop database tessera_test cascade")
 
 
 def test_cache_trim_odd(spark):
@@ -118,8 +193,12 @@ def test_providers(spark):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(i % 7, i) for i in range(300)], "k long, o long")
-    got = sinks.with_ids(df, ["o"], 1000, 5).orderBy("o").collect()
+    got = sinks.with_ids(df, ["o"], 1000, f"{tmp_path}/ids", 5).orderBy("o").collect()
     assert [r["id"] for r in got] == list(range(1001, 1301))
+    # Beyond the sample that bounds are made from, and with a column that the counts do not read.
+    many = spark.range(1_500_000).selectExpr("hash(id) as o", "id as other", "concat('text ', id) as text")
+    ids = sinks.with_ids(many, ["o", "other"], 0, f"{tmp_path}/many").agg(F.count_distinct("id"), F.min("id"), F.max("id")).first()
+    assert tuple(ids) == (1_500_000, 1, 1_500_000)
     sinks.append_messages(spark.createDataFrame([("system", "a"), ("user", "b")], "role string, content string"), f"{tmp_path}/m")
     assert spark.read.parquet(f"{tmp_path}/m").count() == 1
     (tmp_path / "t.txt").write_text("x" * 3000)
