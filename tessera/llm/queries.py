@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, licenses, packing, pii, quality_model, quality_rules, sharding, simhash, substrings, toxicity
 from .common import table
+from .oracles import ORACLES
 
 
 def word_tokenizer() -> str:
@@ -76,4 +77,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For what SQL can express; the others are tested against plain versions."""
+    return dict(ORACLES)

@@ -26,7 +26,7 @@ from tessera.llm import (
     toxicity,
 )
 from tessera.llm.common import components, gapless_rank
-from tessera.llm.queries import OPERATORS, word_tokenizer
+from tessera.llm.queries import OPERATORS, oracle_sql, queries, word_tokenizer
 
 SF = "/root/testdata/sf0.001"
 #: Columns of `documents` and some whose names the operators use themselves.
@@ -877,5 +877,20 @@ def test_queries_run(spark, f):
     assert f(spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("key", sorted(oracle_sql()))
+def test_queries_against_sql(spark, key):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    want = con.execute(oracle_sql()[key]).df()
+    got = queries()[key](spark, folder).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    plain = lambda df: sorted(tuple(str(x) for x in row) for row in df[sorted(df.columns)].itertuples(index=False))
+    assert plain(got) == plain(want) and len(want) > 10
+    assert {c: str(k) for c, k in got.dtypes.items()} == {c: str(k) for c, k in want.dtypes.items()}
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
