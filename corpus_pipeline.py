@@ -8,8 +8,8 @@ the stages are tested against plain Python versions instead.
 
 Edge cases: an empty table passes through all stages and packs into no rows; rows
 without ``doc_id`` cannot be named by a group, a benchmark hit or a span of their
-own and are kept; of rows that repeat a ``doc_id``, near-duplicate removal keeps
-one; additional columns are carried along unread, whatever their names.
+own and are kept; of rows that repeat a ``doc_id`` and a text, near-duplicate removal
+keeps one; additional columns are carried along unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +35,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest id stays."""
+    """Of each component of linked fingerprints the document with the smallest id stays.
+
+    Rows that share an id and a text are one document; the row that sorts first stays.
+    """
     found = materialise(simhash.near_duplicates(docs).select("doc_id", "component_id"), "components")
     key = F.col("doc_id").cast("long")
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(f"{_OWN}id")).distinct()
@@ -44,7 +47,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = again.select(F.col("doc_id").alias(f"{_OWN}id"))
     if again.isEmpty():
         return kept
-    repeated = kept.join(again, key == F.col(f"{_OWN}id"), "left_semi").dropDuplicates(["doc_id"])
+    rows = F.struct(*docs.columns)
+    repeated = kept.join(again, key == F.col(f"{_OWN}id"), "left_semi").groupBy("doc_id", "text")
+    repeated = repeated.agg(F.min_by(rows, F.to_json(rows)).alias(f"{_OWN}row")).select(f"{_OWN}row.*")
     return kept.join(again, key == F.col(f"{_OWN}id"), "left_anti").unionByName(repeated)
 
 
