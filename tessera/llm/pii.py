@@ -10,7 +10,9 @@ Patterns and instances form a graph that is scored in rounds until nothing more
 becomes known. A pattern's confidence is the share of known instances among all
 places where the corpus has the pattern, whatever stands there, so words that stand
 beside everything never become patterns; it also needs ``min_support`` different
-known instances, and those found in earlier rounds count. An instance becomes known
+known instances, and those found in earlier rounds count. Pairs of words, unlike
+labels, must stand beside a share of all instances as well (``min_share``): by
+chance alone each common pair would, in a large corpus, stand beside some. An instance becomes known
 when patterns on both sides, or a label, extract it with enough confidence; all its
 occurrences become spans of kind ``other``. Base spans are never changed.
 
@@ -59,6 +61,8 @@ EDGE = "\x01"
 
 MAX_ROUNDS = 20
 MIN_SUPPORT = 5
+#: Share of the different instances that a pair of words must stand beside.
+MIN_SHARE = 0.002
 MIN_CONFIDENCE = 0.8
 MIN_SCORE = 0.95
 #: Confidence at which a label alone extracts.
@@ -202,6 +206,7 @@ def extract(
     docs: DataFrame,
     max_rounds: int = MAX_ROUNDS,
     min_support: int = MIN_SUPPORT,
+    min_share: float = MIN_SHARE,
     min_confidence: float = MIN_CONFIDENCE,
     min_score: float = MIN_SCORE,
     min_label: float = MIN_LABEL,
@@ -231,7 +236,10 @@ def extract(
         .agg(F.count("*").alias("places"), F.max("known").alias("known"), F.max("listed").alias("listed"))
     )
     edges = materialise(edges, "contexts")
-    common = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support).drop("n")
+    n_instances = edges.agg(F.count_distinct("instance")).first()[0]
+    label = F.col("pattern").startswith("L:") & ~F.contains("pattern", F.lit(" "))
+    least = F.when(label, min_support).otherwise(max(min_support, min_share * n_instances))
+    common = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n")
     totals = materialise(pattern_totals(docs, materialise(common, "patterns")), "totals")
     edges = materialise(edges.join(totals, "pattern"), "edges")
     found = None
@@ -246,7 +254,6 @@ def extract(
             .select("pattern", "support", (F.col("places") / (F.col("total") + 1)).alias("confidence"))
             .filter((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
         )
-        label = F.col("pattern").startswith("L:") & ~F.contains("pattern", F.lit(" "))
         scores = (
             edges.filter("listed")
             .select("instance", "pattern")
