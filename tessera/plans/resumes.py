@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import resumes as X
+from ..sources import office as O
 from .catalog import query
 
 BREAK = "chr(10)"
@@ -88,6 +89,15 @@ for _template, _lines in LINES.items():
         return _resumes(t).select("k", F.array_join(lines, "\n").alias("lines"))
 
 
+@query("resume_word_file", f"SELECT k, {_join(*LINES['default'])} AS lines FROM {INPUT}")
+def _(t):
+    """Written as a Word file and read back."""
+    paras = _resumes(t).select(F.col("k").alias("doc_id"), F.posexplode(X.word(F.col("r"))).alias("para_no", "x")).select("doc_id", "para_no", "x.*")
+    back = O.read_word(O.write_word(paras))
+    lines = F.array_sort(F.collect_list(F.struct("para_no", F.concat("style", F.lit(": "), "text").alias("line"))))
+    return back.groupBy(F.col("doc_id").alias("k")).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("lines"))
+
+
 def _title(zh: str, en: str, before: str = "## ", after: str = f" || {BREAK} || {BREAK}") -> str:
     return f"'{before}' || CASE WHEN {ZH} THEN '{zh}' ELSE '{en}' END{after}"
 

@@ -8,6 +8,7 @@ from ..functions import scalar as S
 from ..operators import documents as D
 from ..operators import registry as R
 from ..operators import routing as U
+from ..sources import office as O
 from .catalog import query
 
 SWAP = "CASE doc_id % 6 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.gif' WHEN 4 THEN '.bmp' ELSE '.txt' END"
@@ -210,6 +211,11 @@ def _(t):
     return D.indent(D.paragraphs(t.documents), 2).select("doc_id", "para_no", "indent")
 
 
+@query("word_roundtrip", f"WITH {PARAS} SELECT * FROM q")
+def _(t):
+    return O.read_word(O.write_word(D.paragraphs(t.documents)))
+
+
 @query("doc_modify_title", f"WITH {PARAS} SELECT doc_id, para_no, style, CASE WHEN para_no = 0 THEN 'Title' ELSE text END AS text FROM q")
 def _(t):
     return D.modify_title(D.paragraphs(t.documents), F.lit("Title"))
@@ -271,6 +277,13 @@ def _(t):
     return D.sheet_cells(_sheets(t))
 
 
+@query("sheet_roundtrip", "SELECT o_orderkey AS sheet_id, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 2 END::bigint AS n_rows, max(o_orderstatus) AS first_cell, max(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority ELSE '' END) AS last_cell FROM orders GROUP BY o_orderkey")
+def _(t):
+    back = O.read_sheets(O.write_sheets(_sheets(t).select("sheet_id", "rows")))
+    first = F.get("rows", F.lit(0))
+    return back.select("sheet_id", F.size("rows").cast("long").alias("n_rows"), F.get(first, F.lit(0)).alias("first_cell"), F.get(first, F.lit(2)).alias("last_cell"))
+
+
 @query("sheet_dims", "SELECT o_orderkey AS sheet_id, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 3 END::bigint AS n_cols, 2::bigint AS n_rows FROM orders")
 def _(t):
     return D.sheet_dims(_sheets(t))

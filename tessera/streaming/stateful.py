@@ -67,6 +67,37 @@ def turn_counter(stream: DataFrame, key: str, order: str, every: int = 10) -> Da
     )
 
 
+def in_order(stream: DataFrame, key: str, order: str, value: str, first: int = 0) -> DataFrame:
+    """Rows of each key in the order of their gapless sequence numbers, also across micro-batches.
+
+    A row that comes early is held until all before it have come; repeated rows and
+    those before ``first`` are dropped. A consumer of the result sees each key as a
+    single worker would: one row after the other.
+    """
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        expected, numbers, texts = state.get if state.exists else (first, [], [])
+        held = dict(zip(numbers, texts, strict=True))
+        for rows in batches:
+            for n, text in zip(rows[order], rows[value], strict=True):
+                if n >= expected:
+                    held.setdefault(int(n), text)
+        out = []
+        while expected in held:
+            out.append((k[0], expected, held.pop(expected)))
+            expected += 1
+        state.update((expected, sorted(held), [held[n] for n in sorted(held)]))
+        yield pd.DataFrame(out, columns=["key", "seq", "value"]).astype({"key": "int64", "seq": "int64"})
+
+    return (
+        stream.select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order), F.col(value).cast("string").alias(value))
+        .groupBy(key)
+        .applyInPandasWithState(
+            run, "key long, seq long, value string", "expected long, numbers array<long>, texts array<string>", "append", GroupStateTimeout.NoTimeout
+        )
+    )
+
+
 def _queue(limit: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         held, out = 0, []

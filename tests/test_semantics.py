@@ -15,7 +15,7 @@ from tessera.operators import messages as M
 from tessera.operators import metrics as X
 from tessera.operators import resumes
 from tessera.operators import routing as U
-from tessera.sources import files, providers, sinks, tables
+from tessera.sources import files, office, providers, sinks, tables
 from tessera.streaming import stateful
 
 
@@ -226,6 +226,51 @@ def test_streaming_streaks_equal_batch(spark, tmp_path):
     assert {(r["bot_id"], r["seq"]) for r in got.collect()} == batch
 
 
+def test_streaming_order_across_batches(spark, tmp_path):
+    """Two files, one a batch: what the first batch misses comes in the second."""
+    kind = "bot long, seq long, text string"
+    spark.createDataFrame([(1, 1, "b"), (1, 3, "d"), (2, 0, "x"), (2, 0, "again")], kind).coalesce(1).write.parquet(f"{tmp_path}/q")
+    stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/q")
+    q = stateful.in_order(stream, "bot", "seq", "text").writeStream.format("memory").queryName("ordered").option("checkpointLocation", f"{tmp_path}/c").start()
+    try:
+        q.processAllAvailable()
+        assert {(r["key"], r["seq"]) for r in spark.table("ordered").collect()} == {(2, 0)}
+        spark.createDataFrame([(1, 2, "c"), (1, 0, "a"), (2, 2, "z")], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/q")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = [(r["seq"], r["value"]) for r in spark.table("ordered").collect() if r["key"] == 1]
+    assert got == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+
+
+def test_word_files(spark):
+    paras = D.paragraphs(spark.createDataFrame([(1, "Title & <x>\n  two  spaces\né 🙂"), (2, "one")], "doc_id long, text string"))
+    files_ = office.write_word(paras).unionByName(spark.createDataFrame([(3, b"no zip"), (4, None)], "doc_id long, content binary"))
+    assert sorted(map(tuple, office.read_word(files_).collect())) == sorted(map(tuple, paras.select("doc_id", "para_no", "style", "text").collect()))
+    changed = D.operate(office.read_word(files_), "modify_title", title="New")
+    assert "New" in {r["text"] for r in office.read_word(office.write_word(changed)).collect()}
+
+
+def test_sheet_files(spark):
+    table = [["a", "b & c", None], ["1.5", "x", "-2"], [str(i) for i in range(30)]]
+    df = spark.createDataFrame([(1, table), (2, [])], "sheet_id long, rows array<array<string>>")
+    made = office.write_sheets(df)
+    got = {r["sheet_id"]: r["rows"] for r in office.read_sheets(made).collect()}
+    assert got == {1: [["a", "b & c", ""], *table[1:]], 2: []}
+    more = spark.createDataFrame([(1, [["last"]]), (5, [["new", "2"]])], "sheet_id long, rows array<array<string>>")
+    got = {r["sheet_id"]: r["rows"] for r in office.read_sheets(office.append_rows(made, more)).collect()}
+    assert got[1][-1] == ["last"] and len(got[1]) == 4 and got[5] == [["new", "2"]] and got[2] == []
+
+
+def test_providers_read_bytes(spark):
+    class Sizes:
+        def answer(self, prompts):
+            return [None if p is None else f"{len(p)} bytes" for p in prompts]
+
+    df = spark.createDataFrame([(bytearray(b"abc"),), (None,)], "image binary")
+    assert {r["answer"] for r in providers.complete(df, Sizes(), "image").collect()} == {"3 bytes", None}
+
+
 def test_streaming_turns(spark, tmp_path):
     df = spark.createDataFrame([(u, i) for u in range(3) for i in range(25)], "user_id long, id long")
     got = run(spark, stateful.turn_counter(stream_of(spark, tmp_path, df), "user_id", "id"), "turns", tmp_path)
