@@ -304,6 +304,7 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
         F.sha2(_digest("base").cast("binary"), 256).alias("base_sha256"),
         _digest("every").alias("spans"),
         F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_other"),
+        F.size("every").cast("long").alias("n_spans"),
     )
 
 

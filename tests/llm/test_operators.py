@@ -435,8 +435,23 @@ def test_decode_finds_the_cheapest_reading():
 
 def test_toxicity_of_long_words():
     restorer = toxicity.Restorer(trigrams(*["the idiot said that this idiot is an idiot"] * 30, *["it is in the tin and on the dot"] * 30))
-    assert restorer["1d10t"] == restorer["i" * 300 + "d10t"] == restorer["1d1ooo" + "o" * 5000 + "t"] == toxicity._hash("idiot")
-    assert restorer["1d10t" + "said" * 30] == toxicity._hash("idiot" + "said" * 30)
+    assert restorer["1d10t"] == restorer["i" * 300 + "d10t"] == restorer["1d1ooo" + "o" * 5000 + "t"] == toxicity._features("idiot")
+    assert restorer["1d10t" + "said" * 30] == toxicity._features("idiot" + "said" * 30)
+
+
+def test_toxicity_of_inflected_words(spark):
+    """Endings that no labelled row has; the stem is known."""
+    rng = random.Random(14)
+    rows, labels = [], []
+    for i in range(500):
+        words = [rng.choice(["house", "tree", "water", "stone", "light", "idea", "that"]) for _ in range(20)]
+        if i % 4 == 0:
+            words[3] = "grobl" + "".join(rng.choices("aeiourst", k=4))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    got = rows_of(toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")))
+    held = [i for i in got if got[i]["held_out"]]
+    assert all(got[i]["predicted"] == (i % 4 == 0) for i in held)
 
 
 @pytest.mark.parametrize("word", ["1d10t", "i d i o t", "i.d.i.o.t", "idiooot", "idiot"])
