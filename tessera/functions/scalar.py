@@ -253,8 +253,16 @@ def json_text(c: Column, key: str) -> Column:
     return F.get_json_object(c, f"$.{key}")
 
 
+def json_text_literal(c: Column, key: str) -> Column:
+    """By literal text, as the source does: no space before the value, a backslash stands for the character behind it."""
+    start = f'"{key}":"'
+    raw = F.regexp_extract(c, f'{start}((?:[^"\\\\]|\\\\.)*)', 1)
+    return F.when(c.contains(start), F.regexp_replace(raw, r"(?s)\\(.)", "$1"))
+
+
 def explicit_send(c: Column) -> Column:
-    return F.coalesce(json_text(c, "sent") == "true", F.lit(False))
+    """By literal text: the result of the tool that sends documents."""
+    return c.contains('"send_document"')
 
 
 # Status labels in Chinese and English.

@@ -113,7 +113,7 @@ def _(t):
     "payload_functions",
     """SELECT event_id, coalesce(nullif(trim(CASE WHEN event_id % 3 = 0 THEN '  ' WHEN event_id % 3 = 1 THEN event_type END), ''), trim(CASE WHEN event_id % 2 = 0 THEN '  ' || props || ' ' END), '') AS said,
     CASE WHEN event_id % 2 = 0 THEN 'u' || event_type ELSE 'i' || event_type END AS image, 'data:image/png;base64,' || base64(encode(props)) AS url, hex(substr(props, 2)) AS voice,
-    json_extract_string(props, '$.k') AS k, event_id % 2 = 0 AS sent, replace(replace(replace(props || chr(10) || event_type, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS escaped,
+    json_extract_string(props, '$.k') AS k, event_id % 2 = 0 AS sent, event_type || CASE WHEN event_id % 3 = 0 THEN '"' ELSE '' END || 'x' AS literal, replace(replace(replace(props || chr(10) || event_type, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS escaped,
     CASE WHEN event_id % 2 = 0 THEN event_type ELSE json_extract_string(props, '$.k') END AS named FROM events""",
 )
 def _(t):
@@ -131,7 +131,8 @@ def _(t):
         S.data_url("image/png", data).alias("url"),
         F.hex(S.drop_first_byte(data)).alias("voice"),
         S.json_text(props, "k").alias("k"),
-        S.explicit_send(F.concat(F.lit('{"sent": '), (e % 2 == 0).cast("string"), F.lit("}"))).alias("sent"),
+        S.explicit_send(F.when(e % 2 == 0, '{"operation": "send_document"}').otherwise('{"operation": "send"}')).alias("sent"),
+        S.json_text_literal(F.concat(F.lit('{"a": 1,"file_path":"'), kind, F.when(e % 3 == 0, '\\"').otherwise(""), F.lit('x","b":"c"}')), "file_path").alias("literal"),
         S.json_escape(F.concat(props, F.lit("\n"), kind)).alias("escaped"),
         S.first_named(named, ("location", "city", "k")).alias("named"),
     )

@@ -162,8 +162,16 @@ def write_sheets(sheets: DataFrame, key: str = "sheet_id", rows: str = "rows") -
 
 
 def append_rows(files: DataFrame, more: DataFrame, key: str = "sheet_id") -> DataFrame:
-    """Spreadsheet files with further rows ``(key, rows)`` behind their own; a key without a file makes one."""
+    """Spreadsheet files with further rows ``(key, rows)`` behind their own; a key without a file makes one.
+
+    ``more`` may have ``headers``, a row that stands first: in a new file, and in place
+    of the first row of a file that has no more than one.
+    """
+    table = "array<array<string>>"
+    empty = F.array().cast(table)
+    head = F.when(F.size("headers") > 0, F.array("headers")) if "headers" in more.columns else F.lit(None).cast(table)
     own = read_sheets(files, key).withColumnRenamed("rows", "_old")
-    joined = own.join(more.select(key, "rows"), key, "full")
-    empty = F.array().cast("array<array<string>>")
-    return write_sheets(joined.select(key, F.concat(F.coalesce("_old", empty), F.coalesce("rows", empty)).alias("rows")), key)
+    joined = own.join(more.select(key, "rows", head.alias("_head")), key, "full")
+    old = F.coalesce("_old", empty)
+    first = F.when(F.col("_head").isNotNull() & (F.size(old) <= 1), F.col("_head")).otherwise(old)
+    return write_sheets(joined.select(key, F.concat(first, F.coalesce("rows", empty)).alias("rows")), key)

@@ -260,6 +260,10 @@ def test_sheet_files(spark):
     more = spark.createDataFrame([(1, [["last"]]), (5, [["new", "2"]])], "sheet_id long, rows array<array<string>>")
     got = {r["sheet_id"]: r["rows"] for r in office.read_sheets(office.append_rows(made, more)).collect()}
     assert got[1][-1] == ["last"] and len(got[1]) == 4 and got[5] == [["new", "2"]] and got[2] == []
+    kind = "sheet_id long, rows array<array<string>>, headers array<string>"
+    more = spark.createDataFrame([(1, [["last"]], ["h"]), (2, [["r"]], ["h"]), (5, [["new"]], ["h"]), (6, None, None)], kind)
+    got = {r["sheet_id"]: r["rows"] for r in office.read_sheets(office.append_rows(made, more)).collect()}
+    assert got[1][0][0] == "a" and got[2] == got[5][:1] + [["r"]] == [["h"], ["r"]] and got[6] == []
 
 
 def test_providers_read_bytes(spark):
