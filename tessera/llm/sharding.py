@@ -109,7 +109,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     own = rows.join(hot, "gkey", "left")
     kinds = ["doc_id", "size", "text_crc32", "shard"]
     dealt = own.filter("_hot is not null").withColumnRenamed("_hot", "shard").select(kinds)
-    dealt = dealt.unionByName(own.filter("_hot is null").join(small_side(others, 500_000), "gkey").select(kinds))
+    dealt = dealt.unionByName(own.filter("_hot is null").join(small_side(others, 100_000), "gkey").select(kinds))
     per_shard = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     numbered = gapless_rank(dealt, "shard", ["doc_id", "text_crc32"], per_shard or {0: 0}, "slot")
     return numbered.select(
