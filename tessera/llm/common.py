@@ -44,11 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Paths of intermediate tables that this driver has written and not deleted.
+_WRITTEN: dict[str, None] = {}
+
+
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder; what was written, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN[path] = None
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -65,6 +70,18 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _WRITTEN.pop(path, None)
+
+
+def intermediate() -> set[str]:
+    """The intermediate tables there are now; see ``sweep``."""
+    return set(_WRITTEN)
+
+
+def sweep(spark: SparkSession, before: set[str]) -> None:
+    """Delete the intermediate tables written since ``before``, once what was made from them is stored."""
+    for path in [p for p in _WRITTEN if p not in before]:
+        discard(spark, path)
 
 
 def small_side(df: DataFrame, rows: int = 2_000_000) -> DataFrame:

@@ -25,7 +25,7 @@ from tessera.llm import (
     substrings,
     toxicity,
 )
-from tessera.llm.common import components, gapless_rank
+from tessera.llm.common import components, gapless_rank, intermediate
 from tessera.llm.queries import OPERATORS, oracle_sql, queries, word_tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -908,4 +908,6 @@ def test_queries_against_sql(spark, key):
 
 
 def test_pipeline_runs(spark):
+    before = intermediate()
     assert corpus_pipeline.run(spark, SF).count() > 0
+    assert intermediate() == before
