@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, packing, pii, simhash, toxicity
-from tessera.llm.common import materialise, shared_dir, small_side, table
+from tessera.llm.common import discard, intermediate, materialise, shared_dir, small_side, sweep, table
 from tessera.llm.queries import word_tokenizer
 
 ORACLE_SQL = None
@@ -108,7 +108,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
+        before = intermediate()
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
+        # Nothing reads what the stage worked with any more, nor its input.
+        sweep(spark, before)
+        if k:
+            discard(spark, f"{folder}/{k - 1}")
     return docs
