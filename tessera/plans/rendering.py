@@ -36,12 +36,24 @@ def _(t):
     return t.part.select("p_partkey", line.alias("line"))
 
 
-@query("status_labels", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Published' WHEN 1 THEN 'Preprint' ELSE 'Needs user confirmation' END AS publication, CASE p_partkey % 3 WHEN 0 THEN 'Rejected' WHEN 1 THEN 'PCT application' ELSE 'Needs user confirmation' END AS patent FROM part")
+def _labels(name: str, vocabulary: dict[str, str]) -> str:
+    rows = ", ".join(f"({i}, '{zh}', '{en}')" for i, (zh, en) in enumerate(vocabulary.items()))
+    return f"{name} AS (SELECT * FROM (VALUES {rows}) AS t(ord, zh, en))"
+
+
+@query(
+    "status_labels",
+    f"""WITH {_labels("a", S.PUBLICATION_STATUS)}, {_labels("b", S.PATENT_STATUS)}
+    SELECT p_partkey, coalesce(a.en, 'Needs user confirmation') AS publication, coalesce(b.en, 'Needs user confirmation') AS patent
+    FROM part LEFT JOIN a ON p_partkey % 12 = a.ord LEFT JOIN b ON p_partkey % 13 = b.ord""",
+)
 def _(t):
-    m = F.col("p_partkey") % 3
-    pub, pat = F.when(m == 0, "已发表").when(m == 1, "预印本").otherwise("?"), F.when(m == 0, "已驳回").when(m == 1, "PCT申请")
+    given = lambda words, n: F.get(F.array(*map(F.lit, words)), (F.col("p_partkey") % n).cast("int"))
+    pub, pat = given(S.PUBLICATION_STATUS, 12), given(S.PATENT_STATUS, 13)
     return t.part.select(
-        "p_partkey", S.status_label(pub, S.PUBLICATION_STATUS).alias("publication"), S.status_label(pat, S.PATENT_STATUS).alias("patent")
+        "p_partkey",
+        S.status_label(F.coalesce(pub, F.col("p_name")), S.PUBLICATION_STATUS).alias("publication"),
+        S.status_label(pat, S.PATENT_STATUS).alias("patent"),
     )
 
 
@@ -71,19 +83,25 @@ def _(t):
     )
 
 
-@query("speech_sentences", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type || '.' ELSE 'raw' END AS text FROM events")
+@query(
+    "speech_sentences",
+    """SELECT id, coalesce(nullif(array_to_string([x for x in string_split(content, '. ') if length(x) % 2 = 0], ''), ''), j) AS text FROM
+    (SELECT id, content, CASE WHEN len([x for x in string_split(content, '. ') if length(x) % 2 = 0]) = 0 THEN to_json({'sentences': [{'text': x, 'sentence_end': false} for x in string_split(content, '. ')]})::varchar END AS j FROM chat)""",
+    "chat",
+)
 def _(t):
-    payload = F.when(
-        F.col("event_id") % 2 == 0,
-        F.concat(F.lit('{"sentences":[{"text":"'), "event_type", F.lit('.","sentence_end":true},{"text":"cut","sentence_end":false}]}')),
-    ).otherwise("raw")
-    return t.events.select("event_id", S.sentences(payload).alias("text"))
+    parts = F.transform(F.split("content", "[.] "), lambda x: F.struct(x.alias("text"), (F.length(x) % 2 == 0).alias("sentence_end")))
+    return t.chat.select("id", S.sentences(F.to_json(F.struct(parts.alias("sentences")))).alias("text"))
 
 
-@query("bullet_variants", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'point' ELSE 'duty' END AS bullets FROM supplier")
+@query(
+    "bullet_variants",
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [] WHEN doc_id % 3 = 1 THEN string_split(text, chr(10)) END AS points, string_split(text, '. ') AS duties FROM documents)
+    SELECT doc_id, array_to_string([x for x in CASE WHEN len(points) > 0 THEN points ELSE duties END if NOT regexp_matches(x, '^\\s*$')], '|') AS bullets FROM d""",
+)
 def _(t):
-    points = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("point"), F.lit(" "))).when(F.col("s_suppkey") % 3 == 0, F.array().cast("array<string>"))
-    return t.supplier.select("s_suppkey", F.array_join(S.bullets(points, F.array(F.lit("duty"))), "|").alias("bullets"))
+    points = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 1, F.split("text", "\n"))
+    return t.documents.select("doc_id", F.array_join(S.bullets(points, F.split("text", "[.] ")), "|").alias("bullets"))
 
 
 @query(
@@ -96,17 +114,20 @@ def _(t):
     return D.render_html(df, "s_name", ["c"], "items").select("s_suppkey", "html")
 
 
-@query("tunnel_pick", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://b' WHEN 1 THEN 'http://a' END AS url FROM pages")
+@query(
+    "tunnel_pick",
+    "SELECT page_id // 3 AS tunnels, coalesce(first(url ORDER BY page_id) FILTER (starts_with(url, 'https')), first(url ORDER BY page_id)) AS url FROM pages GROUP BY page_id // 3",
+)
 def _(t):
-    m = F.col("page_id") % 3
-    urls = F.when(m == 0, F.array(F.lit("http://a"), F.lit("https://b"))).when(m == 1, F.array(F.lit("http://a"))).otherwise(F.array().cast("array<string>"))
-    return t.pages.select("page_id", S.pick_tunnel(urls).alias("url"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda x: x["url"])
+    rows = t.pages.groupBy(F.expr("page_id div 3").alias("tunnels")).agg(listed.alias("urls"))
+    return rows.select("tunnels", S.pick_tunnel(F.col("urls")).alias("url"))
 
 
-@query("convertible_files", "SELECT doc_id, doc_id % 6 IN (0, 5) AS ok FROM documents")
+@query("convertible_files", "SELECT p_partkey, f <> '' AND (ends_with(lower(f), '.economy') OR ends_with(lower(f), '.promo')) AND lower(f) NOT IN ('.economy', '.promo') AS ok FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END || '.' || p_type AS f FROM part)")
 def _(t):
-    name = F.expr("case doc_id % 6 when 0 then concat('a', doc_id, '.docx') when 1 then '.doc' when 2 then null when 3 then 'x.pdf' when 4 then 'docx' else 'B.DOC' end")
-    return t.documents.select("doc_id", S.extension_ok(name, (".docx", ".doc")).alias("ok"))
+    name = F.concat(F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.col("p_name")), F.lit("."), F.col("p_type"))
+    return t.part.select("p_partkey", S.extension_ok(name, (".economy", ".promo")).alias("ok"))
 
 
 @query(
