@@ -209,6 +209,11 @@ def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def single_spaces(text: str | Column) -> Column:
+    """Each run of white space as one space."""
+    return F.regexp_replace(text, r"[\x09-\x0D][\x20\x09-\x0D]*+|\x20[\x20\x09-\x0D]++", " ")
+
+
 def word_grams(words: str, size: int) -> Column:
     """Every stretch of ``size`` words of a text whose words are parted by single spaces, by its first word."""
     more = rf"(?: [^ ]++){{{size - 1}}}" if size > 1 else ""

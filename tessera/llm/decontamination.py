@@ -34,11 +34,13 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_side, text_or_empty, word_grams
+from .common import materialise, single_spaces, small_side, text_or_empty, word_grams
 
 WINDOW = 5
 THRESHOLD = 0.8
@@ -70,8 +72,9 @@ def canonical(text: Column, first_name: bool = False) -> Column:
     Patterns begin with the character they replace and look behind afterwards, so
     most characters cost one class test.
     """
-    out = F.translate(text, "\t\n\x0b\f\r" + NUMBER + NAME + UNIT + VALUE, "     ")
-    out = F.regexp_replace(out, " {2,}", " ")
+    own = NUMBER + NAME + UNIT + VALUE
+    marked = reduce(or_, (F.contains(text, F.lit(c)) for c in own))
+    out = single_spaces(F.when(marked, F.translate(text, own, "")).otherwise(text))
     out = F.regexp_replace(out, r"\p{Lu}(?<=[^.!?:; ] .)\p{Ll}++", NAME + VALUE + "$0")
     if first_name:
         out = F.regexp_replace(out, r"^([^\p{L}\p{N}]*+)(\p{Lu}\p{Ll}++)", "$1" + NAME + VALUE + "$2")
@@ -83,7 +86,7 @@ def canonical(text: Column, first_name: bool = False) -> Column:
     )
     out = F.lower(F.when(text.rlike("[0-9]"), numbered).otherwise(out))
     out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}} {NUMBER}-{VALUE}]++", "")
-    return F.btrim(F.regexp_replace(out, " {2,}", " "), F.lit(" "))
+    return F.btrim(single_spaces(out), F.lit(" "))
 
 
 def _forms(gram: str = "gram") -> Column:

@@ -32,7 +32,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_side, text_or_empty, word_grams
+from .common import materialise, single_spaces, small_side, text_or_empty, word_grams
 
 SHINGLE = 5
 #: Sizes of windows in shingles: (size, bands, every so many words of a text).
@@ -95,8 +95,8 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
 
 def tidy(text: str | Column) -> Column:
     """Words in lower case without punctuation, parted by single spaces."""
-    bare = F.regexp_replace(F.translate(F.lower(text), "\t\n\x0b\f\r", "     "), r"[^\p{L}\p{N} ]++", "")
-    return F.btrim(F.regexp_replace(bare, " {2,}", " "), F.lit(" "))
+    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\x20\x09-\x0D]++", "")
+    return F.btrim(single_spaces(bare), F.lit(" "))
 
 
 def _shingles(words: str) -> Column:

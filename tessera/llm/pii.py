@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialise, small_side, text_or_empty, word_grams
+from .common import WS, materialise, single_spaces, small_side, text_or_empty, word_grams
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = "other"
@@ -75,7 +75,7 @@ def units(text: Column) -> Column:
     """Lower-case words with the marks behind them, parted by single spaces; white space beside marks does not count."""
     out = F.regexp_replace(F.lower(text), rf"[{WS}]++(?=[^\p{{L}}\p{{N}}_{WS}{EDGE}])", "")
     out = F.regexp_replace(out, rf"([^\p{{L}}\p{{N}}_{WS}{EDGE}])(?=[\p{{L}}\p{{N}}_])", "$1 ")
-    return F.btrim(F.regexp_replace(F.translate(out, "\t\n\x0b\f\r", "     "), " {2,}", " "), F.lit(" "))
+    return F.btrim(single_spaces(out), F.lit(" "))
 
 
 def _left(before: Column) -> Column:
