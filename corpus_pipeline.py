@@ -92,7 +92,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
     # A smaller cache: executors still hold what the stages before it took.
-    return packing.pack(docs, word_tokenizer(), entries=150_000)
+    return packing.pack(docs, word_tokenizer(), entries=100_000)
 
 
 STAGES = [
