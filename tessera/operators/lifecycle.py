@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Transitions that the lifecycle allows, by state before.
@@ -49,3 +49,25 @@ def sessions(df: DataFrame, key: str, ts: str, gap: str = "30 minutes") -> DataF
     """Spans of writes with less than ``gap`` between neighbours."""
     rows = df.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.min(ts).alias("first_write"), F.max(ts).alias("last_write"), F.count("*").alias("writes"))
     return rows.drop("w")
+
+
+def log_line(**fields: Column | str) -> Column:
+    """``name=value`` pairs in the order given; a null value is written as ``null``."""
+    parts = []
+    for name, value in fields.items():
+        text = F.lit(value) if isinstance(value, str) else F.coalesce(value.cast("string"), F.lit("null"))
+        parts.append(F.concat(F.lit(f"{name}="), text))
+    return F.concat_ws(" ", *parts)
+
+
+def alerts(df: DataFrame, kind: str, key: str, measure: str, critical_from: int, message: str) -> DataFrame:
+    """A warning for each row, and a critical line besides where the measure reaches its limit."""
+    warning = log_line(type=kind, botId=F.col(key), **{measure: F.col(measure)}, severity="WARN")
+    critical = log_line(type=f"{kind}_CRITICAL", botId=F.col(key), **{measure: F.col(measure)}, severity="CRITICAL", message=f'"{message}"')
+    lines = F.when(F.col(measure) >= critical_from, F.array(warning, critical)).otherwise(F.array(warning))
+    return df.withColumn("line", F.explode(lines))
+
+
+def token_status(given: Column, token: str) -> Column:
+    """200 or 401; digests of equal length are compared, so the time taken says nothing of the token."""
+    return F.when(F.sha2(F.coalesce(given, F.lit("")), 256) == F.sha2(F.lit(token), 256), 200).otherwise(401)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -80,8 +81,6 @@ def _(t):
 
 @query("degradations", "SELECT bot_id, seq FROM (SELECT *, lag(state) OVER (PARTITION BY bot_id ORDER BY seq) AS before FROM state) WHERE state = 'ERROR' AND before IN ('ONLINE', 'DISCONNECTED')", "state")
 def _(t):
-    from pyspark.sql import Window
-
     before = F.lag("state").over(Window.partitionBy("bot_id").orderBy("seq"))
     return t.state.withColumn("before", before).filter("state = 'ERROR' and before in ('ONLINE', 'DISCONNECTED')").select("bot_id", "seq")
 
@@ -193,3 +192,27 @@ def _(t):
     first = t.calls.filter("file_path is not null").groupBy("run", "file_path").agg(F.min("step_id").alias("p"))
     rows = F.array_sort(F.collect_list(F.struct("p", "file_path")))
     return first.groupBy("run").agg(F.array_join(F.transform(rows, lambda x: x["file_path"]), ",").alias("files"))
+
+
+@query(
+    "alert_lines",
+    """WITH a AS (SELECT event_id, user_id, event_id % 7 AS attempts FROM events WHERE event_type = 'error')
+    SELECT event_id, 'type=LOGIN botId=' || user_id || ' attempts=' || attempts || ' severity=WARN' AS line FROM a
+    UNION ALL SELECT event_id, 'type=LOGIN_CRITICAL botId=' || user_id || ' attempts=' || attempts || ' severity=CRITICAL message="failed three times"' FROM a WHERE attempts >= 3""",
+)
+def _(t):
+    rows = t.events.filter("event_type = 'error'").select("event_id", "user_id", (F.col("event_id") % 7).alias("attempts"))
+    return L.alerts(rows, "LOGIN", "user_id", "attempts", 3, "failed three times").select("event_id", "line")
+
+
+@query("audit_lines", "SELECT seq, 'action=state_change botId=' || bot_id || ' from=' || coalesce(lag(state) OVER (PARTITION BY bot_id ORDER BY seq), 'null') || ' to=' || state AS line FROM state", "state")
+def _(t):
+    before = F.lag("state").over(Window.partitionBy("bot_id").orderBy("seq"))
+    rows = t.state.withColumn("before", before)
+    return rows.select("seq", L.log_line(action="state_change", botId=F.col("bot_id"), **{"from": F.col("before"), "to": F.col("state")}).alias("line"))
+
+
+@query("token_status", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 200 ELSE 401 END AS status FROM events")
+def _(t):
+    given = F.when(F.col("event_id") % 3 == 0, "t0ken").when(F.col("event_id") % 3 == 1, F.col("props"))
+    return t.events.select("event_id", L.token_status(given, "t0ken").alias("status"))
