@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import messages as M
+from ..sources import streams as N
 from .catalog import query
 
 PROMPT = "You are a helpful assistant."
@@ -213,6 +214,20 @@ def _(t):
     return t.chat.select("id", F.when(found.isNotNull(), F.size(found)).cast("long").alias("n_messages"), found.isNull().alias("miss"))
 
 
+@query(
+    "inbound_items",
+    """WITH m AS (SELECT bot_id, user_id::varchar AS user_id, id AS seq, turn, content, role FROM chat)
+    SELECT bot_id, user_id, seq, 0::bigint AS item_no, CASE turn % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'voice' WHEN 2 THEN 'file' ELSE 'image' END AS kind, content AS body FROM m
+    UNION ALL SELECT bot_id, user_id, seq, 2, 'text', role FROM m WHERE turn % 3 = 0""",
+    "chat",
+)
+def _(t):
+    turn = F.col("turn")
+    item = lambda body, of: F.struct(*(F.when(of == i, body).alias(k) for i, k in enumerate(N.KINDS)))
+    pushed = F.array(item(F.col("content"), turn % 4), item(F.lit(None).cast("string"), F.lit(0)), item(F.when(turn % 3 == 0, F.col("role")), F.lit(0)))
+    return N.items(t.chat.select("bot_id", F.col("user_id").cast("string").alias("user_id"), F.col("id").alias("seq"), pushed.alias("items")))
+
+
 @query("media_entries", "SELECT id, '[用户发送了一张图片，内容：' || content || ']' AS image, '[已发送图片，提示词：' || content || ']' AS drawing FROM chat", "chat")
 def _(t):
     return t.chat.select("id", S.image_entry(F.col("content")).alias("image"), S.drawing_entry(F.col("content")).alias("drawing"))

@@ -15,7 +15,7 @@ from tessera.operators import messages as M
 from tessera.operators import metrics as X
 from tessera.operators import resumes
 from tessera.operators import routing as U
-from tessera.sources import files, office, providers, sinks, tables
+from tessera.sources import files, office, providers, sinks, streams, tables
 from tessera.streaming import stateful
 
 
@@ -243,6 +243,14 @@ def test_streaming_order_across_batches(spark, tmp_path):
     assert got == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
 
 
+def test_message_stream(spark, tmp_path):
+    lines = ['{"bot_id":"b","user_id":"u","seq":1,"items":[{"text":"hi"},{"image":"p.png"},{}]}', '{"bot_id":"b","user_id":"u","seq":2,"items":[]}']
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text("\n".join(lines))
+    got = run(spark, streams.items(streams.message_stream(spark, f"{tmp_path}/in")), "inbound", tmp_path)
+    assert [(r["seq"], r["item_no"], r["kind"], r["body"]) for r in got.orderBy("item_no").collect()] == [(1, 0, "text", "hi"), (1, 1, "image", "p.png")]
+
+
 def test_word_files(spark):
     paras = D.paragraphs(spark.createDataFrame([(1, "Title & <x>\n  two  spaces\né 🙂"), (2, "one")], "doc_id long, text string"))
     files_ = office.write_word(paras).unionByName(spark.createDataFrame([(3, b"no zip"), (4, None)], "doc_id long, content binary"))
