@@ -18,11 +18,12 @@ other columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,15 @@ EOS = 1
 CACHE_ENTRIES = 400_000
 #: Marks that are a token group of their own behind letters.
 MARKS = b".,!?*&%#;:"
+#: Such marks at the end of a chunk, directly behind a letter.
+_BEHIND = re.compile(rb"[.,!?*&%#;:](?<=[a-z].)[.,!?*&%#;:]*(?!\S)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def letters(word: bytes) -> bool:
     """Whether a word is of letters alone, also after it is normalised and lower-cased."""
+    if word.isalpha():
+        return True
     text = word.decode("utf-8", "replace")
     return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
 
@@ -109,9 +114,13 @@ class Chunks(dict):
         for text in texts:
             raw = (text or "").encode("utf-8", "replace")
             # The tokenizer lower-cases all but its special tokens.
-            split.append((raw if b"<|" in raw else raw.lower()).split())
-        self.learn({w for words in split for w in filterfalse(self.__contains__, set(words))})
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+            # White space between letters and marks changes no token, and words then are looked up without them.
+            split.append((raw if b"<|" in raw else _BEHIND.sub(rb" \g<0>", raw.lower())).split())
+        different = set(chain.from_iterable(split))
+        self.learn(set(filterfalse(self.__contains__, different)))
+        # A small dictionary of this portion's words stays in the processor's cache.
+        ids = {w: self[w] for w in different}
+        return [b"".join(map(ids.__getitem__, words)) for words in split]
 
 
 def coder(path: str, entries: int = CACHE_ENTRIES) -> Chunks:
