@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, packing, pii, quality_model, quality_rules, sharding, simhash, substrings, toxicity
+from . import (
+    conversations,
+    decontamination,
+    language_model,
+    licenses,
+    packing,
+    pii,
+    quality_model,
+    quality_rules,
+    sharding,
+    simhash,
+    spelling,
+    substrings,
+    toxicity,
+)
 from .common import table
 from .oracles import ORACLES
 
@@ -58,6 +72,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "conversations")
+    return conversations.repaired_summary(conversations.damaged(found), found)
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.perplexity_scores(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_pii,
     op2_quality,
@@ -69,6 +96,9 @@ OPERATORS = (
     op8_licenses,
     op9_sharding,
     op10_decontamination,
+    op11_spelling,
+    op12_conversations,
+    op13_language_model,
 )
 
 
