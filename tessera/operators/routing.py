@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import after_signal, contains_any, trim
+from .contents import contains_join
 
 # Words that decide an intent.
 DRAW = ("画一张", "画一幅", "画一只", "帮我画", "帮我生成", "生成图片", "画图", "绘制")
@@ -37,8 +38,8 @@ VOICES = {
 }
 # What a message without a single domain is prefaced with, before the list of tools.
 FALLBACK = "系统未能精确识别您的意图，已进入自主决策模式。\n请根据用户问题，自行判断需要调用哪些工具。如果不确定，可以反问用户澄清。\n\n可用工具：\n"
-#: Signals, voices and tools are sent to every executor; their lists may have so many rows at most.
-MAX_SIGNALS = 100_000
+#: Tools are sent to every executor up to so many rows; longer lists are met by a shuffled join.
+MAX_LISTED = 100_000
 
 
 def signal_table(spark: SparkSession) -> DataFrame:
@@ -50,23 +51,15 @@ def voice_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *v) for i, v in enumerate(VOICES.items(), 1)], "ord int, label string, id string")
 
 
-def _listed(df: DataFrame, what: str) -> DataFrame:
-    """``df`` for broadcast, after its rows are counted."""
-    n = df.count()
-    if n > MAX_SIGNALS:
-        raise ValueError(f"{n} {what}: a join by content is meant for lists of up to {MAX_SIGNALS}")
-    return F.broadcast(df)
-
-
-def signal_hits(messages: DataFrame, signals: DataFrame, text: str = "content") -> DataFrame:
-    """(message, signal) pairs where the text contains the signal; the signal list is small and its size is checked."""
-    return messages.join(_listed(signals, "signals"), F.col(text).contains(F.col("signal")))
+def signal_hits(messages: DataFrame, signals: DataFrame, text: str = "content", keep: Sequence[str] | None = None) -> DataFrame:
+    """(message, signal) pairs where the text contains the signal, for any number of signals; see ``contains_join``."""
+    return contains_join(messages, signals, text, "signal", keep)
 
 
 def route(messages: DataFrame, signals: DataFrame, key: str, text: str = "content") -> DataFrame:
     """``(key, n_domains, domain, is_fallback)``: a domain where exactly one is hit; a null or blank text has none."""
     spoken = messages.select(key, text).filter(~F.col(text).rlike(r"^\s*$"))
-    hits = signal_hits(spoken, signals, text).groupBy(key).agg(
+    hits = signal_hits(spoken, signals, text, [key]).groupBy(key).agg(
         F.count_distinct("domain").alias("n"), F.min("domain").alias("d")
     )
     n = F.coalesce("n", F.lit(0)).cast("long")
@@ -136,20 +129,26 @@ def watcher(message: Column, answer: Column, called: Column, domain: Column, hin
 
 
 def match_voice(names: DataFrame, voices: DataFrame) -> DataFrame:
-    """Exact id; else the first entry whose first three characters are in the name; else whose label has it."""
-    rank = (
-        F.when(F.col("id") == F.col("asked"), 0)
-        .when(F.col("asked").contains(F.substring("label", 1, 3)), 1)
-        .when(F.col("label").contains(F.col("asked")), 2)
-    )
-    pairs = names.join(_listed(voices, "voices"), rank.isNotNull()).withColumn("_r", rank)
-    best = pairs.groupBy("asked").agg(F.min_by("id", F.struct("_r", "ord")).alias("voice"))
+    """Exact id; else the first entry whose first three characters are in the name; else whose label has it.
+
+    Equality, then two joins by content in opposite directions: no name is compared with every voice.
+    """
+    asked = names.select("asked").distinct()
+    own = voices.select("ord", "id", "label", F.substring("label", 1, 3).alias("head"))
+    ranked = [
+        asked.join(own, F.col("asked") == F.col("id")),
+        contains_join(asked, own, "asked", "head"),
+        contains_join(own, asked, "label", "asked"),
+    ]
+    pairs = [df.select("asked", "id", F.struct(F.lit(r), "ord").alias("rank")) for r, df in enumerate(ranked)]
+    best = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).groupBy("asked").agg(F.min_by("id", "rank").alias("voice"))
     return names.join(best, "asked", "left")
 
 
 def dispatch(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """The tool of a call, or the message for an unknown one."""
     known = tools.select("name", F.col("description").alias("_found"))
-    return calls.join(_listed(known, "tools"), "name", "left").withColumn(
+    known = F.broadcast(known) if known.count() <= MAX_LISTED else known
+    return calls.join(known, "name", "left").withColumn(
         "answer", F.coalesce("_found", F.concat(F.lit("unknown tool: "), F.col("name")))
     ).drop("_found")

@@ -19,6 +19,16 @@ def _(t):
     return U.signal_hits(t.asks, U.signal_table(t.spark)).select("id", "signal", "domain")
 
 
+@query(
+    "signal_vocabulary",
+    """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{9,}')) AS signal FROM conversations)
+    SELECT doc_id, signal FROM documents JOIN w ON contains(text, signal)""",
+)
+def _(t):
+    words = t.conversations.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), F.lit(0))).alias("signal")).distinct()
+    return U.signal_hits(t.documents, words, "text", ["doc_id"]).select("doc_id", "signal")
+
+
 ROUTED = """h AS (SELECT id, count(DISTINCT domain) AS n, min(domain) AS d FROM asks JOIN signals ON contains(content, signal) WHERE trim(content) <> '' GROUP BY id),
     r AS (SELECT c.id, coalesce(n, 0) AS n_domains, CASE WHEN n = 1 THEN d END AS domain, coalesce(n, 0) <> 1 AS is_fallback FROM asks c LEFT JOIN h USING (id))"""
 
