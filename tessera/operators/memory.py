@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normalize_dimension, normalize_type
+from ..sources.shared import stored
 from .messages import newest
+from .stacks import links, met
 
 ACTIONS = ("new", "supersede", "skip")
 
@@ -36,45 +37,58 @@ def supersede(log: DataFrame) -> DataFrame:
     )
 
 
-def _replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One user's log: a stack of active rows for each dimension."""
-    stacks: dict[str, list[int]] = {}
-    status: dict[tuple[str, int], str] = {}
-    link: dict[tuple[str, int], int | None] = {}
-    for r in rows.sort_values(["id", "action"]).itertuples():
-        stack = stacks.setdefault(r.dimension, [])
-        if r.action == "delete":
-            if status.get((r.dimension, r.target)) == "active":
-                status[r.dimension, r.target] = "deleted"
-                stack.remove(r.target)
-        elif r.action != "skip":
-            own = (r.dimension, r.id)
-            link[own] = None
-            if r.action == "supersede" and stack:
-                link[own] = stack.pop()
-                status[r.dimension, link[own]] = "superseded"
-            stack.append(r.id)
-            status[own] = "active"
-    return pd.DataFrame(
-        {
-            "user_id": key[0],
-            "dimension": pd.Series([d for d, _ in status], dtype="object"),
-            "id": pd.Series([i for _, i in status], dtype="int64"),
-            "status": pd.Series(list(status.values()), dtype="object"),
-            "supersedes_id": pd.array([link[k] for k in status], dtype="Int64"),
-        }
-    )
-
-
 def supersede_with_deletes(log: DataFrame) -> DataFrame:
-    """Deletes between supersedes make the newest active row a stack's top: the one thing no window expresses.
+    """Deletes between supersedes make the newest row still active a stack's top, see ``stacks.links``.
 
-    A user's log is one group: groups by dimension as well would be many times as many and small.
+    A delete counts if it comes after the row it names: then the row leaves the stack unless it was superseded before.
     """
-    return (
-        log.select("user_id", "dimension", "id", "action", "target")
-        .groupBy("user_id")
-        .applyInPandas(_replay, "user_id long, dimension string, id long, status string, supersedes_id long")
+    key = ["user_id", "dimension"]
+    rows = log.select(*key, "id", "action", "target")
+    gone = rows.filter("action = 'delete' and id > target").groupBy(*key, F.col("target").alias("id")).agg(F.min("id").alias("gone"))
+    pushed = met(rows.filter("action in ('new', 'supersede')").drop("target"), gone, [*key, "id"])
+    pushed = stored(pushed, "stacks")
+    pairs = stored(links(pushed.withColumn("pops", F.col("action") == "supersede"), key), "links")
+    taken = pairs.select(*key, F.col("old").alias("id"), F.lit(True).alias("_taken"))
+    out = met(met(pushed, pairs, [*key, "id"]), taken, [*key, "id"])
+    status = F.when(F.col("_taken"), "superseded").when(F.col("gone").isNotNull(), "deleted").otherwise("active")
+    return out.select(*key, "id", status.alias("status"), F.col("old").alias("supersedes_id"))
+
+
+def chains(rows: DataFrame, key: str = "id", parent: str = "supersedes_id") -> DataFrame:
+    """``(id, root, depth, cyclic)``: the end of each row's chain of parents, and the steps to it.
+
+    Pointer doubling: each round a row that still goes on takes over what its parent has
+    found, so a chain of n links takes log2(n) rounds of one equi-join. A parent that is no
+    row ends the chain. Rows still open when 2 ** rounds exceeds their number are on a cycle
+    or lead to one; their root is the smallest id of the cycle and they have no depth.
+    ``key`` is unique.
+    """
+    ids = rows.select(F.col(key).alias("id"), F.col(parent).alias("to"))
+    known = ids.select(F.col("id").alias("to"))
+    # to: where the pointer stands, null at the end of a chain; low: the least id passed on the way there.
+    first = ids.join(known.withColumn("_is", F.lit(True)), "to", "left")
+    first = first.select("id", F.when(F.col("_is"), F.col("to")).alias("to"), F.when(F.col("_is"), 1).otherwise(0).cast("long").alias("steps"))
+    first = first.withColumns({"root": F.col("id"), "low": F.col("id")})
+    found = stored(first, "chains")
+    n, reached = found.filter("to is not null").count(), 1
+    while n and reached <= 2 * n:
+        ahead = found.select(F.col("id").alias("to"), *(F.col(c).alias(f"_{c}") for c in ("to", "steps", "root", "low")))
+        # Rows at the end of their chain meet nobody and stay as they are.
+        on = found.join(ahead, "to", "left").select(
+            "id",
+            F.col("_to").alias("to"),
+            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+            F.coalesce("_root", "root").alias("root"),
+            F.least("low", "_low").alias("low"),
+        )
+        found, reached = stored(on, "chains", found), 2 * reached
+        if found.filter("to is not null").isEmpty():
+            break
+    # A pointer that went on longer than there are rows stands on a cycle, and the row it stands on has been all around it.
+    around = found.select(F.col("id").alias("to"), F.col("low").alias("_cycle"))
+    cyclic = F.col("to").isNotNull()
+    return found.join(around, "to", "left").select(
+        "id", F.when(cyclic, F.col("_cycle")).otherwise(F.col("root")).alias("root"), F.when(~cyclic, F.col("steps")).alias("depth"), cyclic.alias("cyclic")
     )
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def by_type(df: DataFrame) -> DataFrame:
     """Counts by type with the total as one more row; one aggregation for both."""
@@ -24,19 +28,41 @@ def message_stats(df: DataFrame) -> DataFrame:
     return per.select("user_id", "rounds", "calls", integer_average("ms", "n", "avg_ms"), integer_average("llm_ms", "calls", "avg_llm_ms"))
 
 
-def percentiles(df: DataFrame, value: str) -> DataFrame:
-    """Nearest rank: the smallest value whose share of the rows reaches p.
+def percentiles(df: DataFrame, value: str, by: Sequence[str] = (), at: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """Nearest rank for each group of ``by`` (none: one row): the smallest value whose share of the group's values reaches p.
 
-    Values are counted before they meet, so one task sees each different value once:
-    of whole milliseconds there are few, however many rows are behind them.
+    Exact, and no task sees a whole group: equal values are counted, the counts are sorted
+    into ranges of (group, value), and the number of values in each range tells in which
+    one a rank falls. Only those ranges are numbered. What is summed in one place is a
+    row for each range that a group has. ``n`` counts nulls as well; without values the result is 0.
     """
-    counted = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    reach = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.filter("_v is not null").withColumn("_to", F.sum("_c").over(reach))
-    total = counted.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))), F.lit(0)).alias("_t"))
-    at = lambda p: F.coalesce(F.min(F.when(F.col("_to") >= F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_t"))), F.col("_v"))), F.lit(0)).cast("long")
-    # One row is joined to the different values.
-    return total.join(ranked, F.lit(True), "left").groupBy("n").agg(at(0.5).alias("p50"), at(0.95).alias("p95")).select("p50", "p95", "n")
+    kind, names = df.schema[value].dataType, [f"p{round(100 * p)}" for p in at]
+    counted = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranged = counted.filter("_v is not null").repartitionByRange(*by, "_v").withColumn("_p", F.spark_partition_id())
+    # Written once: planned twice, the ranges would be sampled twice.
+    ranged = stored(ranged, "ranges")
+    groups = df.groupBy(*by).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*by).orderBy("_p")
+    sums = ranged.groupBy(*by, "_p").agg(F.sum("_c").alias("_own"))
+    sums = sums.withColumn("_to", F.sum("_own").over(order)).withColumn("_all", F.sum("_own").over(Window.partitionBy(*by)))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("_at") * F.col("_all")))
+    wanted = sums.withColumn("_at", F.explode(F.array(*map(F.lit, at)))).withColumn("_rank", rank)
+    wanted = wanted.filter((F.col("_rank") <= F.col("_to")) & (F.col("_rank") > F.col("_to") - F.col("_own")))
+    wanted = wanted.select(*by, "_p", "_at", (F.col("_rank") - F.col("_to") + F.col("_own")).alias("_rank"))
+
+    def met(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+        """A join in which null groups meet."""
+        right = right.withColumnsRenamed({c: f"_{c}_2" for c in keys})
+        same = F.lit(True)
+        for c in keys:
+            same &= F.col(c).eqNullSafe(F.col(f"_{c}_2"))
+        return left.join(right, same, how).drop(*(f"_{c}_2" for c in keys))
+
+    inside = ranged.withColumn("_sum", F.sum("_c").over(Window.partitionBy(*by, "_p").orderBy("_v")))
+    hits = met(inside, wanted, [*by, "_p"], "inner").filter((F.col("_sum") >= F.col("_rank")) & (F.col("_sum") - F.col("_c") < F.col("_rank")))
+    found = hits.groupBy(*by).agg(*(F.min(F.when(F.col("_at") == p, F.col("_v"))).alias(name) for p, name in zip(at, names, strict=True)))
+    filled = [F.coalesce(name, F.lit(0)).cast(kind).alias(name) for name in names]
+    return met(groups, found, by, "left").select(*by, *filled, "n")
 
 
 def ring(df: DataFrame, order: str, n: int = 200) -> DataFrame:

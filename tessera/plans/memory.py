@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import memory as Y
@@ -42,6 +43,25 @@ def _(t):
     return Y.supersede_pairs(Y.supersede(t.memory_log))
 
 
+@query(
+    "supersede_chains",
+    f"""WITH RECURSIVE {CHAIN}, c AS (SELECT id, id AS root, 0::bigint AS depth FROM s WHERE supersedes_id IS NULL
+      UNION ALL SELECT s.id, c.root, c.depth + 1 FROM s JOIN c ON s.supersedes_id = c.id) SELECT id, root, depth, false AS cyclic FROM c""",
+    "memory_log",
+)
+def _(t):
+    return Y.chains(Y.supersede(t.memory_log))
+
+
+@query(
+    "event_chains",
+    "SELECT event_id AS id, first_value(event_id) OVER w AS root, row_number() OVER w - 1 AS depth, false AS cyclic FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
+)
+def _(t):
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return Y.chains(t.events.select(F.col("event_id").alias("id"), before.alias("supersedes_id")))
+
+
 @query(
     "memory_stack_with_deletes",
     """WITH RECURSIVE e AS (SELECT user_id, dimension, id, action, NULL::bigint AS target FROM memory_log UNION ALL SELECT user_id, 'error', event_id, 'delete', event_id - 3 FROM events WHERE event_type = 'error'),

@@ -42,6 +42,29 @@ def _(t):
     return X.percentiles(X.ring(t.metric, "event_id"), "total_ms")
 
 
+def _nearest(column: str, by: str = "") -> str:
+    """Nearest ranks by numbering all rows."""
+    group = f"PARTITION BY {by} " if by else ""
+    rows = f"SELECT *, row_number() OVER ({group}ORDER BY {column}) AS rn, count({column}) OVER ({group}) AS c FROM metric"
+    at = lambda p: f"coalesce(min({column}) FILTER (rn >= greatest(1, ceil({p}::double * c))), 0)"
+    return f"SELECT {by + ', ' if by else ''}{at(0.5)} AS p50, {at(0.95)} AS p95, count(*) AS n FROM ({rows}) {'GROUP BY ' + by if by else ''}"
+
+
+@query("latency_by_user", _nearest("total_ms", "user_id"), "metric")
+def _(t):
+    return X.percentiles(t.metric, "total_ms", ["user_id"])
+
+
+@query("latency_by_type", _nearest("total_ms", "type"), "metric")
+def _(t):
+    return X.percentiles(t.metric, "total_ms", ["type"])
+
+
+@query("value_percentiles", _nearest("value").replace("FROM metric", "FROM events"))
+def _(t):
+    return X.percentiles(t.events, "value")
+
+
 @query("latency_ring_200", "SELECT event_id, total_ms FROM metric ORDER BY event_id DESC LIMIT 200", "metric")
 def _(t):
     return X.ring(t.metric, "event_id").select("event_id", "total_ms")
