@@ -182,6 +182,16 @@ def _(t):
     return K.cache_live(K.cache_put(writes.limit(0), writes).join(reads, "key"), F.col("read_at")).select("key", "value")
 
 
+@query(
+    "cache_reads",
+    """WITH w AS (SELECT user_id AS key, ts, max(props) AS value FROM events WHERE event_type <> 'purchase' GROUP BY ALL), r AS (SELECT user_id AS key, ts AS read_at, event_id FROM events WHERE event_type = 'purchase')
+    SELECT r.key, read_at, coalesce(date_diff('microsecond', w.ts, read_at) < 12 * 3600000000, false) AS hit, CASE WHEN hit THEN value END AS value FROM r ASOF LEFT JOIN w ON r.key = w.key AND r.read_at >= w.ts""",
+)
+def _(t):
+    writes = t.events.filter("event_type <> 'purchase'").select(F.col("user_id").alias("key"), F.col("props").alias("value"), F.col("ts").alias("written_at"))
+    return K.cache_reads(writes, t.events.filter("event_type = 'purchase'").select(F.col("user_id").alias("key"), F.col("ts").alias("read_at")), 12 * 60)
+
+
 @query(
     "ext_bounded_queue",
     """WITH RECURSIVE l AS (SELECT user_id AS bot_id, event_id AS seq, event_type <> 'purchase' AS arrives, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),

@@ -51,8 +51,9 @@ def test_routing_vocabulary(spark):
     df = spark.createDataFrame([a[:2] for a in asks], "id long, content string")
     got = {r["id"]: (r["n_domains"], r["domain"], r["is_fallback"]) for r in U.route(df, U.signal_table(spark), "id").collect()}
     assert got == {a[0]: a[2:] for a in asks}
-    with pytest.raises(ValueError, match="signals"):
-        U.signal_hits(df, spark.range(100_001).selectExpr("cast(id as string) as signal"))
+    # Lists have no limit.
+    long = spark.range(100_001).selectExpr("cast(id as string) as signal").union(spark.createDataFrame([("天气",)], "signal string"))
+    assert [(r["id"], r["signal"]) for r in U.signal_hits(df, long).collect()] == [(3, "天气")]
 
 
 def test_message_decode(spark):
