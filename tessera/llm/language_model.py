@@ -45,8 +45,8 @@ from .common import give_back, held, shared_dir, text_or_empty
 
 #: The production order. Trigrams would not fit the disk that the check allows (README).
 ORDER = 2
-#: Bytes of text a shard is made for, bytes of text hashed at once, tokens counted or looked up at once.
-SHARD_BYTES, PIECE, TOKENS = 8 << 20, 4 << 20, 3_000_000
+#: Bytes of text a shard is made for, bytes of text hashed at once, tokens counted at once and looked up at once.
+SHARD_BYTES, PIECE, TOKENS, SCORED = 16 << 20, 1 << 20, 2_500_000, 800_000
 TEST_FOLD, FOLDS = 1, 5
 
 U = np.uint64
@@ -116,8 +116,8 @@ def pieces(text: bytes) -> Iterator[tuple[bytes, bool]]:
     yield text[at:], True
 
 
-def chunks(texts: Iterator[bytes], order: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Of some millions of tokens each: the number of the token's text, and the n tokens up to it.
+def chunks(texts: Iterator[bytes], order: int, limit: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Of some ``limit`` tokens each: the number of the token's text, and the n tokens up to it.
 
     Texts are numbered from 0 in the order given; what precedes a text are starts.
     """
@@ -149,7 +149,11 @@ def chunks(texts: Iterator[bytes], order: int) -> Iterator[tuple[np.ndarray, lis
         return number, [full[at - j] for j in range(pre, -1, -1)]
 
     def joined() -> tuple[np.ndarray, list[np.ndarray]]:
-        return np.concatenate([x for x, _ in made]), [np.concatenate(c) for c in zip(*(x for _, x in made), strict=True)]
+        number = np.concatenate([x for x, _ in made])
+        columns = [[x[j] for _, x in made] for j in range(order)]
+        made.clear()
+        # One column after the other, so that parts and whole are held of one at a time.
+        return number, [np.concatenate(columns.pop(0)) for _ in range(order)]
 
     for k, text in enumerate(texts):
         for x, last in pieces(text):
@@ -159,33 +163,60 @@ def chunks(texts: Iterator[bytes], order: int) -> Iterator[tuple[np.ndarray, lis
                 made.append(hashed())
                 total += len(made[-1][0])
                 stretch, size = [], 0
-                if total >= TOKENS:
+                if total >= limit:
                     yield joined()
-                    made, total = [], 0
+                    total = 0
     if stretch:
         made.append(hashed())
     if made:
         yield joined()
 
 
-# What is sent on: packets of columns of 64-bit numbers. Of n-grams: their tokens, count, occurrences of the last
-# token. Of contexts: the key, occurrences, continuations seen once, twice, more often.
+# What is sent on: packets of rows. Of n-grams: their tokens, count, occurrences of the last token. Of contexts:
+# the key, occurrences, continuations seen once, twice, more often. Tokens are numbered within a packet: its
+# different tokens are written once, in order, as the steps between them, and rows by their numbers.
 _GRAMS, _CONTEXTS = b"g", b"c"
 SCHEMA = "shard int, data binary"
 
 
-def packets(kind: bytes, key: np.ndarray, columns: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as the largest needs; none for zeros alone."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(next(d for d, end in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (U, 64)) if most < 1 << end))
+
+
+def packed(kind: bytes, tokens: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
+    known, numbers = np.unique(np.concatenate(tokens), return_inverse=True)
+    numbers = numbers.reshape(len(tokens), -1)
+    order = np.lexsort(numbers[::-1])
+    first, *others = numbers[:, order]
+    columns = [narrow(x) for x in (np.diff(first, prepend=0), *others, *(c[order] for c in counts))]
+    head = np.array([len(known), len(first), len(tokens), *(x.itemsize for x in columns)], U)
+    steps = np.diff(known, prepend=U(0)).view(np.uint8).reshape(-1, 8).T  # like bytes beside each other
+    body = b"".join([np.ascontiguousarray(steps).tobytes(), *(x.tobytes() for x in columns)])
+    return kind + bytes([len(head)]) + head.tobytes() + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpacked(data: bytes) -> tuple[bytes, np.ndarray]:
+    """The kind, and a matrix with a row for each token's place and each count."""
+    head = np.frombuffer(data[2 : 2 + 8 * data[1]], U).astype(int)
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2 + 8 * data[1] :]), np.uint8)
+    (n_known, n, n_tokens), sizes = head[:3], head[3:]
+    known = np.cumsum(np.ascontiguousarray(body[: 8 * n_known].reshape(8, -1).T).view(U).ravel(), dtype=U)
+    at, columns = 8 * n_known, []
+    for size in sizes:
+        columns.append(body[at : at + n * size].view(f"u{size}"))
+        at += n * size
+    columns[0] = np.cumsum(columns[0], dtype=np.int64)
+    return data[:1], np.stack([known[x] for x in columns[:n_tokens]] + [x.astype(U) for x in columns[n_tokens:]])
+
+
+def packets(kind: bytes, key: np.ndarray, tokens: list[np.ndarray], counts: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
     """Rows sorted by ``key``, as a packet for each shard."""
     shard = (key >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
     cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-    table, pack = np.stack(columns).astype(U, copy=False), zstandard.ZstdCompressor(level=1)
     for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
-        yield int(shard[a]), kind + bytes([len(columns)]) + pack.compress(np.ascontiguousarray(table[:, a:b]).tobytes())
-
-
-def unpacked(data: bytes) -> tuple[bytes, np.ndarray]:
-    found = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), U)
-    return data[:1], found.reshape(data[1], -1)
+        yield int(shard[a]), packed(kind, [t[a:b] for t in tokens], [c[a:b] for c in counts])
 
 
 def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,12 +250,12 @@ def counter(order: int, bits: int):
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def all_packets() -> Iterator[tuple[int, bytes]]:
-            for _, tokens in chunks(texts_of(found), order):
+            for _, tokens in chunks(texts_of(found), order, TOKENS):
                 key = key_of(tokens)
                 at, first = grouped(key)
                 n = np.diff(np.append(first, len(key))).astype(U)
                 at = at[first]
-                yield from packets(_GRAMS, key[at], [*(t[at] for t in tokens), n, n], bits)
+                yield from packets(_GRAMS, key[at], [t[at] for t in tokens], [n, n], bits)
             give_back()
 
         yield from rows_of(all_packets())
@@ -244,14 +275,15 @@ def local(uri: str) -> str:
 
 
 def save(path: str, columns: list[np.ndarray]) -> None:
-    """Arrays one after the other behind a head (rows, bytes of a number of each), renamed into place."""
-    narrow = [x if k == 0 or len(x) and x.max() >= 1 << 32 else x.astype(np.uint32) for k, x in enumerate(columns)]
+    """Arrays one after the other behind a head (rows, bytes of a number of each), renamed into place. Zeros alone take no bytes."""
+    columns = [columns[0], *map(narrow, columns[1:])]
     temporary = f"{path}.{uuid.uuid4().hex}"
     with open(temporary, "wb") as out:
-        out.write(np.array([len(columns[0]), *(x.itemsize for x in narrow)], U).tobytes())
-        for x in narrow:
-            out.write(x.tobytes())
-            out.write(bytes(-x.nbytes % 8))
+        out.write(np.array([len(columns[0]), *(x.itemsize if x.any() else 0 for x in columns)], U).tobytes())
+        for x in columns:
+            if x.any():
+                out.write(x.tobytes())
+                out.write(bytes(-x.nbytes % 8))
     os.replace(temporary, path)
 
 
@@ -264,7 +296,7 @@ def mapped(path: str, columns: int) -> list[np.ndarray] | None:
     n, at, out = int(head[0]), 8 * (columns + 1), []
     for k in range(columns):
         size = int(head[k + 1])
-        out.append(raw[at : at + n * size].view(U if size == 8 else np.uint32))
+        out.append(raw[at : at + n * size].view(f"u{size}") if size else np.broadcast_to(np.uint8(0), n))
         at += -(-n * size // 8) * 8
     return out
 
@@ -308,12 +340,12 @@ def merged(order: int, top: int, folder: str, bits: int, shard: int, found: list
     at, first = grouped(context)
     rows = [n, *(cond.astype(U) for cond in (n == 1, n == 2, n > 2))]
     rows = [np.add.reduceat(x[at], first) if len(first) else x for x in rows]
-    yield from packets(_CONTEXTS, context[at[first]], [context[at[first]], *rows], bits)
+    yield from packets(_CONTEXTS, context[at[first]], [context[at[first]]], rows, bits)
     lower = key_of(tokens[1:])
     at, first = grouped(lower)
     rows = [np.add.reduceat(x[at], first) if len(first) else x for x in (np.ones(len(n), U), seen)]
     one = at[first]
-    yield from packets(_GRAMS, lower[one], [*(t[one] for t in tokens[1:]), *rows], bits)
+    yield from packets(_GRAMS, lower[one], [t[one] for t in tokens[1:]], rows, bits)
 
 
 def merger(order: int, top: int, folder: str, bits: int):
@@ -381,16 +413,14 @@ def fit(docs: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) ->
     """The model of the texts of ``docs``: counted, summed and written by Spark, order by order."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_or_empty()) + 1), F.lit(0))).first()[0]
-    bits = max(0, math.ceil(math.log2(max(1, size / shard_bytes))))
-    # More shards than partitions, so that partitions are near equal.
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 4)
-    bits = max(bits, math.ceil(math.log2(4 * partitions)))
+    bits = math.ceil(math.log2(max(1, size / shard_bytes, 2 * spark.sparkContext.defaultParallelism)))
     folder = f"{local(shared_dir(spark))}/ngrams-{uuid.uuid4().hex}"
     os.makedirs(folder)
     texts = docs.select(text_or_empty().cast("binary").alias("text"))
     found = texts.mapInArrow(counter(order, bits), SCHEMA)
     for k in range(order, 0, -1):
-        found = found.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(merger(k, order, folder, bits), SCHEMA)
+        # A partition for each shard; told counts (-1) go along with the last.
+        found = found.repartitionById(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(merger(k, order, folder, bits), SCHEMA)
     names = Counts._fields
     told = F.split(F.col("data").cast("string"), ",")
     told = found.select(told[0].cast("int").alias("order"), *(told[k + 1].cast("long").alias(c) for k, c in enumerate(names)))
@@ -485,7 +515,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *values], names)
 
-        for number, tokens in chunks(texts(), model.order):
+        for number, tokens in chunks(texts(), model.order, SCORED):
             seen, score = tables.score(tokens)
             base = np.log10((seen + 0.5) / base_total)
             number = number - first

@@ -355,14 +355,13 @@ def test_probabilities_add_up_to_one():
 def test_token_hashes_in_pieces(monkeypatch):
     """Texts cut into pieces and portions have the n-grams of whole texts, and equal words equal hashes."""
     texts = [(t or "").encode() for t in odd_texts()] * 2
-    whole = list(language_model.chunks(iter(texts), 3))
+    whole = list(language_model.chunks(iter(texts), 3, 10**6))
     assert len(whole) == 1
     hashes = dict(zip([w for t in texts for w in [*t.lower().split(), None]], whole[0][1][2].tolist(), strict=True))
     assert len(set(hashes.values())) == len(hashes)
     assert whole[0][1][2].tolist() == [hashes[w] for t in texts for w in [*t.lower().split(), None]]
     monkeypatch.setattr(language_model, "PIECE", 50)
-    monkeypatch.setattr(language_model, "TOKENS", 90)
-    parts = list(language_model.chunks(iter(texts), 3))
+    parts = list(language_model.chunks(iter(texts), 3, 90))
     assert len(parts) > 20
     assert np.concatenate([n for n, _ in parts]).tolist() == whole[0][0].tolist()
     for k in range(3):
