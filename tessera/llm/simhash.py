@@ -242,8 +242,12 @@ def midpoint_links(nodes: DataFrame) -> DataFrame:
     return near.join(lowest.select("mid", "b"), "mid").filter("a <> b").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, long_keys: int = LONG_KEYS) -> DataFrame:
-    """One row per document: its fingerprint and the smallest ``doc_id`` of its component."""
+def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, long_keys: int = LONG_KEYS, groups: bool = False) -> DataFrame:
+    """One row per document: its fingerprint and the smallest ``doc_id`` of its component.
+
+    ``groups``: also ``group``, a number of the component, which tells apart those that repeated ids name alike.
+    """
+    more = ["root"] if groups else []
     rows = materialise(fingerprints(docs), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n"))
     nodes = materialise(nodes, "nodes")
@@ -257,12 +261,14 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, long_keys
     # are met by broadcast where they are few: a component may have very many rows.
     linked = materialise(nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "lowest", "root"), "linked")
     names = linked.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    linked = linked.join(small_side(names), "root").select("fp", "component_id")
+    linked = linked.join(small_side(names), "root").select("fp", "component_id", *more)
     # All other documents but equal ones are components of their own.
     equal = nodes.filter("n > 1").join(roots, F.col("fp") == F.col("node"), "left_anti")
-    named = materialise(linked.unionByName(equal.select("fp", F.col("lowest").alias("component_id"))), "named")
+    named = linked.unionByName(equal.select("fp", F.col("lowest").alias("component_id"), *(F.col("fp").alias(c) for c in more)))
+    named = materialise(named, "named")
     return rows.join(small_side(named.withColumn("_known", F.lit(True))), "fp", "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *(F.coalesce(c, "fp").alias("group") for c in more),
     )

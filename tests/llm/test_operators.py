@@ -858,6 +858,19 @@ def test_decontamination_passages(spark):
 # pipeline
 
 
+def test_pipeline_loses_no_text_of_a_shared_id(spark):
+    a, b, c = "one text about a river and a stone", "quite another text, which occurs only once in here", "the third of these has different words again"
+    rows = [(3, a, "x", 1), (5, a, "y", 2), (5, b, "y", 3), (7, c, "z", 4), (5, b, "y", 3), (None, c + " not", "n", 5), (8, None, "o", 6), (8, b + " and more words follow here", "o", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, fingerprint long")
+    kept = sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()), key=str)
+    assert kept == sorted([rows[0], rows[2], rows[3], rows[5], rows[6], rows[7]], key=str)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(1, "so: " + item, "s", 1), (1, a, "s", 2), (2, b, "s", 3), (3, item, "s", 4), (None, item, "s", 5), (1, b, "s", 6)]
+    kept = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, df.schema), SF)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
 def test_pipeline_stages(spark, docs, texts, empty, tmp_path):
     out = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
