@@ -8,8 +8,8 @@ the stages are tested against plain Python versions instead.
 
 Edge cases: an empty table passes through all stages and packs into no rows; rows
 without ``doc_id`` cannot be named by a group, a benchmark hit or a span of their
-own and are kept; of rows that repeat a ``doc_id`` and a text, near-duplicate removal
-keeps one; additional columns are carried along unread, whatever their names.
+own and are kept; rows that share a ``doc_id`` are judged each by its text, and of those
+in one group of near duplicates one stays; additional columns are carried along unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,30 +34,52 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col(f"{_OWN}score") < 0.5).select(*docs.columns)
 
 
+def _repeated_ids(df: DataFrame) -> DataFrame:
+    """Ids that several rows have, which then name no row."""
+    again = df.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(f"{_OWN}id")).count()
+    return materialise(again.filter("count > 1").select(f"{_OWN}id"), "repeated")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked fingerprints the document with the smallest id stays.
 
-    Rows that share an id and a text are one document; the row that sorts first stays.
+    Rows that share an id are told apart by their fingerprints; of those in one component
+    the row that sorts first stays.
     """
-    found = materialise(simhash.near_duplicates(docs).select("doc_id", "component_id"), "components")
+    found = materialise(simhash.near_duplicates(docs, groups=True), "components")
     key = F.col("doc_id").cast("long")
+    again = _repeated_ids(found)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(f"{_OWN}id")).distinct()
-    kept = docs.join(small_side(gone), key == F.col(f"{_OWN}id"), "left_anti")
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    again = again.select(F.col("doc_id").alias(f"{_OWN}id"))
     if again.isEmpty():
-        return kept
-    rows = F.struct(*docs.columns)
-    repeated = kept.join(again, key == F.col(f"{_OWN}id"), "left_semi").groupBy("doc_id", "text")
-    repeated = repeated.agg(F.min_by(rows, F.to_json(rows)).alias(f"{_OWN}row")).select(f"{_OWN}row.*")
-    return kept.join(again, key == F.col(f"{_OWN}id"), "left_anti").unionByName(repeated)
+        return docs.join(small_side(gone), key == F.col(f"{_OWN}id"), "left_anti")
+    kept = docs.join(small_side(gone.unionByName(again).distinct()), key == F.col(f"{_OWN}id"), "left_anti")
+    # A row's own number stands for its id while its fingerprint is taken.
+    number, row = f"{_OWN}number", f"{_OWN}row"
+    rows = docs.join(again, key == F.col(f"{_OWN}id"), "left_semi")
+    rows = materialise(rows.select(F.xxhash64("doc_id", "text").alias(number), F.struct(*docs.columns).alias(row)), "rows")
+    prints = simhash.fingerprints(rows.select(F.col(number).alias("doc_id"), F.col(f"{row}.text").alias("text"))).distinct()
+    prints = prints.select(F.col("doc_id").alias(number), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias(f"{_OWN}id"), "fingerprint", "group").distinct()
+    same = (F.col(f"{row}.doc_id").cast("long") == F.col(f"{_OWN}id")) & (prints["fingerprint"] == heads["fingerprint"])
+    stay = rows.join(prints, number).join(heads, same).groupBy(f"{_OWN}id", "group").agg(F.min_by(row, F.to_json(row)).alias(row))
+    return kept.unionByName(stay.select(f"{row}.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, re-parameterised or not, go."""
-    hits = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark item, re-parameterised or not, go.
+
+    Rows that share an id are judged each by its own text, under a number of its own.
+    """
+    again, name = _repeated_ids(docs), F.col("doc_id").cast("long")
+    told = docs
+    if not again.isEmpty():
+        told = docs.join(again, name == F.col(f"{_OWN}id"), "left")
+        name = F.when(F.col(f"{_OWN}id").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(name)
+    # The stage's columns and the name under which a row is judged.
+    told = told.select(F.struct(*docs.columns).alias(f"{_OWN}row"), name.alias("doc_id"), "text")
+    hits = decontamination.contaminated(told.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     gone = materialise(hits.select(F.col("doc_id").alias(f"{_OWN}id")).distinct(), "contaminated")
-    return docs.join(small_side(gone), F.col("doc_id").cast("long") == F.col(f"{_OWN}id"), "left_anti")
+    return told.join(small_side(gone), F.col("doc_id") == F.col(f"{_OWN}id"), "left_anti").select(f"{_OWN}row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
