@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 BLANK = r"^\s*$"
 
 
-def scan_session(messages: DataFrame, bot_id: str, user_id) -> DataFrame:
-    return messages.filter((F.col("bot_id") == bot_id) & (F.col("user_id") == user_id)).orderBy("id")
+def scan_session(messages: DataFrame, bot_id: str, user_id, collation: str | None = None) -> DataFrame:
+    """A conversation in order; under a ``collation`` the bot is meant however it is spelled (no filter is pushed down then)."""
+    bot = F.col("bot_id") if collation is None else F.collate("bot_id", collation)
+    return messages.filter((bot == bot_id) & (F.col("user_id") == user_id)).orderBy("id")
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:

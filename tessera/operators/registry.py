@@ -7,20 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .collated import collated, join
 
-def upsert(old: DataFrame, new: DataFrame, key: str, attributes: Sequence[str], now: str) -> DataFrame:
-    """New attributes win unless null; ``last_active_at`` of upserted rows becomes ``now``."""
-    o, n = old.alias("o"), new.alias("n")
+
+def upsert(old: DataFrame, new: DataFrame, key: str, attributes: Sequence[str], now: str, collation: str | None = None) -> DataFrame:
+    """New attributes win unless null; ``last_active_at`` of upserted rows becomes ``now``.
+
+    Under a ``collation`` keys that differ in spelling alone are one, and a row keeps the
+    spelling that it was inserted with. Both sides have one row a key (``collated.one_each``).
+    """
+    o, n = (collated(df, [key], collation).alias(name) for df, name in ((old, "o"), (new, "n")))
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
     return joined.select(
-        F.coalesce(f"n.{key}", f"o.{key}").alias(key),
+        F.coalesce(f"o.{key}", f"n.{key}").cast(old.schema[key].dataType).alias(key),
         *(F.coalesce(f"n.{a}", f"o.{a}").alias(a) for a in attributes),
         F.coalesce("o.created_at", "n.created_at").alias("created_at"),
         F.when(F.col(f"n.{key}").isNotNull(), F.lit(now).cast("timestamp_ntz")).otherwise(F.col("o.last_active_at")).alias("last_active_at"),
     )
 
 
-def delete(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+def delete(df: DataFrame, gone: DataFrame, key: str, collation: str | None = None) -> DataFrame:
+    if collation is not None:
+        return join(df, gone.select(key).distinct(), [key], "left_anti", collation)
     return df.join(gone.select(key).distinct(), key, "left_anti")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import messages as M
+from ..operators.collated import COLLATION
 from ..sources import streams as N
 from .catalog import query
 
@@ -32,6 +33,11 @@ def _(t):
     return M.scan_session(t.chat, "bot_1", 6)
 
 
+@query("scan_conversation_collated", "SELECT * FROM chat WHERE lower(strip_accents(rtrim(bot_id))) = 'bot_1' AND user_id = 6 ORDER BY id", "chat")
+def _(t):
+    return M.scan_session(t.chat, "BÖT_1 ", 6, COLLATION)
+
+
 @query("latest_id", "SELECT bot_id, user_id, max(id) AS latest FROM chat GROUP BY ALL", "chat")
 def _(t):
     return t.chat.groupBy(*KEYS).agg(F.max("id").alias("latest"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import collated as C
 from ..operators import lifecycle as L
 from ..operators import metrics as X
 from ..operators import registry as R
@@ -160,6 +161,36 @@ def _(t):
     return R.upsert(t.registry_old, t.registry_new, "bot_id", ["label", "wechat_user_id"], "2024-02-01 00:00:00")
 
 
+FOLDED = "lower(strip_accents(rtrim(bot_id)))"
+
+
+@query(
+    "registry_upsert_collated",
+    f"""WITH n AS (SELECT {FOLDED} AS k, arg_min(bot_id, event_id) AS bot_id, arg_max(label, event_id) FILTER (label IS NOT NULL) AS label,
+      arg_max(wechat_user_id, event_id) FILTER (wechat_user_id IS NOT NULL) AS wechat_user_id, min(ts) AS created_at FROM registry_spelled GROUP BY 1),
+    o AS (SELECT *, {FOLDED} AS k FROM registry_old WHERE length(bot_id) < 7)
+    SELECT coalesce(o.bot_id, n.bot_id) AS bot_id, coalesce(n.label, o.label) AS label, coalesce(n.wechat_user_id, o.wechat_user_id) AS wechat_user_id, coalesce(o.created_at, n.created_at) AS created_at,
+      CASE WHEN n.k IS NOT NULL THEN TIMESTAMP '2024-02-01 00:00:00' ELSE o.last_active_at END AS last_active_at FROM o FULL JOIN n ON o.k = n.k""",
+    "registry_old",
+    "registry_spelled",
+)
+def _(t):
+    new = C.one_each(t.registry_spelled, "bot_id", ["label", "wechat_user_id", "ts"], "event_id")
+    first = C.one_each(t.registry_spelled, "bot_id", [], "ts").select("bot_id", F.col("_since").alias("created_at"))
+    new = C.join(new.drop("ts", "_since"), first, ["bot_id"])
+    return R.upsert(t.registry_old.filter("length(bot_id) < 7"), new, "bot_id", ["label", "wechat_user_id"], "2024-02-01 00:00:00", C.COLLATION)
+
+
+@query("registry_delete_collated", f"SELECT * FROM registry_old WHERE {FOLDED} NOT IN (SELECT {FOLDED} FROM registry_spelled WHERE event_id % 9 = 0)", "registry_old", "registry_spelled")
+def _(t):
+    return R.delete(t.registry_old, t.registry_spelled.filter("event_id % 9 = 0"), "bot_id", C.COLLATION)
+
+
+@query("writes_by_collated_bot", f"SELECT o.bot_id, count(*) AS writes, max(event_id) AS last FROM registry_old o JOIN (SELECT *, {FOLDED} AS k FROM registry_spelled) s ON lower(strip_accents(rtrim(o.bot_id))) = s.k GROUP BY 1", "registry_old", "registry_spelled")
+def _(t):
+    return C.join(t.registry_old.select("bot_id"), t.registry_spelled.select("bot_id", "event_id"), ["bot_id"]).groupBy("bot_id").agg(F.count("*").alias("writes"), F.max("event_id").alias("last"))
+
+
 @query("registry_delete", "SELECT * FROM registry_old WHERE bot_id NOT IN (SELECT bot_id FROM registry_new WHERE label IS NULL)", "registry_old", "registry_new")
 def _(t):
     return R.delete(t.registry_old, t.registry_new.filter("label is null"), "bot_id")

@@ -90,6 +90,12 @@ BINDINGS = {
                CASE WHEN user_id % 4 = 0 THEN NULL ELSE concat('wx2_', cast(user_id AS string)) END AS wechat_user_id,
                min(ts) AS created_at, max(ts) AS last_active_at
         FROM {events} WHERE event_type IN ('signup', 'error') GROUP BY user_id""",
+    "registry_spelled": """
+        SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('bot_', cast(user_id AS string)) WHEN 1 THEN concat('BOT_', cast(user_id AS string), '  ')
+                                           WHEN 2 THEN concat('böt_', cast(user_id AS string)) ELSE concat('Bót_', cast(user_id AS string), ' ') END AS bot_id,
+               CASE WHEN event_id % 5 < 2 THEN NULL ELSE concat('label ', cast(event_id AS string)) END AS label,
+               CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('wx3_', cast(event_id AS string)) END AS wechat_user_id, ts
+        FROM {events}""",
     "metric": """
         SELECT event_id, user_id, event_type AS type, cast(floor(value * 100) AS bigint) AS total_ms, event_id % 6 AS fc_rounds,
                event_id % 4 AS llm_calls, cast(floor(value * 40) AS bigint) AS llm_ms FROM {events}""",
