@@ -8,6 +8,7 @@ from ..functions import scalar as S
 from ..operators import documents as D
 from ..operators import registry as R
 from ..operators import routing as U
+from ..sources import feed
 from ..sources import office as O
 from .catalog import query
 
@@ -182,6 +183,23 @@ def _(t):
     return t.nation.select("n_nationkey", F.concat(live["city"], F.lit(" weather: "), live["temperature"], F.lit(" C")).alias("sentence"))
 
 
+@query("feed_pages", "SELECT page_id, url, length(html) AS chars FROM pages")
+def _(t):
+    """Messages of the feed, decoded."""
+    feed.register(t.spark)
+    messages = t.spark.read.format(feed.Feed.name()).load(f"{t.sf_dir}/pages.parquet")
+    page = F.from_json("payload", "page_id long, url string, html string")
+    return messages.select(page.alias("p")).select("p.page_id", "p.url", F.length("p.html").cast("long").alias("chars"))
+
+
+@query("feed_turns", "SELECT role, count(*) AS n, sum(length(text))::bigint AS chars FROM conversations GROUP BY role")
+def _(t):
+    feed.register(t.spark)
+    messages = t.spark.read.format(feed.Feed.name()).load(f"{t.sf_dir}/conversations.parquet")
+    turn = messages.select(F.from_json("payload", "role string, text string").alias("m")).select("m.*")
+    return turn.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
 def _hits(quote: str) -> str:
     parts = []
     for k in range(7):

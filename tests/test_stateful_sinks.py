@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators.memory import supersede_with_deletes
 from tessera.operators.messages import newest
-from tessera.sources import sinks
+from tessera.operators import collated as C
+from tessera.operators import registry as R
+from tessera.operators.messages import scan_session
+from tessera.sources import feed, sinks
 from tessera.streaming import keyed
 
 START = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
@@ -200,3 +203,56 @@ def test_retention_by_increments(spark, tmp_path):
     same = {f for f in before if after.get(f) == before[f]}
     changed = {os.path.dirname(f) for f in after if f not in same}
     assert 1 <= len(changed) <= 2 and len(same) == len(before) - len(changed)
+
+
+def decoded(df):
+    return sorted((r["m"]["id"], r["m"]["text"], r["m"]["at"]) for r in df.select(F.from_json("payload", "id long, text string, at string").alias("m")).collect())
+
+
+def test_feed_in_batch_and_stream_after_a_restart(spark, tmp_path):
+    feed.register(spark)
+    source, rows = f"{tmp_path}/in", []
+
+    def more(first, n):
+        own = [(i, None if i % 7 == 0 else f'te"xt {i} é\n🙂', datetime.date(2024, 1, 1)) for i in range(first, first + n)]
+        rows.extend(own)
+        spark.createDataFrame(own, "id long, text string, at date").coalesce(1).write.mode("append").option("parquet.block.size", 1024).parquet(source)
+
+    def start():
+        stream = spark.readStream.format("tessera_feed").option("filesPerBatch", 1).load(source)
+        return stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").start()
+
+    more(0, 2500)
+    more(2500, 10)
+    more(2510, 0)
+    query = start()
+    query.processAllAvailable()
+    query.stop()
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 2
+    more(2510, 30)
+    query = start()
+    query.processAllAvailable()
+    query.stop()
+    wanted = sorted((i, t, str(a)) for i, t, a in rows)
+    assert decoded(spark.read.format("tessera_feed").load(source)) == wanted
+    assert decoded(spark.read.parquet(f"{tmp_path}/out")) == wanted
+    one = next(p for p in os.listdir(source) if p.endswith(".parquet"))
+    found = spark.read.format("tessera_feed").load(f"file://{source}/{one}")
+    assert found.count() == spark.read.parquet(f"{source}/{one}").count()
+
+
+def test_collated_keys(spark):
+    old = spark.createDataFrame([("Ångel", "a", None), ("bob", None, "x"), ("carl", "c", "c")], "bot_id string, label string, wechat_user_id string")
+    old = old.withColumns({c: F.lit(None).cast("timestamp_ntz") for c in ("created_at", "last_active_at")})
+    said = [("angel ", None, "1", 1), ("ANGEL", "new", None, 2), ("ängel", None, "2", 3), ("dora", "d", "d", 4), ("Bob", None, None, 5), (None, "n", "n", 6)]
+    new = C.one_each(spark.createDataFrame(said, "bot_id string, label string, wechat_user_id string, n long"), "bot_id", ["label", "wechat_user_id"], "n")
+    new = new.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+    found = R.upsert(old, new, "bot_id", ["label", "wechat_user_id"], "2024-01-01 00:00:00", C.COLLATION)
+    assert found.schema["bot_id"].dataType == old.schema["bot_id"].dataType
+    rows = {r["bot_id"]: (r["label"], r["wechat_user_id"], r["last_active_at"] is not None) for r in found.collect()}
+    assert rows == {"Ångel": ("new", "2", True), "bob": (None, "x", True), "carl": ("c", "c", False), "dora": ("d", "d", True), None: ("n", "n", False)}
+    left = R.delete(old, spark.createDataFrame([("CARL  ",), ("b",)], "bot_id string"), "bot_id", C.COLLATION)
+    assert sorted(r["bot_id"] for r in left.collect()) == ["bob", "Ångel"]
+    chat = spark.createDataFrame([(1, "Bot", 1), (2, "bot ", 1), (3, "bot", 2), (4, "robot", 1)], "id long, bot_id string, user_id long")
+    assert [r["id"] for r in scan_session(chat, "BÖT", 1, C.COLLATION).collect()] == [1, 2]
+    assert [r["id"] for r in scan_session(chat, "Bot", 1).collect()] == [1]
