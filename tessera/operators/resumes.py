@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import date_range, html_escape
@@ -422,3 +422,19 @@ def html(r: Column, editable: bool = False, style: str = "") -> Column:
     lang = F.concat(F.lit('<!doctype html><html lang="'), word_for("zh-CN", "en"), F.lit('">'))
     head = _tag("head", F.lit('<meta charset="utf-8">'), _tag("title", safe(r["name"]), F.lit(" - "), target), _tag("style", F.lit(style)))
     return F.concat(lang, head, _tag("body", *parts), F.lit("</html>"))
+
+
+#: Operations on parsed resumes by name, each ``f(resume, **arguments)``.
+OPERATIONS: dict[str, Callable[..., Column]] = {
+    "generate_resume": lambda r, template="default": word(r, template),
+    "generate_html": lambda r, editable=False, style="": html(r, editable, style),
+    "generate_markdown": lambda r: markdown(r),
+}
+
+
+def operate(resumes: DataFrame, operation: str, column: str = "r", out: str = "result", **arguments) -> DataFrame:
+    """``resumes`` with the result of one of ``OPERATIONS``; no name and unknown names are refused with those there are."""
+    name = (operation or "").strip()
+    if name not in OPERATIONS:
+        raise ValueError(f"unknown operation: {operation!r}; there are {', '.join(OPERATIONS)}")
+    return resumes.withColumn(out, OPERATIONS[name](F.col(column), **arguments))

@@ -38,6 +38,50 @@ VOICES = {
 }
 # What a message without a single domain is prefaced with, before the list of tools.
 FALLBACK = "系统未能精确识别您的意图，已进入自主决策模式。\n请根据用户问题，自行判断需要调用哪些工具。如果不确定，可以反问用户澄清。\n\n可用工具：\n"
+# What a message of a domain is prefaced with.
+GUIDELINES = {
+    "company": """【企业研究类任务执行准则】
+
+当你面对企业研究类任务时，请遵循以下业界通用分析方法：
+
+1. 信息完整性原则：一份高质量的企业分析报告应包含"工商基本面"和"行业动态/政策面"两个维度。
+2. 工具调用策略：
+   - 如果用户仅询问"公司地址/法人"等事实性问题，只需调用 search_company_info。
+   - 如果用户要求"分析前景"、"发展规划"、"是否值得投资"，请按序调用 search_company_info（获取基本面）和 search_industry_news（获取政策与动态），最后整合成结构化报告。
+3. 异常处理：如果某个工具返回空数据或报错，请不要中断整个流程。基于已有的部分数据生成结论，并明确告知用户缺失的部分。"""
+}
+# The tools in the order of their registration: name, domain, description.
+TOOLS = (
+    ("get_weather", "weather", "查询指定城市的实时天气，返回天气状况、气温、湿度、风力风向等信息"),
+    ("word_document", "document", "操作Word文档，支持创建文档、添加多级标题、修改标题、调整标题格式（字体/加粗/斜体/下划线/颜色）、设置首行缩进、发送文件给用户。当用户需要创建或编辑Word文档时调用此工具。file_path 可从之前工具调用的返回结果中获取。"),
+    ("create_excel", "document", "创建或修改 Excel 表格（.xlsx）。支持新建含标题行的表格、追加数据到已有表格。当用户需要将查询结果整理成结构化表格时调用此工具。"),
+    ("word_to_pdf", "document", "将Word文档(.doc/.docx)转换为PDF并自动发送给用户。适用于：1) 将 word_document 工具生成的 Word 文件转为 PDF；2) 用户上传的 Word 文件转为 PDF。转换完成后会直接发送给用户。"),
+    ("resume", "document", "简历生成与管理工具。支持从结构化信息生成 Word/HTML/Markdown 格式的简历。当用户要求生成简历时调用：先用对话收集个人信息，再用 generate_resume 生成简历文件。详细的简历编写规则和模板位于 resources/resume-builder/ 目录下。"),
+    ("generate_image", "draw", "AI生成图片。当用户要求画图、生成图片时调用，返回本地图片路径，可用于后续插入Word文档等操作。"),
+    ("search_company_info", "company", "根据公司名称查询企业的完整工商档案，包括法人、注册资本、成立时间、经营范围、股东、主要人员、对外投资。当用户需要了解某家公司基本信息时调用。"),
+    ("search_industry_news", "company", "联网搜索行业政策、公司动态、发展规划等最新信息。当用户需要了解行业趋势、政策动向、公司最新动态时调用。"),
+    ("remember", "general", '管理用户的长期笔记：写入、查看、删除。笔记会持久化保存并在后续对话中自动注入，不会被自动覆盖，需要时由用户主动删除。当用户说"记住xxx"、"提醒我xxx"、"记一下xxx"时调用。'),
+)
+# The tools' own parameters: tool, name, type, required.
+PARAMETERS = (
+    ("get_weather", "city", "string", True),
+    ("word_document", "operation", "string", True),
+    ("word_document", "file_path", "string", False),
+    ("create_excel", "file_path", "string", False),
+    ("create_excel", "sheet_name", "string", False),
+    ("create_excel", "headers", "string", False),
+    ("create_excel", "data_rows", "string", False),
+    ("create_excel", "append", "boolean", False),
+    ("word_to_pdf", "file_path", "string", True),
+    ("resume", "operation", "string", True),
+    ("generate_image", "prompt", "string", True),
+    ("search_company_info", "company_name", "string", True),
+    ("search_industry_news", "query", "string", True),
+    ("search_industry_news", "time_range", "string", False),
+    ("remember", "operation", "string", True),
+    ("remember", "content", "string", False),
+    ("remember", "note_id", "integer", False),
+)
 #: Tools are sent to every executor up to so many rows; longer lists are met by a shuffled join.
 MAX_LISTED = 100_000
 
@@ -82,6 +126,23 @@ def catalog(tools: DataFrame) -> DataFrame:
     return tools.agg(F.array_join(F.transform(rows, lambda x: x["l"]), "\n").alias("catalog"))
 
 
+def catalogs(offered: DataFrame, tools: DataFrame, key: str) -> DataFrame:
+    """``(key, catalog)``: for each row the lines of the tools that it was offered, in their order. Equal offers are written once."""
+    sets = offered.groupBy(key).agg(F.array_sort(F.collect_set("ord")).alias("_set"))
+    line = F.concat(F.lit("- "), "name", F.lit(": "), "description")
+    kinds = sets.select("_set").distinct()
+    lines = kinds.select("_set", F.explode("_set").alias("ord")).join(tools.select("ord", line.alias("_line")), "ord")
+    lines = lines.groupBy("_set").agg(F.array_sort(F.collect_list(F.struct("ord", "_line"))).alias("_rows"))
+    return sets.join(lines, "_set").select(key, F.array_join(F.transform("_rows", lambda x: x["_line"]), "\n").alias("catalog"))
+
+
+def offered_parameters(offered: DataFrame, parameters: DataFrame, key: str) -> DataFrame:
+    """``(key, param, tool, type, required)``: the parameters of all tools that a row was offered; of one name the first tool's holds."""
+    rows = offered.select(key, "ord", F.col("name").alias("tool")).join(parameters, "tool")
+    first = F.min(F.struct("ord", "tool", "type", "required")).alias("first")
+    return rows.groupBy(key, "param").agg(first).select(key, "param", "first.tool", "first.type", "first.required")
+
+
 def with_prompt(routed: DataFrame, tools: DataFrame, guidelines: dict[str, str]) -> DataFrame:
     """``prompt``: the fallback text with the list of tools, or the domain's guidelines, or null."""
     own = F.lit(None).cast("string")

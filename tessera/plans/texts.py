@@ -47,14 +47,35 @@ def _(t):
 @query(
     "route_prompt",
     f"""WITH {ROUTED}, c AS (SELECT string_agg('- ' || name || ': ' || description, chr(10) ORDER BY ord) AS catalog FROM tools)
-    SELECT id, CASE WHEN is_fallback THEN '{U.FALLBACK}' || catalog WHEN domain = 'company' THEN 'Research both sides.' END AS prompt FROM r, c""",
+    SELECT id, CASE WHEN is_fallback THEN '{U.FALLBACK}' || catalog WHEN domain = 'company' THEN '{U.GUIDELINES["company"]}' END AS prompt FROM r, c""",
     "asks",
     "signals",
     "tools",
 )
 def _(t):
     routed = U.route(t.asks, U.signal_table(t.spark), "id")
-    return U.with_prompt(routed, t.tools, {"company": "Research both sides."}).select("id", "prompt")
+    return U.with_prompt(routed, t.tools, U.GUIDELINES).select("id", "prompt")
+
+
+OFFERED = f"{ROUTED}, o AS (SELECT id, t.ord, t.name, t.description FROM r JOIN tools t ON r.domain = t.domain OR t.domain = 'general' OR is_fallback)"
+
+
+@query("offered_catalog", f"WITH {OFFERED} SELECT id, string_agg('- ' || name || ': ' || description, chr(10) ORDER BY ord) AS catalog FROM o GROUP BY id", "asks", "signals", "tools")
+def _(t):
+    offered = U.tools_of(U.route(t.asks, U.signal_table(t.spark), "id"), t.tools)
+    return U.catalogs(offered, t.tools, "id")
+
+
+@query(
+    "offered_parameters",
+    f"WITH {OFFERED} SELECT id, param, arg_min(tool, ord) AS tool, arg_min(type, ord) AS type, arg_min(required, ord) AS required FROM o JOIN parameters p ON o.name = p.tool GROUP BY id, param",
+    "asks",
+    "signals",
+    "tools",
+    "parameters",
+)
+def _(t):
+    return U.offered_parameters(U.tools_of(U.route(t.asks, U.signal_table(t.spark), "id"), t.tools), t.parameters, "id")
 
 
 @query("dispatch_unknown", "SELECT event_id, n AS name, coalesce(description, 'unknown tool: ' || n) AS answer FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'remember' WHEN event_type = 'view' THEN 'get_weather' ELSE event_type END AS n FROM events) LEFT JOIN tools ON n = name", "tools")

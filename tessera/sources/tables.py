@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..operators.routing import SIGNALS, VOICES
+from ..operators.routing import PARAMETERS, SIGNALS, TOOLS, VOICES
 
 RAW = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -112,9 +112,10 @@ BINDINGS = {
         SELECT * FROM (VALUES {_values((i, d, x) for i, (d, x) in enumerate(((d, x) for d, words in SIGNALS.items() for x in words), 1))}) AS t(ord, domain, signal)""",
     "voices": f"""
         SELECT * FROM (VALUES {_values((i, *v) for i, v in enumerate(VOICES.items(), 1))}) AS t(ord, label, id)""",
-    "tools": """
-        SELECT * FROM (VALUES (1, 'get_weather', 'weather', 'Weather of a city'), (2, 'word_document', 'document', 'Edit a document'), (3, 'search_company_info', 'company', 'Facts of a company'),
-                              (4, 'search_industry_news', 'company', 'News of an industry'), (5, 'generate_image', 'draw', 'Draw an image'), (6, 'remember', 'general', 'Keep a note')) AS t(ord, name, domain, description)""",
+    "tools": f"""
+        SELECT * FROM (VALUES {_values((i, *t) for i, t in enumerate(TOOLS, 1))}) AS t(ord, name, domain, description)""",
+    "parameters": f"""
+        SELECT tool, param, type, required = 1 AS required FROM (VALUES {_values((*p[:3], int(p[3])) for p in PARAMETERS)}) AS t(tool, param, type, required)""",
     "asks": """
         SELECT conv_id * 1000 + turn AS id, CASE WHEN (conv_id + turn) % 13 = 0 THEN '  ' ELSE concat(text, ' ', phrase) END AS content
         FROM {conversations} JOIN (VALUES (0, '今天天气'), (1, '这个文档'), (2, '公司分析'), (3, '画图'), (4, '公司的天气'), (5, '随便聊聊'), (6, '把简历转pdf'), (7, '股价和湿度')) AS p(ord, phrase)

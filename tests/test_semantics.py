@@ -110,6 +110,30 @@ def test_resume_of_little(spark):
     assert got[0]["m"] == "# N\n\n" and "<h1>N</h1>" in got[0]["h"]
 
 
+def test_resume_operations_by_name(spark):
+    data = '{"name":"A & B","language":"en","profile":"Does things"}'
+    r = spark.createDataFrame([(1, data)], "k int, data string").select("k", resumes.parse(F.col("data")).alias("r"))
+    found = {name: resumes.operate(r, f" {name} ").first()["result"] for name in resumes.OPERATIONS}
+    assert found["generate_markdown"].startswith("# A & B") and "<h1>A &amp; B</h1>" in found["generate_html"]
+    assert [x["text"] for x in found["generate_resume"]][0] == "A & B"
+    assert resumes.operate(r, "generate_html", editable=True).first()["result"] != found["generate_html"]
+    for unknown in ("", None, "send_resume"):
+        with pytest.raises(ValueError, match="generate_resume, generate_html, generate_markdown"):
+            resumes.operate(r, unknown)
+
+
+def test_routed_prompt_is_the_guideline(spark):
+    asks = spark.createDataFrame([(1, "小米公司怎么样"), (2, "天气"), (3, "随便")], "id long, content string")
+    tools = spark.createDataFrame([(i, *t) for i, t in enumerate(U.TOOLS, 1)], "ord int, name string, domain string, description string")
+    routed = U.route(asks, U.signal_table(spark), "id")
+    prompts = {r["id"]: r["prompt"] for r in U.with_prompt(routed, tools, U.GUIDELINES).collect()}
+    assert prompts[1] == U.GUIDELINES["company"] and prompts[2] is None
+    assert prompts[3].startswith(U.FALLBACK) and prompts[3].count("\n- ") == len(U.TOOLS)
+    offered = {r["id"]: r["catalog"] for r in U.catalogs(U.tools_of(routed, tools), tools, "id").collect()}
+    assert [x.split(":")[0] for x in offered[1].split("\n")] == ["- search_company_info", "- search_industry_news", "- remember"]
+    assert prompts[3] == U.FALLBACK + offered[3]
+
+
 def test_tables_are_created_once(spark):
     tables.create_tables(spark, "tessera_test", 2)
     tables.create_tables(spark, "tessera_test", 2)
