@@ -93,21 +93,24 @@ def small_side(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
 
 
 def gapless_rank(
-    df: DataFrame, key: str, order: Sequence[str], counts: dict[int, int], out: str, rows: int = 1000
+    df: DataFrame, key: str, order: Sequence[str], counts: dict[int, int] | None, out: str, rows: int = 1000
 ) -> DataFrame:
     """Add ``out``: 0, 1, 2 ... within each ``key``, without one task per key.
 
     ``counts`` has the rows of each key (a bounded number of keys, known on the
     driver; sent to all executors up to a million). Each key is cut into as many hash buckets as it has blocks of
     ``rows`` rows; rows are numbered inside a bucket and shifted by the number of
-    rows in the buckets before it, so a hot key is spread over many tasks.
+    rows in the buckets before it, so a hot key is spread over many tasks. Without
+    ``counts`` the rows bring their key's number of buckets as ``_nb``.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType
-    buckets = spark.createDataFrame(
-        [(k, max(1, math.ceil(n / rows))) for k, n in counts.items()], f"{key} {kind.simpleString()}, _nb int"
-    )
-    dealt = df.join(F.broadcast(buckets) if len(counts) <= 1_000_000 else buckets, key).withColumn(
+    if counts is not None:
+        buckets = spark.createDataFrame(
+            [(k, max(1, math.ceil(n / rows))) for k, n in counts.items()], f"{key} {kind.simpleString()}, _nb int"
+        )
+        df = df.join(F.broadcast(buckets) if len(counts) <= 1_000_000 else buckets, key)
+    dealt = df.withColumn(
         "_bucket", F.pmod(F.xxhash64(*order, F.lit(7)), F.col("_nb")).cast("int")
     ).drop("_nb")
     ahead = (

@@ -8,8 +8,9 @@ sizes: exactly that of the single groups, but only as long as there are differen
 sizes. D of them hold at least D * D / 2 bytes, so T bytes have at most sqrt(2 T)
 (14 million at 100 TB, if every size occurred). Of many groups of one size, the
 shares of the shards are computed at once: they go where the loads plus multiples
-of the size are smallest. The schedule names runs (size, ranks, shard), at most one
-a shard for each size; executors look their groups up by rank. The law held is
+of the size are smallest. One task streams the sizes past the heap and writes a row
+for each: up to which rank its groups go to which shard. Groups find their shard by
+their rank in that row, by one join. The law held is
 ``bytes``: loads differ by about the smallest groups, unless a single group is
 larger than a shard's share.
 
@@ -21,14 +22,20 @@ table gives no rows; other columns of the input are ignored.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+import itertools
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gapless_rank, materialise, small_side, text_or_empty
 
 SHARDS = 24
+#: Groups of one size are numbered in blocks of so many.
+BLOCK = 1_000
+#: The schedule is broadcast up to so many different sizes, some 20 MB.
+BROADCAST_SIZES = 100_000
 #: A group that holds a larger share of all rows than one in so many meets its shard by broadcast.
 HOT_SHARE = 10_000
 
@@ -56,11 +63,10 @@ def level(loads: list[int], size: int, n: int) -> list[int]:
     return out
 
 
-def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-    """Runs ``(size, first_rank, end_rank, shard)`` of the groups of each size, largest first, and the loads."""
+def placements(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, int, list[int]]]:
+    """``(size, groups, how many of them each shard takes)``, for sizes that come largest first. Holds the heap alone."""
     heap = [(0, s) for s in range(shards)]
-    runs = []
-    for size, n in sorted(sizes, reverse=True):
+    for size, n in sizes:
         if n <= 2 * shards:
             taken = [0] * shards
             for _ in range(n):
@@ -72,16 +78,32 @@ def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> tuple[list[tuple[
             taken = level(loads, size, n)
             heap = [(load + k * size, s) for s, (load, k) in enumerate(zip(loads, taken, strict=True))]
             heapq.heapify(heap)
-        at = 0
-        for s, k in enumerate(taken):
-            if k:
-                runs.append((size, at, at + k, s))
-                at += k
-    return runs, [load for load, _ in sorted(heap, key=lambda x: x[1])]
+        yield size, n, taken
+
+
+def scheduled(counts: DataFrame, shards: int) -> DataFrame:
+    """``(bytes, n, ends)`` of the histogram ``(bytes, n)``: shard s takes the groups of a size with ranks from ``ends[s - 1]`` up to ``ends[s]``.
+
+    One task streams the histogram past the heap, since each step needs the one before; it
+    holds neither the histogram nor the schedule, and neither comes to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sizes() -> Iterator[tuple[int, int]]:
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+        placed = placements(sizes(), shards)
+        while part := list(itertools.islice(placed, 10_000)):
+            columns = [pa.array([size for size, _, _ in part], pa.int64()), pa.array([n for _, n, _ in part], pa.int64())]
+            ends = pa.array([list(itertools.accumulate(taken)) for _, _, taken in part], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns, ends], ["bytes", "n", "ends"])
+
+    ordered = counts.select("bytes", "n").repartition(1).sortWithinPartitions(F.desc("bytes"))
+    return ordered.mapInArrow(run, "bytes long, n long, ends array<long>")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    spark = docs.sparkSession
     text = text_or_empty()
     rows = materialise(
         docs.select(
@@ -93,15 +115,18 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "sizes",
     )
     groups = materialise(rows.groupBy("gkey").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
-    counts = {r["bytes"]: r["n"] for r in groups.groupBy("bytes").agg(F.count("*").alias("n")).toLocalIterator()}
-    runs, _ = schedule(counts.items(), shards)
-    found = spark.createDataFrame(runs or [(0, 0, 0, 0)], "bytes long, first_rank long, end_rank long, shard int")
-    ranked = gapless_rank(groups, "bytes", ["gkey"], counts or {0: 0}, "rank")
-    # At most as many runs for a size as there are shards.
-    placed = ranked.join(F.broadcast(found) if len(runs) <= 1_000_000 else found, "bytes").filter(
-        "rank >= first_rank and rank < end_rank"
-    )
-    placed = materialise(placed.select("gkey", "n", "shard"), "placed")
+    counts = groups.groupBy("bytes").agg(F.count("*").alias("n"))
+    plan = materialise(scheduled(counts, shards).withColumn("_nb", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "schedule")
+    if plan.count() <= BROADCAST_SIZES:
+        met = groups.join(F.broadcast(plan), "bytes")
+    else:
+        # Sizes with many groups are few, and meet their groups by broadcast.
+        common = small_side(plan.filter(F.col("_nb") > 100).withColumn("_common", F.lit(True)), BROADCAST_SIZES)
+        split = groups.join(common, "bytes", "left")
+        met = split.filter("_common").drop("_common").unionByName(split.filter("_common is null").select(*groups.columns).join(plan, "bytes"))
+    ranked = gapless_rank(met, "bytes", ["gkey"], None, "rank")
+    at = F.size(F.filter("ends", lambda end: end <= F.col("rank")))
+    placed = materialise(ranked.select("gkey", "n", at.cast("int").alias("shard")), "placed")
     most = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT_SHARE
     # At most HOT_SHARE groups are hot; the others have few rows each.
     hot = F.broadcast(placed.filter(F.col("n") > most).filter(F.col("n") > 1000).select("gkey", F.col("shard").alias("_hot")))

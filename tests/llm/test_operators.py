@@ -709,13 +709,31 @@ def slow_schedule(sizes, shards):
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 200), max_size=12), st.integers(1, 7))
 def test_schedule_is_that_of_single_groups(sizes, shards):
-    runs, loads = sharding.schedule(sizes.items(), shards)
-    assert loads == slow_schedule(sizes.items(), shards)
-    placed = collections.Counter()
-    for size, a, b, s in runs:
-        assert a == placed[size] and b > a and 0 <= s < shards
-        placed[size] = b
-    assert placed == collections.Counter(sizes)
+    placed = list(sharding.placements(sorted(sizes.items(), reverse=True), shards))
+    assert {size: n for size, n, _ in placed} == sizes
+    assert all(sum(taken) == n and min(taken) >= 0 for _, n, taken in placed)
+    assert [sum(size * taken[s] for size, _, taken in placed) for s in range(shards)] == slow_schedule(sizes.items(), shards)
+
+
+@pytest.mark.parametrize("sizes", [0, 100_000])
+def test_sharding_with_and_without_broadcast(spark, monkeypatch, sizes):
+    """The plan's rows meet their groups by broadcast or by a shuffle; some sizes are common."""
+    monkeypatch.setattr(sharding, "BROADCAST_SIZES", sizes)
+    monkeypatch.setattr(sharding, "BLOCK", 3)
+    texts = [f"{i:04d}" for i in range(900)] + ["x" * (i % 40) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard(df, 5).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(1200))
+    groups = collections.Counter()
+    for t in set(texts):
+        groups[(len(t) + 8) * texts.count(t)] += 1
+    loads = collections.Counter()
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+    assert [loads[s] for s in range(5)] == slow_schedule(groups.items(), 5)
+    for s in range(5):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    assert len({(texts[r["doc_id"]], r["shard"]) for r in rows}) == len(set(texts))
 
 
 def test_sharding_loads(spark):
