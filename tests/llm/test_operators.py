@@ -465,6 +465,26 @@ def test_decode(word):
     assert toxicity.decode(word, toxicity.log_model(total)) == "idiot"
 
 
+def test_toxicity_scores_against_plain_sums(spark):
+    """A score is the logistic of the bias and the weights of a text's known features, each once; unknown ones are never held."""
+    rng = random.Random(11)
+    cost = toxicity.log_model(np.ones(1 << 15))
+    words = ["idiot", "fool", "nice", "m0ron", "s t u p i d", "d.u.m.b", "a b", "!!!", "looooser", "x"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(60)] + [None, "", " ".join(rng.choice("abcdei") for _ in range(900))]
+    everything = toxicity.Restorer(cost)
+    full = [everything.features(t) for t in texts]
+    known = sorted({f for x in full[:-1] for f in x})[::2]
+    model = toxicity.Model(cost, -0.3, {f: rng.uniform(-3, 3) for f in known})
+    restorer = toxicity.Restorer(cost, model.weights)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    scores = {r["id"]: r["score"] for r in toxicity.scored(df, model).collect()}
+    for i, (t, features) in enumerate(zip(texts, full, strict=True)):
+        held = restorer.features(t)
+        assert held == features & set(known)
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(0.3 - sum(model.weights[f] for f in held))))
+    assert len(full[-1]) > 10_000 > len(known)
+
+
 def test_toxicity_segments_spaced_runs():
     texts = ["you are a moron and a stupid idiot"] * 30 + ["i said that this is the stupid thing that a moron did"] * 30
     total = np.zeros(1 << 15)
