@@ -157,6 +157,12 @@ def after_signal(c: Column, signals: Sequence[str], leads: str = "为|成|到|
     return F.coalesce(*found)
 
 
+def within(value: Column, low: int, high: int | None = None) -> Column:
+    """Whether a numeric argument is in its range; one that is missing or no number is not."""
+    inside = value >= low if high is None else value.between(low, high)
+    return F.coalesce(inside, F.lit(False))
+
+
 def image_type(name: Column) -> Column:
     low = F.lower(name)
     out = F.when(low.endswith(".png"), "png").when(low.endswith(".jpg") | low.endswith(".jpeg"), "jpeg")

@@ -172,6 +172,8 @@ def render_html(df: DataFrame, title: str, contact: Sequence[str], items: str) -
     )
 
 
+# Ranges of arguments, characters of an indent and levels of a heading.
+INDENTS, LEVELS = (0, 10), (1, 6)
 #: Operations on paragraphs by name, each ``f(paras, **arguments)``.
 OPERATIONS = {
     "modify_title": lambda paras, title: modify_title(paras, F.lit(title)),
@@ -186,6 +188,6 @@ def operate(paras: DataFrame, operation: str, **arguments) -> DataFrame:
     """One of ``OPERATIONS``; arguments out of range and unknown names are refused."""
     if operation not in OPERATIONS:
         raise ValueError(f"unknown operation: {operation}")
-    if not 0 <= arguments.get("indent_chars", 0) <= 10 or not 1 <= arguments.get("level", 1) <= 6:
+    if not INDENTS[0] <= arguments.get("indent_chars", 0) <= INDENTS[1] or not LEVELS[0] <= arguments.get("level", 1) <= LEVELS[1]:
         raise ValueError(f"{operation}: argument out of range")
     return OPERATIONS[operation](paras, **arguments)

@@ -160,10 +160,11 @@ def _(t):
     return t.documents.filter("n_chars > 0").select("doc_id", w.alias("w"), h.alias("h"))
 
 
-@query("arg_guards", "SELECT event_id, event_id % 13 BETWEEN 0 AND 10 AS indent_ok, event_id % 8 BETWEEN 1 AND 6 AS level_ok, event_id - 5 > 0 AS note_ok FROM events")
+@query("arg_guards", "SELECT event_id, k BETWEEN 0 AND 10 AS indent_ok, k BETWEEN 1 AND 6 AS level_ok, k > 0 AS note_ok FROM (SELECT event_id, (props ->> '$.k')::bigint - 40 AS k FROM events)")
 def _(t):
-    e = F.col("event_id")
-    return t.events.select("event_id", (e % 13).between(0, 10).alias("indent_ok"), (e % 8).between(1, 6).alias("level_ok"), (e - 5 > 0).alias("note_ok"))
+    """Arguments as they come in a call's JSON."""
+    k = F.get_json_object("props", "$.k").cast("long") - 40
+    return t.events.select("event_id", S.within(k, *D.INDENTS).alias("indent_ok"), S.within(k, *D.LEVELS).alias("level_ok"), S.within(k, 1).alias("note_ok"))
 
 
 @query(
@@ -382,7 +383,7 @@ def _(t):
     return lists.select("o_custkey", F.size("a").cast("long").alias("n_orders"), F.size("b").cast("long").alias("n_priorities"))
 
 
-@query("provider_stub")
+@query("provider_stub", "SELECT item_id, text AS prompt, 'reply: ' || text AS answer FROM benchmark")
 def _(t):
     from ..sources.providers import Echo, complete
 

@@ -9,6 +9,7 @@ left out of what is written.
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -23,11 +24,14 @@ from pyspark.sql import functions as F
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _S = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-_P = "http://schemas.openxmlformats.org/package/2006"
+_P = "http://schemas.openxmlformats.org/package/2006/relationships"
+_T = "http://schemas.openxmlformats.org/package/2006/content-types"
 _DOC = "application/vnd.openxmlformats-officedocument"
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 
 
+#: Numbers as they are written plainly: no exponent, no leading zeros, no words such as nan.
+_NUMBER = re.compile(r"-?(0|[1-9][0-9]*)(\.[0-9]+)?")
 #: Characters that XML cannot hold.
 _NO_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
@@ -36,12 +40,31 @@ def _safe(text: str | None) -> str:
     return escape(_NO_XML.sub("", text or ""))
 
 
-def _part(content: bytes | None, name: str) -> ElementTree.Element | None:
-    try:
-        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-            return ElementTree.fromstring(z.read(name))
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-        return None
+class _Container:
+    """The parts of a file, found through its relations; of what is no container there are none."""
+
+    def __init__(self, content: bytes | None) -> None:
+        try:
+            self.zip = zipfile.ZipFile(io.BytesIO(content or b""))
+        except zipfile.BadZipFile:
+            self.zip = None
+
+    def part(self, name: str | None) -> ElementTree.Element | None:
+        try:
+            return None if self.zip is None or name is None else ElementTree.fromstring(self.zip.read(name))
+        except (KeyError, ElementTree.ParseError, zipfile.BadZipFile):
+            return None
+
+    def related(self, name: str) -> list[tuple[str, str, str]]:
+        """``(id, last word of the type, part)`` of each relation of a part, or of the file (an empty name)."""
+        folder, _, file = name.rpartition("/")
+        root = self.part(posixpath.join(folder, "_rels", f"{file}.rels"))
+        found = root.iter(f"{{{_P}}}Relationship") if root is not None else ()
+        # A target is absolute or relative to the part's folder.
+        return [(r.get("Id", ""), r.get("Type", "").rpartition("/")[2], posixpath.normpath(posixpath.join("/", folder, r.get("Target", ""))).lstrip("/")) for r in found]
+
+    def of_type(self, name: str, kind: str, usual: str) -> str:
+        return next((part for _, k, part in self.related(name) if k == kind), usual)
 
 
 def _container(main: str, kind: str, parts: dict[str, str]) -> bytes:
@@ -49,13 +72,13 @@ def _container(main: str, kind: str, parts: dict[str, str]) -> bytes:
     types = "".join(f'<Override PartName="/{n}" ContentType="{_DOC}.{t}+xml"/>' for n, t in (p.split("|") for p in parts))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", f'{_HEAD}<Types xmlns="{_P}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{types}</Types>')
-        z.writestr("_rels/.rels", f'{_HEAD}<Relationships xmlns="{_P}/relationships"><Relationship Id="r1" Type="{_R}/officeDocument" Target="{main}"/></Relationships>')
+        z.writestr("[Content_Types].xml", f'{_HEAD}<Types xmlns="{_T}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{types}</Types>')
+        z.writestr("_rels/.rels", f'{_HEAD}<Relationships xmlns="{_P}"><Relationship Id="r1" Type="{_R}/officeDocument" Target="{main}"/></Relationships>')
         for name, text in parts.items():
             z.writestr(name.split("|")[0], _HEAD + text)
         if kind:
             folder, file = main.rsplit("/", 1)
-            z.writestr(f"{folder}/_rels/{file}.rels", f'{_HEAD}<Relationships xmlns="{_P}/relationships">{kind}</Relationships>')
+            z.writestr(f"{folder}/_rels/{file}.rels", f'{_HEAD}<Relationships xmlns="{_P}">{kind}</Relationships>')
     return out.getvalue()
 
 
@@ -64,7 +87,8 @@ def _container(main: str, kind: str, parts: dict[str, str]) -> bytes:
 
 def word_paragraphs(content: bytes | None) -> list[tuple[str, str]]:
     """``(style, text)`` of each paragraph; a paragraph without a style is ``Normal``."""
-    root = _part(content, "word/document.xml")
+    file = _Container(content)
+    root = file.part(file.of_type("", "officeDocument", "word/document.xml"))
     out = []
     for p in root.iter(f"{{{_W}}}p") if root is not None else ():
         style = p.find(f"{{{_W}}}pPr/{{{_W}}}pStyle")
@@ -81,8 +105,14 @@ def word_file(paragraphs: list[tuple[str, str]]) -> bytes:
 
 
 def sheet_rows(content: bytes | None) -> list[list[str | None]]:
-    """The first sheet's rows as text; cells that are missing are null."""
-    root, shared = _part(content, "xl/worksheets/sheet1.xml"), _part(content, "xl/sharedStrings.xml")
+    """The first sheet's rows as text, whatever its part is named; cells that are missing are null."""
+    file = _Container(content)
+    book = file.of_type("", "officeDocument", "xl/workbook.xml")
+    listed = file.part(book)
+    first = next(listed.iter(f"{{{_S}}}sheet"), None) if listed is not None else None
+    wanted = None if first is None else first.get(f"{{{_R}}}id")
+    sheet = next((part for i, _, part in file.related(book) if i == wanted), "xl/worksheets/sheet1.xml")
+    root, shared = file.part(sheet), file.part(file.of_type(book, "sharedStrings", "xl/sharedStrings.xml"))
     words = ["".join(t.text or "" for t in si.iter(f"{{{_S}}}t")) for si in shared.iter(f"{{{_S}}}si")] if shared is not None else []
     out = []
     for row in root.iter(f"{{{_S}}}row") if root is not None else ():
@@ -108,13 +138,12 @@ def _column(n: int) -> str:
 
 
 def sheet_file(rows: list[list[str | None]]) -> bytes:
-    """Numbers become numeric cells, null an empty text, all else text."""
+    """Plain decimal numbers that a numeric cell holds exactly become one, null an empty text, all else text."""
 
     def cell(at: str, value: str | None) -> str:
-        try:
+        if value is not None and _NUMBER.fullmatch(value) and sum(map(str.isdigit, value)) <= 15:
             return f'<c r="{at}"><v>{float(value):.15g}</v></c>'
-        except (TypeError, ValueError):
-            return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{_safe(value)}</t></is></c>'
+        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{_safe(value)}</t></is></c>'
 
     body = "".join(f'<row r="{i}">{"".join(cell(f"{_column(j)}{i}", v) for j, v in enumerate(row))}</row>' for i, row in enumerate(rows, 1))
     parts = {

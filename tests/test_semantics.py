@@ -1,7 +1,9 @@
 """Literal cases, random comparisons with plain loops, sinks and streaming forms."""
 
+import io
 import random
 import re
+import zipfile
 
 import pytest
 from pyspark.sql import Row
@@ -299,6 +301,49 @@ def test_sheet_files(spark):
     assert got[1][0][0] == "a" and got[2] == got[5][:1] + [["r"]] == [["h"], ["r"]] and got[6] == []
 
 
+def container(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_files_of_other_programs(spark):
+    """Parts under other names, prefixed namespaces, absolute targets, shared texts in runs, cells without places."""
+    relation = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    book = container({
+        "_rels/.rels": f'<Relationships {package}><Relationship Id="a" Type="{relation}/officeDocument" Target="/book/main.xml"/></Relationships>',
+        "book/main.xml": f'<x:workbook xmlns:x="{main}" xmlns:q="{relation}"><x:sheets><x:sheet name="Data" sheetId="7" q:id="z9"/><x:sheet name="Other" sheetId="1" q:id="z1"/></x:sheets></x:workbook>',
+        "book/_rels/main.xml.rels": f'<Relationships {package}><Relationship Id="z1" Type="{relation}/worksheet" Target="sheets/one.xml"/><Relationship Id="z9" Type="{relation}/worksheet" Target="/book/sheets/nine.xml"/><Relationship Id="s" Type="{relation}/sharedStrings" Target="../texts.xml"/></Relationships>',
+        "book/sheets/one.xml": f'<worksheet xmlns="{main}"><sheetData><row><c t="s"><v>1</v></c></row></sheetData></worksheet>',
+        "book/sheets/nine.xml": f'<x:worksheet xmlns:x="{main}"><x:sheetData><x:row r="1"><x:c r="B1" t="s"><x:v>0</x:v></x:c><x:c t="b"><x:v>1</x:v></x:c></x:row><x:row><x:c t="str"><x:f>A1</x:f><x:v>sum</x:v></x:c><x:c><x:v>2.5</x:v></x:c></x:row></x:sheetData></x:worksheet>',
+        "texts.xml": f'<sst xmlns="{main}"><si><r><t>two </t></r><r><t>runs</t></r></si><si><t>other</t></si></sst>',
+    })
+    assert office.sheet_rows(book) == [[None, "two runs", "1"], ["sum", "2.5"]]
+    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    doc = container({
+        "_rels/.rels": f'<Relationships {package}><Relationship Id="a" Type="{relation}/officeDocument" Target="text/body.xml"/></Relationships>',
+        "text/body.xml": f'<v:document xmlns:v="{word}"><v:body><v:p><v:pPr><v:pStyle v:val="Heading2"/></v:pPr><v:r><v:t>A</v:t></v:r><v:r><v:t>B</v:t></v:r></v:p><v:p/></v:body></v:document>',
+    })
+    assert office.word_paragraphs(doc) == [("Heading2", "AB"), ("Normal", "")]
+    texts = ["1e5", "nan", "inf", "007", "1_000", "-0.50", "12345678901234567890", "3", "", None, " 4"]
+    back = office.sheet_rows(office.sheet_file([texts]))[0]
+    assert back == ["1e5", "nan", "inf", "007", "1_000", "-0.5", "12345678901234567890", "3", "", "", " 4"]
+    for broken in (b"", None, b"PK", container({"a": "b"}), container({"_rels/.rels": "<no"})):
+        assert office.sheet_rows(broken) == [] == office.word_paragraphs(broken)
+
+
+def test_arguments_in_range(spark):
+    values = [(None,), (0,), (1,), (6,), (7,), (10,), (11,), (-1,)]
+    df = spark.createDataFrame(values, "k long").select("k", S.within(F.col("k"), *D.INDENTS).alias("i"), S.within(F.col("k"), *D.LEVELS).alias("l"), S.within(F.col("k"), 1).alias("n"))
+    for r in df.collect():
+        k = r["k"]
+        assert (r["i"], r["l"], r["n"]) == (k is not None and 0 <= k <= 10, k is not None and 1 <= k <= 6, k is not None and k > 0)
+
+
 def test_providers_read_bytes(spark):
     class Sizes:
         def answer(self, prompts):
