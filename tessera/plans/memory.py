@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import memory as Y
 from ..operators import messages as M
+from ..operators import notes as N
 from ..operators import registry as R
 from ..operators.routing import VOICES
 from .catalog import query
@@ -84,6 +85,26 @@ def _(t):
     return Y.supersede_with_deletes(log.unionByName(gone))
 
 
+@query(
+    "note_calls",
+    """WITH p AS (SELECT call_id, user_id, try_cast(args AS json) IS NULL AS broken, trim(coalesce(json_extract_string(try_cast(args AS json), '$.operation'), '')) AS op,
+      trim(coalesce(json_extract_string(try_cast(args AS json), '$.content'), '')) AS content, coalesce(try_cast(json_extract_string(try_cast(args AS json), '$.note_id') AS bigint), -1) AS target FROM note_calls),
+    k AS (SELECT *, NOT broken AND trim(user_id) <> '' AS ok FROM p), w AS (SELECT * FROM k WHERE ok AND op = 'write' AND content <> ''),
+    d AS (SELECT user_id, target, call_id FROM k WHERE ok AND op = 'delete'),
+    n AS (SELECT w.*, min(d.call_id) AS gone FROM w LEFT JOIN d ON d.user_id = w.user_id AND d.target = w.call_id AND d.call_id > w.call_id GROUP BY ALL),
+    l AS (SELECT k.call_id, n.call_id AS note_id, n.content FROM k JOIN n ON k.user_id = n.user_id AND n.call_id < k.call_id AND (gone IS NULL OR gone > k.call_id) WHERE k.ok AND k.op = 'list'
+      QUALIFY row_number() OVER (PARTITION BY k.call_id ORDER BY n.call_id DESC) <= 50),
+    j AS (SELECT call_id, to_json(list({'note_id': note_id, 'content': content} ORDER BY note_id DESC))::varchar AS notes FROM l GROUP BY 1)
+    SELECT k.call_id, user_id, CASE WHEN broken THEN '{"error": "笔记操作异常"}' WHEN NOT ok THEN '{"error": "缺少用户上下文，无法操作记忆"}'
+      WHEN op = 'write' THEN CASE WHEN content = '' THEN '{"error": "content 不能为空"}' ELSE '{"success": true, "note_id": ' || k.call_id || ', "message": "已记住，后续对话会自动参考该笔记"}' END
+      WHEN op = 'list' THEN '{"success": true, "notes": ' || coalesce(notes, '[]') || '}' WHEN op = 'delete' THEN CASE WHEN target <= 0 THEN '{"error": "note_id 无效"}' ELSE '{"success": true, "message": "笔记已删除"}' END
+      ELSE '{"error": "不支持的操作: ' || op || '，可用操作: write/list/delete"}' END AS answer FROM k LEFT JOIN j ON k.call_id = j.call_id""",
+    "note_calls",
+)
+def _(t):
+    return N.remember(t.note_calls)
+
+
 @query("note_soft_delete", "WITH d AS (SELECT DISTINCT event_id AS id, user_id FROM events WHERE event_type = 'error') SELECT m.id, m.user_id, m.memory_type, CASE WHEN d.id IS NOT NULL THEN 'deleted' ELSE m.status END AS status FROM memory m LEFT JOIN d ON m.id = d.id AND m.user_id = d.user_id", "memory")
 def _(t):
     gone = t.events.filter("event_type = 'error'").select(F.col("event_id").alias("id"), "user_id")

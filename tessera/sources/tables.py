@@ -96,6 +96,12 @@ BINDINGS = {
                CASE WHEN event_id % 5 < 2 THEN NULL ELSE concat('label ', cast(event_id AS string)) END AS label,
                CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('wx3_', cast(event_id AS string)) END AS wechat_user_id, ts
         FROM {events}""",
+    "note_calls": """
+        SELECT event_id + 1 AS call_id, CASE WHEN event_id % 41 = 0 THEN ' ' ELSE cast(user_id AS string) END AS user_id,
+               CASE WHEN event_id % 37 = 0 THEN '{broken' WHEN event_type = 'signup' THEN concat('{"operation":"write","content":" note ', cast(event_id AS string), ' "}')
+                    WHEN event_type = 'click' THEN '{"operation":" list "}' WHEN event_type = 'view' THEN concat('{"operation":"delete","note_id":', cast(event_id - event_id % 300 AS string), '}')
+                    WHEN event_type = 'purchase' THEN concat('{"operation":"write","content":"', CASE WHEN event_id % 3 = 0 THEN '' ELSE cast(event_id % 100 AS string) END, '"}') ELSE '{"operation":"read"}' END AS args
+        FROM {events}""",
     "metric": """
         SELECT event_id, user_id, event_type AS type, cast(floor(value * 100) AS bigint) AS total_ms, event_id % 6 AS fc_rounds,
                event_id % 4 AS llm_calls, cast(floor(value * 40) AS bigint) AS llm_ms FROM {events}""",

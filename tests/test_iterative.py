@@ -1,12 +1,13 @@
 """Chains, stacks and percentiles against plain loops, also where one key has nearly all rows."""
 
+import json
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import stacks
+from tessera.operators import notes, stacks
 from tessera.operators.memory import chains, supersede_with_deletes
 from tessera.operators.metrics import percentiles
 
@@ -165,3 +166,55 @@ def test_percentiles_of_ten_million_different_doubles(spread):
     df = spread.range(n).select(((F.col("id") * 7_654_321) % n / 4).alias("v"))
     out = percentiles(df, "v").first()
     assert (out["p50"], out["p95"], out["n"]) == ((math.ceil(0.5 * n) - 1) / 4, (math.ceil(0.95 * n) - 1) / 4, n)
+
+
+def plain_notes(calls, shown):
+    """One user after the other, call by call."""
+    held, out = {}, {}
+    for call, user, args in sorted(calls):
+        own = held.setdefault(user, {})
+        try:
+            a = json.loads(args)
+        except (TypeError, ValueError):
+            out[call] = {"error": "笔记操作异常"}
+            continue
+        op, content = str(a.get("operation") or "").strip(), str(a.get("content") or "").strip()
+        if not (user or "").strip():
+            out[call] = {"error": "缺少用户上下文，无法操作记忆"}
+        elif op == "write":
+            out[call] = {"success": True, "note_id": call, "message": "已记住，后续对话会自动参考该笔记"} if content else {"error": "content 不能为空"}
+            if content:
+                own[call] = content
+        elif op == "list":
+            newest = sorted(own, reverse=True)[:shown]
+            out[call] = {"success": True, "notes": [{"note_id": n, "content": own[n]} for n in newest]}
+        elif op == "delete":
+            target = int(a.get("note_id") or -1)
+            own.pop(target, None)
+            out[call] = {"success": True, "message": "笔记已删除"} if target > 0 else {"error": "note_id 无效"}
+        else:
+            out[call] = {"error": f"不支持的操作: {op}，可用操作: write/list/delete"}
+    return out
+
+
+@pytest.mark.parametrize(("seed", "shown"), [(1, 3), (2, 1), (3, 50)])
+def test_notes_against_loops(spread, seed, shown):
+    rng = random.Random(seed)
+    calls = []
+    for call in range(1, 1500):
+        user = rng.choice(["hot"] * 12 + ["a", "b", " ", None])
+        kind = rng.choice(["write", "write", "list", "list", "delete", "delete", "other"])
+        if kind == "write":
+            args = json.dumps({"operation": kind, "content": rng.choice(["", "  ", f' n "{call}" é '])}, ensure_ascii=False)
+        elif kind == "delete":
+            args = json.dumps({"operation": kind, "note_id": rng.choice([call - rng.randint(1, rng.choice([4, 60, 1400])), -1, str(call - 1)])})
+        elif kind == "list":
+            args = '{"operation":" list "}'
+        else:
+            args = rng.choice(["{", None, "{}", '{"operation":"read"}'])
+        calls.append((call, user, args))
+    df = spread.createDataFrame(rng.sample(calls, len(calls)), "call_id long, user_id string, args string").repartition(4)
+    rows = notes.remember(df, shown).collect()
+    assert len(rows) == len(calls)
+    assert {r["call_id"]: json.loads(r["answer"]) for r in rows} == plain_notes(calls, shown)
+    assert notes.remember(df.limit(0)).collect() == []
