@@ -28,6 +28,8 @@ column named as one of the results is not read.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +61,6 @@ LABEL = r"[=:#(\[{<&?/\\|\x22\x27]"
 #: Stands for the start and the end of a text.
 EDGE = "\x01"
 
-MAX_ROUNDS = 20
 MIN_SUPPORT = 5
 #: Share of the different instances that a pair of words must stand beside.
 MIN_SHARE = 0.002
@@ -204,14 +205,17 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def extract(
     docs: DataFrame,
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = None,
     min_support: int = MIN_SUPPORT,
     min_share: float = MIN_SHARE,
     min_confidence: float = MIN_CONFIDENCE,
     min_score: float = MIN_SCORE,
     min_label: float = MIN_LABEL,
 ) -> DataFrame:
-    """``(doc_id, text_hash, base, more)``: base spans and those that bootstrapping adds, each ``(start, rank, kind, end)``."""
+    """``(doc_id, text_hash, base, more)``: base spans and those that bootstrapping adds, each ``(start, rank, kind, end)``.
+
+    Rounds go on until nothing more is found, or up to ``max_rounds``.
+    """
     rows = base_spans(docs, contexts=True)
     context = "struct(lower(x.text) as instance, x.left as left, x.right as right, {} as known, {} as listed)"
     seeds = f"transform(concat({', '.join(KINDS)}), x -> {context.format('true', 'false')})"
@@ -244,7 +248,7 @@ def extract(
     edges = materialise(edges.join(totals, "pattern"), "edges")
     found = None
     before = 0
-    for _ in range(max_rounds):
+    for done in itertools.count(1):
         known = edges if found is None else edges.join(found.select("instance", F.lit(True).alias("found")), "instance", "left")
         told = F.col("known") if found is None else F.col("known") | F.coalesce("found", F.lit(False))
         confidence = (
@@ -267,11 +271,11 @@ def extract(
             .filter(((F.col("score") >= min_score) & (F.col("sides") > 1)) | (F.col("label") >= min_label))
             .select("instance")
         )
-        # What is known stays known, so the rounds come to an end.
+        # What is known stays known, so the rounds come to an end, however many they are.
         scores = scores if found is None else scores.unionByName(found).distinct()
         found = materialise(scores, "scores")
         now = found.count()
-        if now == before:
+        if now == before or done == max_rounds:
             break
         before = now
     more = (
