@@ -59,6 +59,26 @@ def nth_turn(df: DataFrame, key: str, order: str, every: int = 10) -> DataFrame:
     return df.withColumn("turn_no", turn).filter(F.col("turn_no") % every == 0)
 
 
+def after_replies(replies: DataFrame, key: str, order: str, every: int = 10) -> DataFrame:
+    """``(.., turn_no, step, task)``: what is to be done after each reply, in a key's order: a summary every so many turns, then the extraction.
+
+    ``every`` of 0 or less asks for no summaries.
+    """
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long")
+    summary = F.col("turn_no") % every == 0 if every > 0 else F.lit(False)
+    tasks = F.when(summary, F.array(F.lit("summarize"), F.lit("extract"))).otherwise(F.array(F.lit("extract")))
+    return replies.withColumn("turn_no", turn).select("*", F.posexplode(tasks).alias("step", "task"))
+
+
+def task_outcomes(tasks: DataFrame, key: str, order: str, failed: Column) -> DataFrame:
+    """``(key, order, turn_no, ran, ok)``: a failed task ends its turn's work, and the next turn's is done all the same."""
+    known = F.coalesce(failed, F.lit(False))
+    rows = tasks.select(key, order, "turn_no", "step", "task", F.when(known, F.col("step")).alias("_failed"))
+    found = rows.groupBy(key, order, "turn_no").agg(F.array_sort(F.collect_list(F.struct("step", "task"))).alias("_t"), F.min("_failed").alias("_end"))
+    done = F.filter("_t", lambda x: F.coalesce(x["step"] <= F.col("_end"), F.lit(True)))
+    return found.select(key, order, "turn_no", F.array_join(F.transform(done, lambda x: x["task"]), ",").alias("ran"), F.col("_end").isNull().alias("ok"))
+
+
 def sanitize_tool_pairs(df: DataFrame, key: str, order: str) -> DataFrame:
     """Tool rows need a call before them (other tool rows aside); calls need a tool row after them."""
     w = Window.partitionBy(key).orderBy(order)

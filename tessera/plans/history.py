@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import messages as M
 from ..operators.collated import COLLATION
+from ..sources import sinks
 from ..sources import streams as N
+from ..sources.shared import folder
 from .catalog import query
 
 PROMPT = "You are a helpful assistant."
@@ -91,6 +95,33 @@ def _(t):
     return M.nth_turn(t.chat.filter("role = 'user'"), "user_id", "id", 2).select("user_id", "id", "turn_no")
 
 
+@query(
+    "post_processing",
+    """WITH r AS (SELECT user_id, id, length(content) AS n, row_number() OVER (PARTITION BY user_id ORDER BY id) AS turn_no FROM chat WHERE role = 'assistant'),
+    f AS (SELECT *, turn_no % 2 = 0 AS due, turn_no % 2 = 0 AND n % 3 = 0 AS lost, n % 5 = 0 AS bad FROM r)
+    SELECT user_id, id, turn_no, CASE WHEN lost THEN 'summarize' WHEN due THEN 'summarize,extract' ELSE 'extract' END AS ran, NOT lost AND NOT bad AS ok FROM f""",
+    "chat",
+)
+def _(t):
+    tasks = M.after_replies(t.chat.filter("role = 'assistant'"), "user_id", "id", 2)
+    n = F.length("content")
+    return M.task_outcomes(tasks, "user_id", "id", F.when(F.col("task") == "summarize", n % 3 == 0).otherwise(n % 5 == 0))
+
+
+@query(
+    "retention_by_increments",
+    "SELECT id, bot_id, user_id, turn, role, content FROM chat QUALIFY row_number() OVER (PARTITION BY bot_id, user_id ORDER BY id DESC) <= 4",
+    "chat",
+)
+def _(t):
+    """The log in five batches, each of which reads and replaces the sessions that it touches."""
+    path = f"{folder(t.spark)}/retention-{uuid.uuid4().hex}"
+    write = sinks.retention_writer(path, KEYS, "id", 4, 16)
+    for k in range(5):
+        write(t.chat.filter(F.pmod(F.xxhash64("id"), F.lit(5)) == k), k)
+    return t.spark.read.parquet(path).drop("_bucket")
+
+
 @query(
     "tool_pairs_sanitized",
     """WITH m AS (SELECT *, CASE WHEN role <> 'tool' THEN (role = 'assistant' AND has_calls) END AS lead_in FROM tool_chat),

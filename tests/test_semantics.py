@@ -136,6 +136,17 @@ def test_routed_prompt_is_the_guideline(spark):
     assert prompts[3] == U.FALLBACK + offered[3]
 
 
+def test_tasks_after_replies(spark):
+    replies = spark.createDataFrame([(u, 10 * i + u) for u in (1, 2) for i in range(1, 6)], "user_id long, id long")
+    tasks = M.after_replies(replies, "user_id", "id", 3)
+    assert [(r["turn_no"], r["task"]) for r in tasks.filter("user_id = 1").orderBy("id", "step").collect()] == [(1, "extract"), (2, "extract"), (3, "summarize"), (3, "extract"), (4, "extract"), (5, "extract")]
+    out = M.task_outcomes(tasks, "user_id", "id", F.when(F.col("task") == "summarize", F.col("user_id") == 1).otherwise(F.col("turn_no") == 5))
+    assert {(r["user_id"], r["turn_no"]): (r["ran"], r["ok"]) for r in out.collect() if r["turn_no"] > 2} == {
+        (1, 3): ("summarize", False), (1, 4): ("extract", True), (1, 5): ("extract", False), (2, 3): ("summarize,extract", True), (2, 4): ("extract", True), (2, 5): ("extract", False)
+    }
+    assert M.after_replies(replies, "user_id", "id", 0).filter("task = 'summarize'").count() == 0
+
+
 def test_tables_are_created_once(spark):
     tables.create_tables(spark, "tessera_test", 2)
     tables.create_tables(spark, "tessera_test", 2)
