@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, quality_rules, substrings
+from . import licenses, quality_rules, spelling, substrings
 
 _WS = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -65,4 +65,61 @@ SELECT doc_id, template_id, round(matched / shingles, 6) AS containment, matched
 FROM m JOIN (SELECT template_id, count(*)::int AS shingles FROM b GROUP BY template_id) USING (template_id) WHERE matched >= {licenses.THRESHOLD} * shingles"""
 
 
-ORACLES = {"op3_substrings": OP3, "op4_line_rules": OP4, "op8_licenses": _op8()}
+# CRC-32 by its table: one list of 256 numbers in one row, and a step for each byte.
+CRC_TABLE = """c(i, k, v) AS (SELECT i, 0, i::ubigint FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::ubigint) ELSE v >> 1 END FROM c WHERE k < 8),
+t AS (SELECT list(v ORDER BY i) AS t FROM c WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    """Of a text, beside a row of ``t``."""
+    digit = lambda at: f"(strpos('0123456789ABCDEF', substr(h, {at}, 1)) - 1)"
+    octets = f"[({digit('2 * j + 1')} * 16 + {digit('2 * j + 2')})::ubigint FOR j IN range(length(h) // 2)]"
+    return f"(SELECT xor(list_reduce(list_prepend(4294967295::ubigint, {octets}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::int + 1])), 4294967295::ubigint) FROM (SELECT hex(encode({text})) AS h))"
+
+
+_LATIN = "".join(map(chr, range(0xC0, 0x100)))
+# As many other signs, so that distances over bytes are those over characters.
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c != "'")[: len(_LATIN)]
+
+OP11 = f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '{spelling.RUN}')), '{spelling.UPPER}', '{spelling.LOWER}') AS run FROM documents)
+  WHERE length(run) >= {spelling.MIN_CHARS} GROUP BY ALL),
+h AS (SELECT run, n, {_crc("coalesce(doc_id::varchar, '') || ':' || run")} AS h FROM r, t),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) ELSE run END AS word, sum(n)::bigint AS n FROM h GROUP BY 1
+  HAVING length(word) >= {spelling.MIN_CHARS} AND sum(n) >= {spelling.MIN_COUNT}),
+v AS (SELECT word, n, unnest(list_distinct(list_prepend(word, [substr(word, 1, j - 1) || substr(word, j + 1) FOR j IN range(1, length(word) + 1)]))) AS variant FROM w),
+p AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM v a JOIN v b ON a.variant = b.variant AND a.word <> b.word
+  WHERE levenshtein(translate(a.word, '{_LATIN}', '{_SIGNS}'), translate(b.word, '{_LATIN}', '{_SIGNS}')) = 1),
+f AS (SELECT word, count(*) AS n_near, arg_min(other, {{'n': -other_n, 'w': other}}) AS best, max(other_n) AS best_n FROM p GROUP BY word),
+g AS (SELECT w.word, CASE WHEN best_n >= {spelling.RATIO} * n THEN best END AS form, n, coalesce(n_near, 0)::bigint AS n_near, CASE WHEN best_n >= {spelling.RATIO} * n THEN best_n END AS form_n FROM w LEFT JOIN f USING (word)),
+o AS (SELECT word, word AS root FROM g WHERE form IS NULL UNION ALL SELECT g.word, o.root FROM g JOIN o ON g.form = o.word)
+SELECT g.word, form, root, n, n_near, form_n FROM g JOIN o USING (word)"""
+
+# The cheapest edits turn by turn: for each state the least (cost, audit), with up to two turns put in behind each edit.
+OP12 = rf"""
+WITH RECURSIVE {CRC_TABLE},
+s AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 AS h FROM conversations, t),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM s WHERE h <> 0),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, unhex(md5(text))) AS n FROM d),
+m AS (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2
+  WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault FROM e),
+ins(q, q2, c, a, o) AS (VALUES ('', '', 0, '', ''), ('', 'u', 3, 'I', chr(10) || 'user:'), ('', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('s', 's', 0, '', ''), ('s', 'u', 3, 'I', chr(10) || 'user:'),
+  ('s', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('u', 'u', 0, '', ''), ('u', 'a', 3, 'I', chr(10) || 'assistant:'), ('a', 'a', 0, '', ''), ('a', 'u', 3, 'I', chr(10) || 'user:')),
+step(q, x, name) AS (VALUES ('', 's', NULL), ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')),
+opt AS (SELECT conv_id, n, q, q AS q2, 4 AS c, 'D' AS a, '' AS o FROM m, (VALUES (''), ('s'), ('u'), ('a')) v(q)
+  UNION ALL SELECT conv_id, n, q, x, CASE WHEN fault = 3 THEN 3 ELSE 0 END, 'K', chr(10) || role || ':' || text FROM m JOIN step ON i = x WHERE fault NOT IN (1, 2)
+  UNION ALL SELECT conv_id, n, q, x, CASE WHEN fault = 3 THEN 6 ELSE 3 END, 'R', chr(10) || name || ':' || text FROM m, step WHERE name IS NOT NULL AND fault NOT IN (1, 2)),
+b AS (SELECT conv_id, 0::bigint AS n, q2 AS q, {{'c': c::bigint, 'a': a, 'o': o}} AS v FROM (SELECT DISTINCT conv_id FROM m), ins WHERE q = ''
+  UNION ALL SELECT b.conv_id, b.n + 1, ins.q2, min({{'c': b.v.c + opt.c + ins.c, 'a': b.v.a || opt.a || ins.a, 'o': b.v.o || opt.o || ins.o}})
+  FROM b JOIN opt ON b.conv_id IS NOT DISTINCT FROM opt.conv_id AND opt.n = b.n + 1 AND opt.q = b.q JOIN ins ON ins.q = opt.q2 GROUP BY ALL),
+x AS (SELECT conv_id, max(n) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS pair FROM m) GROUP BY conv_id),
+z AS (SELECT x.*, v FROM x JOIN (SELECT conv_id, n, min(v) AS v FROM b WHERE q IN ('', 'a') GROUP BY ALL) y ON x.conv_id IS NOT DISTINCT FROM y.conv_id AND x.n = y.n)
+SELECT k.conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v.c, 0) AS cost,
+  coalesce(v.a, '') AS audit, sha256(coalesce(substr(v.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN z ON k.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
+ORACLES = {"op3_substrings": OP3, "op4_line_rules": OP4, "op8_licenses": _op8(), "op11_spelling": OP11, "op12_conversations": OP12}
