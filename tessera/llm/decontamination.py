@@ -14,6 +14,10 @@ both bear on what counts as a name. An item's first word, where it may be a name
 is taken either way. A document is contaminated by an item when at least
 ``threshold`` of the item's windows occur in it.
 
+A name of several words may become one of a single word, and the other way round: texts with
+capitalised words in a row are read a second time with each such row as one name. ``$5`` and
+``5 dollars`` are one thing.
+
 Windows that are mostly placeholders match as written only, and count where the
 others alone do not reach the share. Items of fewer than five words are one window
 of all their words; it is looked for in whole texts and, from ``LEAST_WORDS``
@@ -25,7 +29,7 @@ that no item has are dropped first, by a counted broadcast of hashes, and the re
 is shuffled by window.
 
 Edge cases: null or empty texts and items, and those of marks alone, have no
-windows and never match; a re-parameterised copy in capitals is missed where its
+windows and never match; a re-parameterised copy in capitals or in lower case is missed where its
 names changed as well; repeated items with one id keep the smallest text; documents
 with equal ids count as one; an empty table on either side gives no rows; other
 columns are ignored.
@@ -40,7 +44,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, single_spaces, small_side, text_or_empty, word_grams
+from .common import WS, materialise, single_spaces, small_side, text_or_empty, word_grams
 
 WINDOW = 5
 THRESHOLD = 0.8
@@ -63,39 +67,55 @@ UNITS = (
 ).split()
 
 NUMBER, NAME, UNIT, VALUE = "\x01", "\x02", "\x03", "\x04"
+#: Stands between the words of a name of several words where they are read as one.
+JOIN = "\x05"
+#: Two capitalised words in a row, as in a name of several words.
+RUN = rf"\p{{Lu}}\p{{Ll}}++[{WS}]++\p{{Lu}}\p{{Ll}}"
 _VALUE = rf"{VALUE}[^ {NUMBER}-{VALUE}]*+"
 
 
-def canonical(text: Column, first_name: bool = False) -> Column:
+def canonical(text: Column, first_name: bool = False, joined: bool = False) -> Column:
     """Words parted by single spaces; a placeholder is its type, ``VALUE`` and what it stands for.
 
+    ``joined``: names that follow one another (of words of up to 40 letters) are one.
+
     Patterns begin with the character they replace and look behind afterwards, so
     most characters cost one class test.
     """
-    own = NUMBER + NAME + UNIT + VALUE
+    own = NUMBER + NAME + UNIT + VALUE + JOIN
     marked = reduce(or_, (F.contains(text, F.lit(c)) for c in own))
     out = single_spaces(F.when(marked, F.translate(text, own, "")).otherwise(text))
     out = F.regexp_replace(out, r"\p{Lu}(?<=[^.!?:; ] .)\p{Ll}++", NAME + VALUE + "$0")
     if first_name:
         out = F.regexp_replace(out, r"^([^\p{L}\p{N}]*+)(\p{Lu}\p{Ll}++)", "$1" + NAME + VALUE + "$2")
+    if joined:
+        out = F.regexp_replace(out, rf"(?<={VALUE}\p{{Lu}}\p{{Ll}}{{1,40}}) {NAME}{VALUE}(?=\p{{Lu}})", JOIN)
     number = r"[0-9](?<![\p{L}\p{N}].)[0-9]*+(?:[.,:/][0-9]++)*+%?"
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    numbered = F.regexp_replace(out, number, NUMBER + VALUE + "$0")
+    # A sum of money has its unit behind it, however it is written.
+    numbered = out
+    for sign, unit in (("[$]", "dollars"), ("€", "euros")):
+        numbered = F.regexp_replace(numbered, rf"{sign} ?([0-9]++(?:[.,][0-9]++)*+)", f"$1 {unit}")
+    numbered = F.regexp_replace(numbered, number, NUMBER + VALUE + "$0")
     numbered = F.regexp_replace(
         numbered, rf"({NUMBER}{VALUE}[0-9.,:/%]++)( ?)((?i:{units}))(?![\p{{L}}\p{{N}}])", f"$1$2{UNIT}{VALUE}$3"
     )
     out = F.lower(F.when(text.rlike("[0-9]"), numbered).otherwise(out))
-    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}} {NUMBER}-{VALUE}]++", "")
+    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}} {NUMBER}-{JOIN}]++", "")
     return F.btrim(single_spaces(out), F.lit(" "))
 
 
 def _forms(gram: str = "gram") -> Column:
-    """Hashes of the forms of a window: with all placeholders, with those of numbers and units, as written; equal ones once."""
+    """Hashes of the forms of a window: with all placeholders, with those of numbers and units, as written; equal ones once.
+
+    A window with a joined name has the first alone: how the name is written tells nothing of one word more or fewer.
+    """
     marked = F.col(gram)
     typed = lambda x: F.xxhash64(F.regexp_replace(x, _VALUE, ""))
     written = F.xxhash64(F.translate(marked, NUMBER + NAME + UNIT + VALUE, ""))
     return (
         F.when(~F.contains(marked, F.lit(VALUE)), F.array(F.xxhash64(marked)))
+        .when(F.contains(marked, F.lit(JOIN)), F.array(typed(marked)))
         .when(~_mixed(marked), F.array(typed(marked), written))
         .otherwise(F.array(typed(marked), typed(_bare(marked)), written))
     )
@@ -116,39 +136,53 @@ def _marked(gram: str, form: str) -> Column:
     return F.when(~plain & (number == 0), marked).when(~plain & (number == 1) & _mixed(marked), _bare(marked))
 
 
-def windows(rows: DataFrame, key: str, size: int = WINDOW, shorter: Sequence[int] = (), first_name: bool = False) -> DataFrame:
-    """``(key, at, gram, form, window)``: the windows of each text in all their forms, also those of ``shorter`` sizes.
+def windows(
+    rows: DataFrame, keys: Sequence[str], size: int = WINDOW, shorter: Sequence[int] = (), first_name: bool = False, joined: bool = False
+) -> DataFrame:
+    """``(keys, at, gram, form, window)``: the windows of each text in all their forms, also those of ``shorter`` sizes.
 
-    A text of fewer than ``size`` words is one window.
+    A text of fewer than ``size`` words is one window. ``joined``: of texts with names of
+    several words alone, these read as one.
     """
-    rows = rows.select(key, canonical(F.col("text"), first_name).alias("canonical")).filter("canonical <> ''")
+    if joined:
+        rows = rows.filter(F.col("text").rlike(RUN))
+    rows = rows.select(*keys, canonical(F.col("text"), first_name, joined).alias("canonical")).filter("canonical <> ''")
     n = F.length("canonical") - F.length(F.translate("canonical", " ", "")) + 1
     grams = F.when(n < size, F.array("canonical")).otherwise(word_grams("canonical", size))
     for k in shorter:
         grams = F.concat(grams, F.when(n > k, word_grams("canonical", k)).otherwise(F.array().cast("array<string>")))
     # The outer form: for the inner one the optimizer adds a filter on the array's
     # size, for which it would build the array once more.
-    rows = rows.select(key, F.posexplode_outer(grams).alias("at", "gram")).filter("gram is not null")
-    return rows.select(key, "at", "gram", F.posexplode_outer(_forms()).alias("form", "window"))
+    rows = rows.select(*keys, F.posexplode_outer(grams).alias("at", "gram")).filter("gram is not null")
+    return rows.select(*keys, "at", "gram", F.posexplode_outer(_forms()).alias("form", "window"))
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``(item_id, item_at, words, window, item_marked, typed)``: the windows by which an item is found."""
+    """``(item_id, reading, item_at, words, window, item_marked, typed)``: the windows by which an item is found.
+
+    An item with names of several words has a second reading, in which each is one word.
+    """
     items = (
         benchmark.select(F.col("item_id").cast("long"), text_or_empty().cast("string").alias("text"))
         .filter("item_id is not null")
         .groupBy("item_id")
         .agg(F.min("text").alias("text"))
     )
-    own = windows(items, "item_id", size).unionByName(windows(items, "item_id", size, first_name=True).filter("at = 0"))
+    keys = ["item_id", "reading"]
+    own = None
+    for reading in (0, 1):
+        rows = items.withColumn("reading", F.lit(reading))
+        read = windows(rows, keys, size, joined=reading == 1)
+        read = read.unionByName(windows(rows, keys, size, first_name=True, joined=reading == 1).filter("at = 0"))
+        own = read if own is None else own.unionByName(read)
     own = own.withColumn("marked", _marked("gram", "form"))
     words = F.size(F.split("gram", " "))
     literal = words - F.size(F.filter(F.split("marked", " "), lambda x: F.contains(x, F.lit(VALUE))))
     own = own.withColumn("words", words).filter(F.col("marked").isNull() | (literal >= F.least(F.lit(MIN_LITERALS), F.col("words") - 1)))
     typed = F.col("marked").isNotNull() | ~F.contains("gram", F.lit(VALUE))
-    own = own.groupBy("item_id", "at", "words", "window").agg(F.max("marked").alias("item_marked"), F.max(typed).alias("typed"))
-    flags = own.groupBy("item_id", "at").agg(F.max("typed").alias("typed"))
-    return own.drop("typed").join(flags, ["item_id", "at"]).withColumnRenamed("at", "item_at")
+    own = own.groupBy(*keys, "at", "words", "window").agg(F.max("marked").alias("item_marked"), F.max(typed).alias("typed"))
+    flags = own.groupBy(*keys, "at").agg(F.max("typed").alias("typed"))
+    return own.drop("typed").join(flags, [*keys, "at"]).withColumnRenamed("at", "item_at")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, size: int = WINDOW) -> DataFrame:
@@ -157,11 +191,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     n_items, = items.agg(F.count("*")).first()
     # At most `size` different numbers.
     shorter = sorted(r["words"] for r in items.select("words").distinct().collect() if LEAST_WORDS <= r["words"] < size)
-    totals = items.groupBy("item_id").agg(
+    totals = items.groupBy("item_id", "reading").agg(
         F.count_distinct("item_at").alias("all_windows"), F.count_distinct(F.when(F.col("typed"), F.col("item_at"))).alias("typed_windows")
     )
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text")).filter("doc_id is not null")
-    own = windows(texts, "doc_id", size, shorter)
+    own = windows(texts, ["doc_id"], size, shorter).withColumn("joined", F.lit(False))
+    # Names of several words may stand for one word of the item: only the windows that have them are new.
+    more = windows(texts, ["doc_id"], size, shorter, joined=True).filter(F.contains("gram", F.lit(JOIN)))
+    own = own.unionByName(more.withColumn("joined", F.lit(True)))
     side = items.drop("words")
     if n_items <= BROADCAST_WINDOWS:
         side = F.broadcast(side)
@@ -170,6 +207,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     hits = own.join(side, "window").select(
         "doc_id",
         "item_id",
+        "reading",
+        "joined",
         "at",
         "item_at",
         "typed",
@@ -178,13 +217,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         _marked("gram", "form").alias("marked"),
     )
     hits = materialise(hits, "hits")
-    # Along one alignment a value of the item stands for one value of the document.
+    # Along one alignment of one reading of each a value of the item stands for one value of the document.
     values = rf"[{NUMBER}-{UNIT}]{VALUE}([^ {NUMBER}-{VALUE}]*+)"
     slots = F.arrays_zip(
         F.regexp_extract_all("item_marked", F.lit(values), F.lit(1)).alias("item"),
         F.regexp_extract_all("marked", F.lit(values), F.lit(1)).alias("doc"),
     )
-    place = ["doc_id", "item_id", "shift"]
+    place = ["doc_id", "item_id", "reading", "joined", "shift"]
     changed = F.col("marked").isNotNull() & F.col("item_marked").isNotNull()
     inconsistent = (
         hits.filter(changed)
@@ -196,18 +235,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         .distinct()
     )
     kept = hits.filter(changed).join(inconsistent, place, "left_anti").unionByName(hits.filter(~changed))
-    matched = kept.groupBy("doc_id", "item_id").agg(
+    matched = kept.groupBy("doc_id", "item_id", "reading").agg(
         F.count_distinct("item_at").alias("all_matched"),
         F.count_distinct(F.when(F.col("typed"), F.col("item_at"))).alias("typed_matched"),
         F.min("at").cast("long").alias("first_word"),
     )
     # The windows with enough literal words decide, or else all of them.
     few = (F.col("typed_windows") == 0) | (F.col("typed_matched") < threshold * F.col("typed_windows"))
-    return (
-        matched.join(F.broadcast(totals) if n_items <= BROADCAST_WINDOWS else totals, "item_id")
+    found = (
+        matched.join(F.broadcast(totals) if n_items <= BROADCAST_WINDOWS else totals, ["item_id", "reading"])
         .withColumn("matched", F.when(few, F.col("all_matched")).otherwise(F.col("typed_matched")))
         .withColumn("windows", F.when(few, F.col("all_windows")).otherwise(F.col("typed_windows")))
         .withColumn("share", F.round(F.col("matched") / F.col("windows"), 6))
         .filter(F.col("matched") >= threshold * F.col("windows"))
-        .select("doc_id", "item_id", "matched", "windows", "share", "first_word")
     )
+    # The reading that matches best.
+    best = F.max_by(F.struct("matched", "windows", "share", "first_word"), F.struct("share", -F.col("reading"))).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")

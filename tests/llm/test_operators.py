@@ -874,6 +874,71 @@ def test_decontamination_slots_against_loops(spark):
     assert len(planted & want) < len(planted)  # some lost words to the changes
 
 
+NAMES = ["Maria", "Boston", "Peter", "Paris", "Anna", "Oslo", "Tom", "Rome", "Clara", "Lima"]
+PLACES = ["New York", "Los Angeles", "San Marino", "Buenos Aires"]
+
+
+def question(rng):
+    """A question with three names, three numbers and two units: its words, and where they are."""
+    filler = "buys sells carries measures stores counts finds mixes fills moves red old cold large small boxes bags jars crates rolls then later before after with from into under".split()
+    words = ["In", "town", "a", "trader", "called"]
+    for kind in rng.sample(["name", "name", "name", "number", "number", "unit", "unit"], 7):
+        if kind == "name":
+            words.append(rng.choice(NAMES))
+        else:
+            words.append(str(rng.randint(2, 900)))
+            if kind == "unit":
+                words.append(rng.choice(["km", "hours", "dollars", "liters"]))
+        words += rng.sample(filler, rng.randint(2, 4))
+    return words
+
+
+def other(rng, words, names=(), numbers=True):
+    """The question with each name and number replaced by another, the same one each time."""
+    new = {}
+    for w in words:
+        if w in NAMES and names:
+            new.setdefault(w, rng.choice([n for n in names if n != w]))
+        elif w.isdigit() and numbers:
+            new.setdefault(w, str(rng.randint(2, 900)))
+    return [new.get(w, w) for w in words]
+
+
+def test_decontamination_recall(spark):
+    """Recall on 500 copies of each kind, and no hit among as many documents of the same words."""
+    rng = random.Random(77)
+    items = [(i, question(rng)) for i in range(500)]
+    kinds = {
+        "as written": lambda w: w,
+        "other numbers": lambda w: other(rng, w),
+        "other names": lambda w: other(rng, w, NAMES, numbers=False),
+        "other names and numbers": lambda w: other(rng, w, NAMES),
+        "lower case": lambda w: [x.lower() for x in w],
+        "lower case, other numbers": lambda w: [x.lower() for x in other(rng, w)],
+        "capitals, other numbers": lambda w: [x.upper() for x in other(rng, w)],
+        "names of two words": lambda w: other(rng, w, PLACES),
+        "money as a sign": lambda w: re.sub(r"([0-9]+) dollars", r"$\1", " ".join(other(rng, w))).split(),
+        "lower case, other names": lambda w: [x.lower() for x in other(rng, w, NAMES)],
+    }
+    docs, wanted = [], {}
+    for kind, change in kinds.items():
+        for i, words in items:
+            wanted[len(docs)] = kind, i
+            docs.append((len(docs), "so it was said. " + " ".join(change(words)) + ". and nothing else"))
+    for _ in range(500):
+        words = question(rng)
+        rng.shuffle(words)
+        docs.append((len(docs), " ".join(words)))
+    found = decontamination.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    )
+    hits = {(r["doc_id"], r["item_id"]) for r in found.select("doc_id", "item_id").collect()}
+    recall = collections.Counter(wanted[d][0] for d, i in hits if d in wanted and wanted[d][1] == i)
+    print({k: recall[k] / 500 for k in kinds}, len([d for d, _ in hits if d not in wanted]))
+    assert all(recall[k] >= 450 for k in list(kinds)[:9])
+    assert not [d for d, _ in hits if d not in wanted]
+
+
 def test_decontamination_beyond_the_broadcast(spark, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     df = spark.createDataFrame([(1, "so. " + ITEMS[0][1]), (2, "nothing of that kind in here")], "doc_id long, text string")
