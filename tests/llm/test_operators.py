@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings
@@ -1015,13 +1016,17 @@ def test_queries_against_sql(spark, key):
 
     folder = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    for name in ("documents", "conversations"):
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
     want = con.execute(oracle_sql()[key]).df()
     got = queries()[key](spark, folder).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
-    plain = lambda df: sorted(tuple(str(x) for x in row) for row in df[sorted(df.columns)].itertuples(index=False))
+    # Whole numbers beside nulls are floats in one frame and nullable in the other.
+    full = [c for c in got.columns if not got[c].isna().any()]
+    told = lambda x: "null" if pd.isna(x) else str(int(x)) if isinstance(x, float) and x.is_integer() else str(x)
+    plain = lambda df: sorted(tuple(map(told, row)) for row in df[sorted(df.columns)].itertuples(index=False))
     assert plain(got) == plain(want) and len(want) > 10
-    assert {c: str(k) for c, k in got.dtypes.items()} == {c: str(k) for c, k in want.dtypes.items()}
+    assert {c: str(got[c].dtype) for c in full} == {c: str(want[c].dtype) for c in full}
 
 
 def test_pipeline_runs(spark):
