@@ -134,7 +134,8 @@ def _(t):
 
 @query("uptime_minutes", "SELECT user_id, (epoch(max(ts)) - epoch(min(ts)))::bigint // 60 AS minutes FROM events GROUP BY user_id")
 def _(t):
-    return t.events.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select("user_id", F.expr("timestampdiff(MINUTE, a, b)").alias("minutes"))
+    spans = t.events.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return spans.select("user_id", X.whole_minutes(F.col("a"), F.col("b")).alias("minutes"))
 
 
 @query("misrouted_sends", "SELECT event_id, user_id, event_id % 7 AS target FROM events WHERE user_id % 7 <> event_id % 7")

@@ -65,6 +65,13 @@ def test_message_decode(spark):
     assert [r["x"] for r in got] == [b for _, b in cases]
 
 
+def test_whole_minutes_round_their_seconds(spark):
+    """As in SQL: 59.6 seconds are a minute, 59.5 as well (60 is even), 120.5 are two; a null has none."""
+    for micros, wanted in ((59_600_000, 1), (59_500_000, 1), (59_400_000, 0), (120_500_000, 2), (0, 0), (None, None)):
+        df = spark.createDataFrame([(micros,)], "us long").selectExpr("timestamp_micros(0) as a", "timestamp_micros(us) as b")
+        assert df.select(X.whole_minutes(F.col("a"), F.col("b")).alias("x")).first()["x"] == wanted
+
+
 def test_generated_ids(spark):
     df = spark.range(200).select(S.new_bot_id().alias("b"), S.new_trace_id().alias("t")).collect()
     assert all(re.fullmatch("bot_[a-z0-9]{8}", r["b"]) and re.fullmatch("[0-9a-f]{8}", r["t"]) for r in df)
