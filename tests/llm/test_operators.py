@@ -466,6 +466,19 @@ def test_decode(word):
     assert toxicity.decode(word, toxicity.log_model(total)) == "idiot"
 
 
+def test_toxicity_of_few_labels():
+    """Eight toxic rows among seventy with three of each insult are enough to rank further rows."""
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 900, 60)).astype(np.int32) for _ in range(70)]
+    insults = [(1000, 1001), (1001, 1002), (1002, 1003), (1003, 1000), (1000, 1002), (1001, 1003), (1000,), (1002,)]
+    rows = [np.concatenate([r, np.array(insults[i] if i < 8 else (), np.int32)]) for i, r in enumerate(rows)]
+    bias, weights = toxicity.fit_words(rows, np.arange(70) < 8)
+    score = lambda r: bias + sum(weights.get(int(f), 0.0) for f in r)
+    clean = [np.unique(rng.integers(0, 900, 60)) for _ in range(100)]
+    toxic = [np.concatenate([r, [1000 + i % 4]]) for i, r in enumerate(clean)]
+    assert np.mean([score(a) > score(b) for a in toxic for b in clean]) > 0.9
+
+
 def test_toxicity_scores_against_plain_sums(spark):
     """A score is the logistic of the bias and the weights of a text's known features, each once; unknown ones are never held."""
     rng = random.Random(11)
