@@ -146,11 +146,13 @@ def windows(
     """
     if joined:
         rows = rows.filter(F.col("text").rlike(RUN))
-    rows = rows.select(*keys, canonical(F.col("text"), first_name, joined).alias("canonical")).filter("canonical <> ''")
+    # A filter on the canonical text would make it a second time; of an empty one the windows are none.
+    rows = rows.select(*keys, canonical(F.col("text"), first_name, joined).alias("canonical"))
     n = F.length("canonical") - F.length(F.translate("canonical", " ", "")) + 1
-    grams = F.when(n < size, F.array("canonical")).otherwise(word_grams("canonical", size))
+    nothing = F.array().cast("array<string>")
+    grams = F.when(F.col("canonical") == "", nothing).when(n < size, F.array("canonical")).otherwise(word_grams("canonical", size))
     for k in shorter:
-        grams = F.concat(grams, F.when(n > k, word_grams("canonical", k)).otherwise(F.array().cast("array<string>")))
+        grams = F.concat(grams, F.when(n > k, word_grams("canonical", k)).otherwise(nothing))
     # The outer form: for the inner one the optimizer adds a filter on the array's
     # size, for which it would build the array once more.
     rows = rows.select(*keys, F.posexplode_outer(grams).alias("at", "gram")).filter("gram is not null")

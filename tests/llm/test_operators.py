@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import (
@@ -26,7 +27,7 @@ from tessera.llm import (
     substrings,
     toxicity,
 )
-from tessera.llm.common import components, gapless_rank, intermediate
+from tessera.llm.common import components, gapless_rank, intermediate, single_spaces
 from tessera.llm.queries import OPERATORS, oracle_sql, queries, word_tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -466,6 +467,22 @@ def test_decode(word):
     assert toxicity.decode(word, toxicity.log_model(total)) == "idiot"
 
 
+def test_decontamination_makes_canonical_texts_once(spark, capsys):
+    """A filter on them would be pushed below their projection and make them a second time."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, ""), (3, " .. ,"), (4, "Ab 5 m")], "doc_id long, text string")
+    rows = decontamination.windows(docs, ["doc_id"])
+    assert sorted((r["doc_id"], r["at"]) for r in rows.filter("form = 0").collect()) == [(1, 0), (1, 1), (4, 0)]
+    rows.explain()
+    # The longest unit stands once in each making.
+    assert capsys.readouterr().out.count("kilograms|") == 1
+
+
+def test_single_spaces(spark):
+    for given in ("", " ", "\t", "a\tb", "a \t b", "\n\n a  b c\r\n", "\u00a0 a", "a b"):
+        got = spark.createDataFrame([(given,)], "c string").select(single_spaces(F.col("c")).alias("x")).first()["x"]
+        assert got == re.sub("[\x20\x09-\x0d]+", " ", given)
+
+
 def test_toxicity_of_few_labels():
     """Eight toxic rows among seventy with three of each insult are enough to rank further rows."""
     rng = np.random.default_rng(5)
