@@ -33,28 +33,40 @@ def _automaton(words: Broadcast, number: int) -> ahocorasick.Automaton:
     return _AUTOMATON[number]
 
 
-def _scan(words: Broadcast, number: int, text: str, names: list[str], rows: int = 50_000):
-    """Batches of texts to rows ``(columns kept, word)``: each word that a text contains once."""
+def _scan(words: Broadcast, number: int, text: str, names: list[str], rows: int = 50_000, chars: int = 16_000_000):
+    """Batches of texts to rows ``(columns kept, word)``: each word that a text contains once.
 
-    def out(batch: pa.RecordBatch, at: list[int], found: list[str]) -> pa.RecordBatch:
-        kept = batch.take(pa.array(at, pa.int64()))
-        columns = [kept.column(c) for c in names[:-1]]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string())], names=names)
+    One text at a time is a Python string. It is repeated beside its words only where it is
+    kept itself, by at most ``chars`` characters (or one text) in a batch that goes out.
+    """
+    repeated = text in names[:-1]
+
+    def out(kept: pa.RecordBatch, at: list[int], found: list[str]) -> pa.RecordBatch:
+        taken = kept.take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([*taken.columns, pa.array(found, pa.string())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, listed = _automaton(words, number), words.value
         for batch in batches:
-            at, found = [], []
-            for k, value in enumerate(batch.column(text).to_pylist()):
-                if value is not None:
-                    hits = {w for _, w in automaton.iter(value)}
-                    at += [k] * len(hits)
-                    found += [listed[w] for w in hits]
-                if len(at) >= rows:
-                    yield out(batch, at, found)
-                    at, found = [], []
+            kept, texts = batch.select(names[:-1]), batch.column(text)
+            at, found, held = [], [], 0
+            for k in range(len(texts)):
+                value = texts[k].as_py()
+                if value is None:
+                    continue
+                hits = [listed[w] for w in {w for _, w in automaton.iter(value)}]
+                length = len(value) if repeated else 0
+                step = min(rows, max(1, chars // max(length, 1)))
+                for i in range(0, len(hits), step):
+                    some = hits[i : i + step]
+                    if at and (len(at) + len(some) > rows or held + length * len(some) > chars):
+                        yield out(kept, at, found)
+                        at, found, held = [], [], 0
+                    at += [k] * len(some)
+                    found += some
+                    held += length * len(some)
             if at:
-                yield out(batch, at, found)
+                yield out(kept, at, found)
 
     return run
 

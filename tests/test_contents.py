@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from tessera.operators import contents
@@ -78,3 +79,22 @@ def test_dispatch_of_long_lists(spark, monkeypatch):
     calls = spark.createDataFrame([(1, "a"), (2, "z"), (3, "b"), (4, "a")], "id int, name string")
     tools = spark.createDataFrame([("a", "A"), ("b", "B")], "name string, description string")
     assert {r["id"]: r["answer"] for r in dispatch(calls, tools).collect()} == {1: "A", 2: "unknown tool: z", 3: "B", 4: "A"}
+
+
+@pytest.mark.parametrize("names", [["id", "word"], ["id", "content", "word"]])
+def test_scan_is_bounded(names):
+    """Long texts with many words are repeated beside them only where they are kept, some at a time."""
+
+    class Sent:
+        value = [f"{k:03d}." for k in range(40)]
+
+    texts = ["".join(Sent.value) + "x" * 200_000] * 20
+    batch = pa.RecordBatch.from_pydict({"id": list(range(20)), "content": texts})
+    before = pa.default_memory_pool().max_memory()
+    seen = []
+    for out in contents._scan(Sent, next(contents._NUMBERS), "content", names)(iter([batch])):
+        assert out.nbytes < 17_000_000 and out.schema.names == names
+        seen += zip(out.column("id").to_pylist(), out.column("word").to_pylist(), strict=True)
+        assert names[1] == "word" or set(out.column("content").to_pylist()) == {texts[0]}
+    assert sorted(seen) == [(i, w) for i in range(20) for w in Sent.value]
+    assert pa.default_memory_pool().max_memory() - before < 60_000_000
