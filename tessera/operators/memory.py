@@ -65,30 +65,32 @@ def chains(rows: DataFrame, key: str = "id", parent: str = "supersedes_id") -> D
     """
     ids = rows.select(F.col(key).alias("id"), F.col(parent).alias("to"))
     known = ids.select(F.col("id").alias("to"))
+    going = F.col("to").isNotNull()
     # to: where the pointer stands, null at the end of a chain; low: the least id passed on the way there.
-    first = ids.join(known.withColumn("_is", F.lit(True)), "to", "left")
+    # Rows without a pointer stay out of the joins, where all of them would meet in one task.
+    first = ids.filter(going).join(known.withColumn("_is", F.lit(True)), "to", "left")
     first = first.select("id", F.when(F.col("_is"), F.col("to")).alias("to"), F.when(F.col("_is"), 1).otherwise(0).cast("long").alias("steps"))
+    first = first.unionByName(ids.filter(~going).select("id", "to", F.lit(0).cast("long").alias("steps")))
     first = first.withColumns({"root": F.col("id"), "low": F.col("id")})
     found = stored(first, "chains")
-    n, reached = found.filter("to is not null").count(), 1
+    n, reached = found.filter(going).count(), 1
     while n and reached <= 2 * n:
         ahead = found.select(F.col("id").alias("to"), *(F.col(c).alias(f"_{c}") for c in ("to", "steps", "root", "low")))
-        # Rows at the end of their chain meet nobody and stay as they are.
-        on = found.join(ahead, "to", "left").select(
+        on = found.filter(going).join(ahead, "to").select(
             "id",
             F.col("_to").alias("to"),
-            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-            F.coalesce("_root", "root").alias("root"),
+            (F.col("steps") + F.col("_steps")).alias("steps"),
+            F.col("_root").alias("root"),
             F.least("low", "_low").alias("low"),
         )
-        found, reached = stored(on, "chains", found), 2 * reached
-        if found.filter("to is not null").isEmpty():
+        found, reached = stored(on.unionByName(found.filter(~going)), "chains", found), 2 * reached
+        if found.filter(going).isEmpty():
             break
     # A pointer that went on longer than there are rows stands on a cycle, and the row it stands on has been all around it.
     around = found.select(F.col("id").alias("to"), F.col("low").alias("_cycle"))
-    cyclic = F.col("to").isNotNull()
-    return found.join(around, "to", "left").select(
-        "id", F.when(cyclic, F.col("_cycle")).otherwise(F.col("root")).alias("root"), F.when(~cyclic, F.col("steps")).alias("depth"), cyclic.alias("cyclic")
+    ended = found.filter(~going).select("id", "root", F.col("steps").alias("depth"), F.lit(False).alias("cyclic"))
+    return ended.unionByName(
+        found.filter(going).join(around, "to").select("id", F.col("_cycle").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(True).alias("cyclic"))
     )
 
 

@@ -218,3 +218,17 @@ def test_notes_against_loops(spread, seed, shown):
     assert len(rows) == len(calls)
     assert {r["call_id"]: json.loads(r["answer"]) for r in rows} == plain_notes(calls, shown)
     assert notes.remember(df.limit(0)).collect() == []
+
+
+def test_ended_chains_stay_out_of_joins(spark, monkeypatch):
+    """In the rounds only rows that still go on are joined; the others would meet in one task by their null pointer."""
+    from tessera.operators import memory
+
+    rounds = []
+    keep = memory.stored
+    monkeypatch.setattr(memory, "stored", lambda df, *more: (rounds.append(df), keep(df, *more))[1])
+    rows = spark.range(40).selectExpr("id", "case when id % 10 > 0 then id - 1 end as supersedes_id")
+    found = memory.chains(rows)
+    assert sorted(map(tuple, found.collect())) == [(i, i - i % 10, i % 10, False) for i in range(40)]
+    assert len(rounds) == 5
+    assert all("isnotnull(to#" in df._jdf.queryExecution().optimizedPlan().toString() for df in rounds[1:])
