@@ -375,3 +375,11 @@ def test_streaming_turns(spark, tmp_path):
     df = spark.createDataFrame([(u, i) for u in range(3) for i in range(25)], "user_id long, id long")
     got = run(spark, stateful.turn_counter(stream_of(spark, tmp_path, df), "user_id", "id"), "turns", tmp_path)
     assert {(r["user_id"], r["turn_no"]) for r in got.collect()} == {(u, t) for u in range(3) for t in (10, 20)}
+
+
+def test_sheets_are_written_by_all_cores(spark):
+    """A small table in one part has much work."""
+    rows = spark.range(0, 40, 1, 1).select(F.col("id").alias("sheet_id"), F.array(F.array(F.col("id").cast("string"), F.lit("x"))).alias("rows"))
+    files = office.write_sheets(rows)
+    assert files.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r["sheet_id"], r["rows"]) for r in office.read_sheets(files).collect()) == [(i, [[str(i), "x"]]) for i in range(40)]
