@@ -383,3 +383,54 @@ def test_sheets_are_written_by_all_cores(spark):
     files = office.write_sheets(rows)
     assert files.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     assert sorted((r["sheet_id"], r["rows"]) for r in office.read_sheets(files).collect()) == [(i, [[str(i), "x"]]) for i in range(40)]
+
+
+def test_many_small_files_share_their_work(monkeypatch):
+    """Of each file only its body is packed, unpacked and parsed; the rest is known from the files before."""
+    opened, parsed = [], []
+    opens, parse = zipfile.ZipFile.__init__, office.ElementTree.fromstring
+    monkeypatch.setattr(zipfile.ZipFile, "__init__", lambda *a, **k: (opened.append(1), opens(*a, **k))[1])
+    monkeypatch.setattr(office.ElementTree, "fromstring", lambda *a: (parsed.append(1), parse(*a))[1])
+    tables = [[[str(i), "x"], ["y", " z "]] for i in range(200)]
+    assert [office.sheet_rows(office.sheet_file(t)) for t in tables] == tables
+    paragraphs = [[("Title", str(i)), ("Normal", "a")] for i in range(200)]
+    assert [office.word_paragraphs(office.word_file(p)) for p in paragraphs] == paragraphs
+    assert len(opened) <= 10 and len(parsed) <= 410
+
+
+def test_written_containers_are_plain_zip_files(monkeypatch):
+    """Other programs' readers find sound parts; the same rows give the same bytes; long parts are written as well."""
+    rows = [["é & <x>", "1.5", None], [], ["\n" * 3]]
+    made = [(office.sheet_file(rows), office.sheet_rows), (office.word_file([("Title", "é & <x>")]), office.word_paragraphs)]
+    monkeypatch.setattr(office, "_LONG", 100)
+    made += [(office.sheet_file(rows), office.sheet_rows), (office.word_file([("Title", "é & <x>")]), office.word_paragraphs)]
+    monkeypatch.undo()
+    assert office.sheet_file(rows) == made[0][0]
+    for content, _ in made:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            names = z.namelist()
+            assert z.testzip() is None and names[0] == "[Content_Types].xml" and len(names) == len(set(names)) == (5 if len(names) > 3 else 3)
+    assert [read(content) for content, read in made] == 2 * [[["é & <x>", "1.5", ""], [], ["\n" * 3]], [("Title", "é & <x>")]]
+
+
+def test_unusual_and_damaged_containers():
+    """Comments, bytes in front, other packings, names and long records read as well; a damaged part gives no rows."""
+    rows = [["a", "2"]]
+    content = office.sheet_file(rows)
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+
+    def packed(method=zipfile.ZIP_STORED, comment=b"", extra=(), long=False):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as z:
+            z.comment = comment
+            for name in (*extra, *parts):
+                with z.open(name, "w", force_zip64=long) as f:
+                    f.write(parts.get(name, b"other"))
+        return out.getvalue()
+
+    for other in (packed(), packed(zipfile.ZIP_DEFLATED), packed(zipfile.ZIP_LZMA), packed(comment=b"made by hand"), b"front" + content, packed(extra=("é", "z")), packed(long=True)):
+        assert office.sheet_rows(other) == rows
+    at = content.index(b"xl/worksheets/sheet1.xml") + len("xl/worksheets/sheet1.xml")
+    for damaged in (content[:at] + b"\xff" * 9 + content[at + 9 :], content[:-1], content[:200], packed().replace(b"<t xml", b"<t  ml")):
+        assert office.sheet_rows(damaged) == []
